@@ -38,19 +38,28 @@ def _observed(pair: Column, remotes: Column, host: Column) -> Column:
 
 def observations(events: DataFrame) -> DataFrame:
     """One row per event and counted thing: parent → child, external remote, host → remote."""
-    marked = with_roles(events.filter(F.col("time_ms").isNotNull()))
     child = F.lower(scalars.blank_to_null(F.col("process.name")))
     parent = F.lower(scalars.blank_to_null(F.col("process.parent_process.name")))
-    host = scalars.normalise_host(F.col("device.hostname"))
+    marked = with_roles(
+        events.filter(F.col("time_ms").isNotNull()),
+        F.col("sx.org_id").alias("org_id"),
+        "time_ms",
+        F.concat(parent, F.lit(" -> "), child).alias("pair"),
+        scalars.normalise_host(F.col("device.hostname")).alias("host"),
+    )
     remote = F.filter(
         "roles",
         lambda e: ((e["type"] == "ip") & e["links"] & (e["field"] != "device.ip")) | (e["type"] == "domain"),
     )
     remotes = F.array_distinct(F.transform(remote, lambda e: e["value"]))
-    pair = F.concat(parent, F.lit(" -> "), child)
-    return marked.select(
-        F.col("sx.org_id").alias("org_id"), "time_ms", F.inline(_observed(pair, remotes, host))
-    )
+    return _listed(marked.select("org_id", "time_ms", _observed(F.col("pair"), remotes, F.col("host")).alias("seen")))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """One row per element of ``seen``."""
+    others = [c for c in rows.columns if c != "seen"]
+    exploded = rows.select(*others, F.explode_outer("seen").alias("o")).filter(F.col("o").isNotNull())
+    return exploded.select(*others, "o.kind", "o.key")
 
 
 def evidence_observations(evidence: DataFrame, *scope: str) -> DataFrame:
@@ -61,7 +70,8 @@ def evidence_observations(evidence: DataFrame, *scope: str) -> DataFrame:
     addresses = external_keys(F.concat(role("dst_ip"), role("src_ip"), role("answer")))
     remotes = F.array_distinct(F.transform(F.concat(addresses, role("domain")), key_value))
     host = key_value(first_of("host"))
-    return evidence.select(*scope, "org_id", "event_uid", "time_ms", F.inline(_observed(pair, remotes, host)))
+    seen = _observed(pair, remotes, host).alias("seen")
+    return _listed(evidence.select(*scope, "org_id", "event_uid", "time_ms", seen))
 
 
 def observe(events: DataFrame) -> DataFrame:

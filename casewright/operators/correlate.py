@@ -65,7 +65,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             ahead = hooks.select(F.col("label").alias("to"), F.col("to").alias("further"))
             hooks = hooks.join(ahead, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
-        hooks = cut_lineage(hooks)
         labels = cut_lineage(
             labels.join(hooks, labels["component"] == hooks["label"], "left").select(
                 "node", F.coalesce("to", "component").alias("component")
@@ -81,16 +80,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def fold_groups(keyed: DataFrame) -> DataFrame:
+def fold_groups(keyed: DataFrame, passes: int = 2) -> DataFrame:
     """``item_id → fold_group``: findings in different groups can never meet in an incident.
 
     ``keyed`` has one row per finding with ``org_id, item_id, first_ms, last_ms, keys``. Findings are grouped
     by connected linking keys, groups are cut where nothing was active for the correlation window, and what
-    the cuts separate is grouped again, until nothing changes.
+    the cuts separate is grouped again. The fold is exact after any number of passes; more passes make
+    smaller groups.
     """
     items = cut_lineage(keyed.select("item_id", "first_ms", "last_ms", "keys", F.col("org_id").alias("fold_group")))
-    before = items.select("fold_group").distinct().count()
-    while True:
+    for _ in range(passes):
         node = lambda key: F.concat_ws(SEPARATOR, "fold_group", key)
         edges = items.select(node(F.get("keys", F.lit(0))).alias("a"), F.explode("keys").alias("_key"), "fold_group").select(
             "a", node(F.col("_key")).alias("b")
@@ -120,11 +119,7 @@ def fold_groups(keyed: DataFrame) -> DataFrame:
                 F.sha2(F.concat_ws(SEPARATOR, "component", F.col("island").cast("string")), 256).alias("fold_group"),
             )
         )
-        after = items.select("fold_group").distinct().count()
-        components = found.select("component").distinct().count()
-        if after == components or after == before:
-            return items.select("item_id", "fold_group")
-        before = after
+    return items.select("item_id", "fold_group")
 
 
 # ------------------------------------------------------------------------------------------------------- fold
@@ -386,14 +381,19 @@ def _hours(first: Column, last: Column) -> Column:
 
 def logons(events: DataFrame) -> DataFrame:
     """Successful logons with their source address, host keys and account."""
-    marked = E.with_roles(events.filter(is_successful_logon() & F.col("sx.event_uid").isNotNull()))
+    marked = E.with_roles(
+        events.filter(is_successful_logon() & F.col("sx.event_uid").isNotNull()),
+        F.col("sx.org_id").alias("org_id"),
+        F.col("sx.event_uid").alias("event_uid"),
+        F.col("time_ms").alias("at_ms"),
+    )
     source = F.get(F.filter("roles", lambda e: e["field"] == "src_endpoint.ip"), F.lit(0))
     hosts = F.array_distinct(F.transform(F.filter("roles", lambda e: e["type"] == "host"), E.entity_key))
     user = F.get(F.filter("roles", lambda e: e["type"] == "user"), F.lit(0))["value"]
     return marked.select(
-        F.col("sx.org_id").alias("org_id"),
-        F.col("sx.event_uid").alias("event_uid"),
-        F.col("time_ms").alias("at_ms"),
+        "org_id",
+        "event_uid",
+        "at_ms",
         E.entity_key(source).alias("source_key"),
         hosts.alias("host_keys"),
         user.alias("user"),
@@ -678,9 +678,10 @@ def correlate(findings: DataFrame, events: DataFrame, open_incidents: DataFrame
     from_findings = cut_lineage(finding_links(findings, assigned, sightings, before))
     from_logons, added = logon_links(from_findings, before, events)
     links = cut_lineage(from_findings.unionByName(from_logons))
-    entities = incident_entities(recorded.unionByName(added)).drop("recorded")
+    entities = cut_lineage(incident_entities(recorded.unionByName(added)).drop("recorded"))
     incidents, assessments, behind = assess(links, entities)
-    return Incidents(incidents, links, entities, incident_evidence(links, events), assessments, behind)
+    evidence = cut_lineage(incident_evidence(links, events))
+    return Incidents(cut_lineage(incidents), links, entities, evidence, assessments, behind)
 
 
 def linking_indicators(entities: DataFrame) -> DataFrame:

@@ -74,8 +74,8 @@ def _entity(field: str, kind: str, value: Column, links: Column | bool, role: st
     )
 
 
-def with_roles(events: DataFrame) -> DataFrame:
-    """Add ``roles``: every (field, entity) pair of the event, in a fixed order, each pair once.
+def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep`` and ``roles``: every (field, entity) pair of the event, in a fixed order, each pair once.
 
     The client-claimed name of an authentication is not one of our hosts; the far side of an outbound
     connection is a domain, not a host.
@@ -161,7 +161,9 @@ def with_roles(events: DataFrame) -> DataFrame:
         hashes("file"),
     )
     roles = F.array_distinct(F.filter(found, lambda e: e["value"].isNotNull()))
-    return prepared.withColumn("roles", roles).drop("_host0", "_host_src", "_host_dst", "_ip_src", "_ip_dst", "_ip_dev", "_scope")
+    # inline(array(struct)) makes the result columns of their own. As a plain projection the whole expression
+    # would be copied into every filter and generator above it.
+    return prepared.select(F.inline(F.array(F.struct(*keep, roles.alias("roles")))))
 
 
 def entity_key(entity: Column) -> Column:
@@ -173,16 +175,15 @@ def extract_sightings(events: DataFrame) -> DataFrame:
 
     Expects events with a ``sx.event_uid``; adds no shuffle.
     """
-    marked = with_roles(events.filter(F.col("sx.event_uid").isNotNull() & F.col("time_ms").isNotNull()))
-    # "First" is the position in the fixed order of the roles; duplicates of an entity within a row go.
-    numbered = marked.withColumn("_keys", F.transform("roles", entity_key)).withColumn(
-        "_first", F.filter("roles", lambda e, i: F.array_position(F.col("_keys"), entity_key(e)) == i + 1)
+    stored = events.filter(F.col("sx.event_uid").isNotNull() & F.col("time_ms").isNotNull())
+    marked = with_roles(
+        stored, F.col("sx.org_id").alias("org_id"), F.col("sx.event_uid").alias("event_uid"), F.col("time_ms").alias("at_ms")
     )
-    exploded = numbered.select(
-        F.col("sx.org_id").alias("org_id"),
-        F.col("sx.event_uid").alias("event_uid"),
-        F.col("time_ms").alias("at_ms"),
-        F.explode("_first").alias("e"),
+    # "First" is the position in the fixed order of the roles; repeats of an entity within a row go.
+    keyed = marked.withColumn("_keys", F.transform("roles", entity_key))
+    first = F.filter("roles", lambda e, i: F.array_position(F.col("_keys"), entity_key(e)) == i + 1)
+    exploded = keyed.select("org_id", "event_uid", "at_ms", F.explode_outer(first).alias("e")).filter(
+        F.col("e").isNotNull()
     )
     return exploded.select(
         "org_id",
@@ -226,7 +227,22 @@ def digest(events: DataFrame) -> DataFrame:
     stored = events.filter(
         F.col("sx.event_uid").isNotNull() & F.col("time_ms").isNotNull() & F.col("class_uid").isNotNull()
     )
-    marked = with_roles(stored)
+    marked = with_roles(
+        stored,
+        F.col("sx.org_id").alias("org_id"),
+        F.col("sx.event_uid").alias("event_uid"),
+        "time_ms",
+        "class_uid",
+        "activity_id",
+        "status_id",
+        action_text().alias("action"),
+        _capped("message", MAX_MESSAGE).alias("message"),
+        _capped("raw_data", MAX_RAW).alias("raw"),
+        _capped("process.cmd_line", MAX_COMMAND).alias("cmd_line"),
+        F.col("src_endpoint.port").alias("src_port"),
+        F.col("dst_endpoint.port").alias("dst_port"),
+        "logon_type_id",
+    )
 
     def keys(role: Column) -> Column:
         own = F.transform(F.filter("roles", lambda e: e["role"] == role), entity_key)
@@ -235,21 +251,21 @@ def digest(events: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform("roles", lambda e: e["role"]))
     by_role = F.map_from_entries(F.transform(names, lambda r: F.struct(r.alias("k"), keys(r).alias("v"))))
     return marked.select(
-        F.col("sx.org_id").alias("org_id"),
-        F.col("sx.event_uid").alias("event_uid"),
+        "org_id",
+        "event_uid",
         "time_ms",
         at_millis(F.col("time_ms")).alias("time"),
         "class_uid",
         "activity_id",
         "status_id",
-        action_text().alias("action"),
+        "action",
         S.lookup({1: "success", 2: "failure"}, F.col("status_id")).alias("outcome"),
-        _capped("message", MAX_MESSAGE).alias("message"),
-        _capped("raw_data", MAX_RAW).alias("raw"),
+        "message",
+        "raw",
         by_role.alias("roles"),
-        _capped("process.cmd_line", MAX_COMMAND).alias("cmd_line"),
-        F.col("src_endpoint.port").alias("src_port"),
-        F.col("dst_endpoint.port").alias("dst_port"),
+        "cmd_line",
+        "src_port",
+        "dst_port",
         "logon_type_id",
     )
 

@@ -122,7 +122,12 @@ def relations() -> Column:
 
 def event_relations(evidence: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One row per event and relation."""
-    return evidence.select(*scope, "event_uid", "time_ms", "dst_port", F.inline(F.array_distinct(relations())))
+    listed = evidence.select(
+        *scope, "event_uid", "time_ms", "dst_port", F.explode_outer(F.array_distinct(relations())).alias("r")
+    )
+    return listed.filter(F.col("r").isNotNull()).select(
+        *scope, "event_uid", "time_ms", "dst_port", "r.source", "r.relation", "r.target"
+    )
 
 
 def edges(evidence: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
