@@ -259,12 +259,12 @@ def _keyed(findings: DataFrame, sightings: DataFrame) -> DataFrame:
     ).withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
 
-def _recorded(sightings: DataFrame, assigned: DataFrame, findings: DataFrame) -> DataFrame:
-    """(incident, entity, event) once, at the place it was first recorded."""
+def _recorded(sightings: DataFrame, assigned: DataFrame, findings: DataFrame, phase: int) -> DataFrame:
+    """(incident, entity, event) with the place it was recorded at: batch phase, then link, then position."""
     placed = sightings.join(assigned.select("finding_id", "incident_id"), "finding_id").join(
         findings.select("finding_id", "first_ms"), "finding_id"
     )
-    recorded_at = F.struct(F.lit(0).alias("phase"), "first_ms", F.col("finding_id").alias("link_key"), "position")
+    recorded_at = F.struct(F.lit(phase).alias("phase"), "first_ms", F.col("finding_id").alias("link_key"), "position")
     return placed.select(
         "incident_id", "org_id", "entity_key", "entity_type", "entity_value", "links", "event_uid", "at_ms",
         recorded_at.alias("recorded_at"),
@@ -317,7 +317,9 @@ LINK_COLUMNS = (
 )
 
 
-def finding_links(findings: DataFrame, assigned: DataFrame, sightings: DataFrame, entities: DataFrame) -> DataFrame:
+def finding_links(
+    findings: DataFrame, assigned: DataFrame, sightings: DataFrame, entities: DataFrame, phase: int = 0
+) -> DataFrame:
     """One link per finding: why it is in its incident, and the events on both sides that show it."""
     joined = assigned.join(findings, "finding_id")
     link_id = digest(F.lit("link"), F.col("incident_id"), F.col("finding_id"))
@@ -332,7 +334,7 @@ def finding_links(findings: DataFrame, assigned: DataFrame, sightings: DataFrame
         .join(known, ["incident_id", "entity_key"])
         .join(own, ["finding_id", "entity_key"])
     )
-    place = F.struct(F.lit(0).alias("phase"), F.col("first_ms"), F.col("finding_id").alias("link_key"), F.lit(-1).alias("position"))
+    place = F.struct(F.lit(phase).alias("phase"), F.col("first_ms"), F.col("finding_id").alias("link_key"), F.lit(-1).alias("position"))
     earlier = F.filter("recorded", lambda r: r["recorded_at"] < place)
     per_link = matches.select(
         "finding_id",
@@ -401,7 +403,9 @@ def logons(events: DataFrame) -> DataFrame:
     ).filter(F.col("source_key").isNotNull() & (F.size("host_keys") > 0))
 
 
-def logon_links(links: DataFrame, entities: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def logon_links(
+    links: DataFrame, entities: DataFrame, events: DataFrame, phase: int = 1
+) -> tuple[DataFrame, DataFrame]:
     """Successful logons that follow brute-force findings from the same source against the same host.
 
     Returns the links and the sightings they add. An entity keeps 20 events, so at most the links citing
@@ -491,7 +495,7 @@ def logon_links(links: DataFrame, entities: DataFrame, events: DataFrame) -> tup
         F.col("e.links").alias("links"),
         "event_uid",
         "at_ms",
-        F.struct(F.lit(1).alias("phase"), F.col("at_ms").alias("first_ms"), F.col("event_uid").alias("link_key"), "position").alias(
+        F.struct(F.lit(phase).alias("phase"), F.col("at_ms").alias("first_ms"), F.col("event_uid").alias("link_key"), "position").alias(
             "recorded_at"
         ),
     )
@@ -665,25 +669,73 @@ def incident_evidence(links: DataFrame, events: DataFrame) -> DataFrame:
     return cited.join(E.digest(read), ["org_id", "event_uid"])
 
 
-def correlate(findings: DataFrame, events: DataFrame, open_incidents: DataFrame | None = None) -> Incidents:
-    """Findings and events to incidents, links, entities, evidence digests and the assessment.
+def open_incidents(links: DataFrame, recorded: DataFrame, earliest_ms: int) -> DataFrame:
+    """Stored incidents that activity from ``earliest_ms`` on can still reach, with their linking keys."""
+    spans = links.groupBy("org_id", "incident_id").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+    live = spans.filter(F.col("last_ms") >= earliest_ms - CORRELATION_WINDOW_MS)
+    keys = recorded.filter("links").join(live, "incident_id", "left_semi").groupBy("incident_id").agg(
+        F.sort_array(F.collect_set("entity_key")).alias("keys")
+    )
+    return live.join(keys, "incident_id")
 
-    ``findings`` have distinct ``finding_id``; ``events`` distinct ``sx.event_uid``.
+
+def link_batch(
+    findings: DataFrame,
+    events: DataFrame,
+    stored_links: DataFrame | None = None,
+    stored_recorded: DataFrame | None = None,
+    batch: int = 0,
+    closed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The links a batch adds, and the (incident, entity, event) rows it records.
+
+    What is already linked is left alone, so a repeated batch adds nothing. ``closed(incident_id)`` incidents
+    take no new links.
     """
+
+    def reachable(frame: DataFrame) -> DataFrame:
+        return frame if closed is None else frame.join(closed, "incident_id", "left_anti")
+
+    if stored_links is not None:
+        findings = findings.join(stored_links.select("finding_id"), "finding_id", "left_anti")
     findings = cut_lineage(findings)
     sightings = cut_lineage(finding_sightings(findings, events))
-    assigned = assign(_keyed(findings, sightings), open_incidents)
-    recorded = _recorded(sightings, assigned, findings)
-    before = cut_lineage(incident_entities(recorded))
-    from_findings = cut_lineage(finding_links(findings, assigned, sightings, before))
-    from_logons, added = logon_links(from_findings, before, events)
-    links = cut_lineage(from_findings.unionByName(from_logons))
-    entities = cut_lineage(incident_entities(recorded.unionByName(added)).drop("recorded"))
+    seeds = None
+    if stored_links is not None:
+        earliest = findings.agg(F.min("first_ms")).first()[0]
+        if earliest is not None:
+            seeds = open_incidents(reachable(stored_links), reachable(stored_recorded), earliest)
+    assigned = assign(_keyed(findings, sightings), seeds)
+    recorded = _recorded(sightings, assigned, findings, 2 * batch)
+    everything = recorded if stored_recorded is None else stored_recorded.unionByName(recorded)
+    entities = cut_lineage(incident_entities(everything))
+    from_findings = cut_lineage(finding_links(findings, assigned, sightings, entities, 2 * batch))
+    all_links = from_findings if stored_links is None else stored_links.unionByName(from_findings)
+    from_logons, added = logon_links(reachable(all_links), reachable(entities), events, 2 * batch + 1)
+    if stored_links is not None:
+        linked = stored_links.filter(F.col("kind") == "event").select("incident_id", "event_uid")
+        from_logons = from_logons.join(linked, ["incident_id", "event_uid"], "left_anti")
+        added = added.join(linked, ["incident_id", "event_uid"], "left_anti")
+    return cut_lineage(from_findings.unionByName(from_logons)), recorded.unionByName(added)
+
+
+def incident_tables(links: DataFrame, recorded: DataFrame, events: DataFrame) -> Incidents:
+    """Everything that follows from the links and what they recorded."""
+    entities = cut_lineage(incident_entities(recorded).drop("recorded"))
     incidents, assessments, behind = assess(links, entities)
     evidence = cut_lineage(incident_evidence(links, events))
     return Incidents(cut_lineage(incidents), links, entities, evidence, assessments, behind)
 
 
+def correlate(findings: DataFrame, events: DataFrame) -> Incidents:
+    """Findings and events to incidents, links, entities, evidence digests and the assessment.
+
+    ``findings`` have distinct ``finding_id``; ``events`` distinct ``sx.event_uid``.
+    """
+    links, recorded = link_batch(findings, events)
+    return incident_tables(links, recorded, events)
+
+
 def linking_indicators(entities: DataFrame) -> DataFrame:
     """External addresses, domains and hashes of incidents: what threat intelligence can be asked about."""
     return (

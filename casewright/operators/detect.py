@@ -145,8 +145,8 @@ def detect_single(events: DataFrame, rules: list[Rule]) -> DataFrame:
 GROUP = ("org_id", "rule", "group_key")
 
 
-def threshold_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Every (event, threshold rule) match with its group and counted value.
+def threshold_matches(events: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
+    """Every (event, threshold rule) match with its group and counted value, and the columns to keep.
 
     An event without a value for each grouping field belongs to no group and is not counted.
     """
@@ -174,6 +174,7 @@ def threshold_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
         F.col("sx.org_id").alias("org_id"),
         F.col("sx.event_uid").alias("event_uid"),
         "time_ms",
+        *keep,
         F.inline(matches),
     )
 
