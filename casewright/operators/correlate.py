@@ -686,9 +686,12 @@ def link_batch(
     stored_recorded: DataFrame | None = None,
     batch: int = 0,
     closed: DataFrame | None = None,
+    arrived: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The links a batch adds, and the (incident, entity, event) rows it records.
 
+    ``events`` hold the evidence; ``arrived``, when given, are the batch's own events, whose logons are taken.
+
     What is already linked is left alone, so a repeated batch adds nothing. ``closed(incident_id)`` incidents
     take no new links.
     """
@@ -711,7 +714,7 @@ def link_batch(
     entities = cut_lineage(incident_entities(everything))
     from_findings = cut_lineage(finding_links(findings, assigned, sightings, entities, 2 * batch))
     all_links = from_findings if stored_links is None else stored_links.unionByName(from_findings)
-    from_logons, added = logon_links(reachable(all_links), reachable(entities), events, 2 * batch + 1)
+    from_logons, added = logon_links(reachable(all_links), reachable(entities), events if arrived is None else arrived, 2 * batch + 1)
     if stored_links is not None:
         linked = stored_links.filter(F.col("kind") == "event").select("incident_id", "event_uid")
         from_logons = from_logons.join(linked, ["incident_id", "event_uid"], "left_anti")

@@ -115,6 +115,7 @@ def correlation_job(find: Callable[[DataFrame], DataFrame], events_path: str, st
             _stored(spark, f"{state_path}/links", batch_id),
             _stored(spark, f"{state_path}/recorded", batch_id),
             batch_id,
+            arrived=batch,
         )
         links.write.mode("overwrite").parquet(f"{state_path}/links/batch_id={batch_id}")
         recorded.write.mode("overwrite").parquet(f"{state_path}/recorded/batch_id={batch_id}")
