@@ -156,11 +156,11 @@ def sql(name: str, *ctes: str, recursive: bool = False):
 # ----------------------------------------------------------------------------------------- sources and parsers
 _LINES = """
 lines AS (
-  SELECT *, strftime(make_timestamp(time_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((time_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS at,
+  SELECT *, strftime(make_timestamp(time_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((time_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS stamp,
     ' web-' || (event_id % 4) || ' ' AS h, 'sshd[' || (1000 + event_id % 500) || ']: ' AS ssh,
     user_name || ' from ' || src_ip || ' port ' || (40000 + event_id % 1000) AS origin FROM tel)"""
 sql("sshd_lines", TEL, _LINES)("""
-SELECT event_id, at || h || CASE WHEN class_uid = 1007 THEN ssh || 'Invalid user ' || origin
+SELECT event_id, stamp || h || CASE WHEN class_uid = 1007 THEN ssh || 'Invalid user ' || origin
   WHEN status_id = 2 THEN ssh || 'Failed password for ' || CASE WHEN k % 4 = 0 THEN 'invalid user ' ELSE '' END || origin || ' ssh2'
   WHEN class_uid = 3002 THEN ssh || 'Accepted publickey for ' || origin || ' ssh2' ELSE ssh || 'pam_unix(sshd:session): session opened' END AS message
 FROM lines WHERE class_uid <> 4003""")
@@ -421,8 +421,8 @@ _STEP_ROWS = """
 seen AS (SELECT incident_id, step_id, 'u' AS kind, regexp_replace(scoped, '^user:', '') AS value, time_ms, event_uid FROM members WHERE class_uid IN (3002, 1007)
   UNION ALL SELECT incident_id, step_id, 'd', query_hostname, time_ms, event_uid FROM members WHERE class_uid = 4003
   UNION ALL SELECT incident_id, step_id, 'c', cmd_line, time_ms, event_uid FROM members WHERE class_uid = 1007),
-firsts AS (SELECT incident_id, step_id, kind, value, min((time_ms, event_uid)) AS at FROM seen GROUP BY ALL),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY incident_id, step_id, kind ORDER BY at, value) AS rn FROM firsts),
+firsts AS (SELECT incident_id, step_id, kind, value, min((time_ms, event_uid)) AS seen_at FROM seen GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY incident_id, step_id, kind ORDER BY seen_at, value) AS rn FROM firsts),
 lists AS (SELECT incident_id, step_id, string_agg(value, ',' ORDER BY rn) FILTER (kind = 'u' AND rn <= 20) AS users,
   string_agg(value, ',' ORDER BY rn) FILTER (kind = 'd' AND rn <= 20) AS domains, string_agg(value, ',' ORDER BY rn) FILTER (kind = 'c' AND rn <= 20) AS commands
   FROM ranks GROUP BY ALL),
@@ -478,8 +478,8 @@ WHERE h.incident_id NOT LIKE '%0' AND h.l >= k.first_ms - 7200000 AND h.f <= k.a
 sql("layer_scores", TEL, SINGLE, _SPRAY, _SPRAY_FINDINGS, _LINKS, recursive=True)("""
 SELECT incident_id, technique AS technique_id, count(DISTINCT event_uid) AS score, string_agg(DISTINCT title, '; ' ORDER BY title) AS rules FROM cited GROUP BY ALL""")
 sql("assessed_sources", TEL, SINGLE, _SPRAY, _SPRAY_FINDINGS, _LINKS, recursive=True)("""
-, tac AS (SELECT incident_id, string_agg(tactic, ',' ORDER BY at) AS tactics, string_agg(replace(tactic, '_', ' '), ', ' ORDER BY at) FILTER (rn <= 4) AS pretty, count(*) AS n
-  FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY at) AS rn FROM (SELECT incident_id, tactic, min((first_ms, link_id)) AS at FROM links GROUP BY ALL)) GROUP BY incident_id),
+, tac AS (SELECT incident_id, string_agg(tactic, ',' ORDER BY seen_at) AS tactics, string_agg(replace(tactic, '_', ' '), ', ' ORDER BY seen_at) FILTER (rn <= 4) AS pretty, count(*) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY seen_at) AS rn FROM (SELECT incident_id, tactic, min((first_ms, link_id)) AS seen_at FROM links GROUP BY ALL)) GROUP BY incident_id),
 tec AS (SELECT incident_id, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM links GROUP BY ALL),
 hosts AS (SELECT source_id AS incident_id, host, min(time_ms) AS f FROM tel GROUP BY ALL),
 hr AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY f, host) AS rn FROM hosts),
@@ -617,9 +617,9 @@ s AS (SELECT *, ['FACT', 'INFERENCE', 'UNCERTAINTY', 'GUESS'][key % 4 + 1] AS ki
   CASE WHEN key % 17 = 0 THEN NULL ELSE said || CASE WHEN key % 6 = 0 THEN ' from 198.51.100.' || (key % 20) ELSE '' END END AS text,
   CASE WHEN key % 5 = 0 THEN [] WHEN key % 7 = 0 THEN [sha256('ev' || key), 'made up'] ELSE [sha256('ev' || (key % 300)), sha256('ev' || (key % 300))] END AS evidence,
   CASE WHEN key % 3 = 0 THEN 'because' END AS reasoning, CASE WHEN key % 2 = 0 THEN 'more logs' END AS missing FROM st),
-cites AS (SELECT analysis_id, position, unnest(evidence) AS uid, generate_subscripts(evidence, 1) AS at FROM s),
+cites AS (SELECT analysis_id, position, unnest(evidence) AS uid, generate_subscripts(evidence, 1) AS nth FROM s),
 checked AS (SELECT c.*, t.event_uid IS NOT NULL AS known FROM cites c LEFT JOIN tel t ON t.event_uid = c.uid),
-cc AS (SELECT analysis_id, position, count(*) AS citations, count(*) FILTER (known) AS valid, string_agg(uid, ', ' ORDER BY at) FILTER (NOT known) AS absent FROM checked GROUP BY ALL),
+cc AS (SELECT analysis_id, position, count(*) AS citations, count(*) FILTER (known) AS valid, string_agg(uid, ', ' ORDER BY nth) FILTER (NOT known) AS absent FROM checked GROUP BY ALL),
 named AS (SELECT analysis_id, position, unnest(regexp_extract_all(concat_ws(' ', text, reasoning, missing), '[0-9.]+')) AS run FROM s),
 ips AS (SELECT DISTINCT src_ip AS ip FROM tel UNION SELECT DISTINCT dst_ip FROM tel WHERE dst_ip IS NOT NULL),
 un AS (SELECT analysis_id, position, list(rtrim(run, '.')) AS bad FROM named
@@ -636,8 +636,8 @@ SELECT analysis_id, count(*) AS statements_returned, count(*) FILTER (reason IS
   CAST(sum(citations) AS BIGINT) AS citations_total, CAST(sum(citations_valid) AS BIGINT) AS citations_valid FROM g GROUP BY ALL""")
 ORACLE["merged_techniques"] = """
 WITH e AS (SELECT conv_id, turn, 'T10' || lpad((turn % 3)::VARCHAR, 2, '0') || CASE WHEN turn % 2 = 0 THEN '.001' ELSE '' END AS technique_id, unnest([(turn % 2)::VARCHAR, turn::VARCHAR]) AS uid,
-  unnest([1, 2]) AS at FROM conversations),
-f AS (SELECT conv_id, technique_id, uid, min((turn, at)) AS first_at, min(turn) AS t FROM e GROUP BY ALL)
+  unnest([1, 2]) AS nth FROM conversations),
+f AS (SELECT conv_id, technique_id, uid, min((turn, nth)) AS first_at, min(turn) AS t FROM e GROUP BY ALL)
 SELECT conv_id AS analysis_id, technique_id, string_agg(uid, ',' ORDER BY first_at) AS evidence, CASE WHEN min(t) = 0 THEN 'FACT' ELSE 'INFERENCE' END AS kind FROM f GROUP BY ALL"""
 sql("attribution_checks", TEL, RELATIONS)("""
 , c AS (
