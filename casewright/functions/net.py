@@ -75,7 +75,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def is_ip(text: Column) -> Column:
-    return text.rlike(IPV4) | text.rlike(IPV6)
+    # The cheap tests come first: a name is seldom worth either pattern.
+    return (text.contains(":") & text.rlike(IPV6)) | (text.substr(-1, 1).between("0", "9") & text.rlike(IPV4))
 
 
 def ipv4_number(text: Column) -> Column:

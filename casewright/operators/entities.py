@@ -104,15 +104,37 @@ def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
     prepared = prepared.withColumn("_scope", host)
 
     def user(prefix: str) -> Column:
-        value = scalars.scoped_user(_text(f"{prefix}.name"), _text(f"{prefix}.domain"), F.col("_scope"))
-        return _entity(f"{prefix}.name", "user", value, True)
-
-    def domain(field: str, only: Column | None = None) -> Column:
-        value = scalars.normalise_domain(_text(field))
-        return _entity(field, "domain", value if only is None else F.when(only, value), True)
+        return scalars.scoped_user(_text(f"{prefix}.name"), _text(f"{prefix}.domain"), F.col("_scope"))
+
+    def far_name(side: str) -> Column:
+        return F.when(is_network & ~our_side(side), scalars.normalise_domain(_text(f"{side}.hostname")))
+
+    # Plain columns again: these are generated code, the array functions below are not.
+    named = {
+        ("user.name", "user", True): user("user"),
+        ("actor.user.name", "user", True): user("actor.user"),
+        ("process.user.name", "user", True): user("process.user"),
+        ("query.hostname", "domain", True): scalars.normalise_domain(_text("query.hostname")),
+        ("src_endpoint.domain", "domain", True): scalars.normalise_domain(_text("src_endpoint.domain")),
+        ("dst_endpoint.domain", "domain", True): scalars.normalise_domain(_text("dst_endpoint.domain")),
+        ("src_endpoint.hostname", "domain", True): far_name("src_endpoint"),
+        ("dst_endpoint.hostname", "domain", True): far_name("dst_endpoint"),
+        ("process.name", "process", False): F.lower(_text("process.name")),
+        ("process.parent_process.name", "process", False): F.lower(_text("process.parent_process.name")),
+        ("actor.process.name", "process", False): F.lower(_text("actor.process.name")),
+        ("process.file.path", "file", False): _text("process.file.path"),
+        ("file.path", "file", False): _text("file.path"),
+    }
+    columns = {key: f"_value{number}" for number, key in enumerate(named)}
+    external = {f"_ext{name}": net.is_external_ip(F.col(name)) for name in ("_ip_src", "_ip_dst", "_ip_dev")}
+    prepared = prepared.withColumns({columns[key]: value for key, value in named.items()} | external)
+    plain = {key[0] + key[1]: _entity(key[0], key[1], F.col(columns[key]), key[2]) for key in named}
+
+    def of(field: str, kind: str) -> Column:
+        return plain[field + kind]
 
     def ip(field: str, column: str) -> Column:
-        return _entity(field, "ip", F.col(column), net.is_external_ip(F.col(column)))
+        return _entity(field, "ip", F.col(column), F.col(f"_ext{column}"))
 
     def listed(values: Column, build) -> Column:
         return F.coalesce(F.transform(values, build), F.array().cast(ENTITY_TYPE))
@@ -139,22 +161,22 @@ def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
             ip("src_endpoint.ip", "_ip_src"),
             ip("dst_endpoint.ip", "_ip_dst"),
             ip("device.ip", "_ip_dev"),
-            user("user"),
-            user("actor.user"),
-            user("process.user"),
-            domain("query.hostname"),
-            domain("src_endpoint.domain"),
-            domain("dst_endpoint.domain"),
-            domain("src_endpoint.hostname", is_network & ~our_side("src_endpoint")),
-            domain("dst_endpoint.hostname", is_network & ~our_side("dst_endpoint")),
+            of("user.name", "user"),
+            of("actor.user.name", "user"),
+            of("process.user.name", "user"),
+            of("query.hostname", "domain"),
+            of("src_endpoint.domain", "domain"),
+            of("dst_endpoint.domain", "domain"),
+            of("src_endpoint.hostname", "domain"),
+            of("dst_endpoint.hostname", "domain"),
         ),
         listed(F.col("answers"), answer),
         F.array(
-            _entity("process.name", "process", F.lower(_text("process.name")), False),
-            _entity("process.parent_process.name", "process", F.lower(_text("process.parent_process.name")), False),
-            _entity("actor.process.name", "process", F.lower(_text("actor.process.name")), False),
-            _entity("process.file.path", "file", _text("process.file.path"), False),
-            _entity("file.path", "file", _text("file.path"), False),
+            of("process.name", "process"),
+            of("process.parent_process.name", "process"),
+            of("actor.process.name", "process"),
+            of("process.file.path", "file"),
+            of("file.path", "file"),
         ),
         hashes("process.file"),
         hashes("process.parent_process.file"),

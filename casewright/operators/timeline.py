@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casewright.operators.entities import first_of, key_value, remote_key, role
+from casewright.session import cut_lineage
 
 # --- Fixed values -----------------------------------------------------------------------------------------------
 STEP_GAP_MS = 10 * 60_000
@@ -37,6 +38,8 @@ def step_members(evidence: DataFrame, gap_ms: int = STEP_GAP_MS) -> DataFrame:
             "_chunk": F.floor(F.col("time_ms") / CHUNK_MS).cast("long"),
         }
     ).withColumn("_same", F.struct(*_KEY))
+    # Read five times below; written once, so the digests behind it are computed once.
+    keyed = cut_lineage(keyed)
     # The last event of each chunk, handed to the next chunk that has any.
     tails = keyed.groupBy(INCIDENT, "_chunk").agg(F.max(F.struct("time_ms", "event_uid", "_same")).alias("_tail"))
     by_chunk = W.partitionBy(INCIDENT).orderBy("_chunk")

@@ -30,8 +30,10 @@ from casewright.operators import (
 )
 from casewright.operators.scopes import SCOPES
 from casewright.plans import rulebook as R
-from casewright.plans.telemetry import ORG, flat_telemetry, telemetry
-from casewright.session import configure
+from casewright.plans.telemetry import ORG
+from casewright.plans.telemetry import flat_telemetry as build_flat_telemetry
+from casewright.plans.telemetry import telemetry as build_telemetry
+from casewright.session import configure, cut_lineage
 from casewright.sources import records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +50,23 @@ def query(function: Query) -> Query:
     return function
 
 
+def per_session(build: Query) -> Query:
+    """Build a DataFrame once per session and data set: the plan is kept, nothing is computed or stored."""
+    kept: dict[tuple[str, str], DataFrame] = {}
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in kept:
+            kept[key] = build(spark, sf_dir)
+        return kept[key]
+
+    return get
+
+
+flat_telemetry = per_session(build_flat_telemetry)
+telemetry = per_session(build_telemetry)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,6 +98,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", "org_id", "source_id", line.alias("value"))
 
 
+@per_session
 def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = records.line_records(_lines(spark, sf_dir)).withColumn("position", c("event_id"))
     return normalize.parse_records(lines, "linux_auth", F.timestamp_millis(F.lit(NOW_MS)))
@@ -138,6 +158,7 @@ def _windows_raw(spark: SparkSession, sf_dir: str, ids_by_slot: tuple[int, ...],
 SECURITY_IDS = (4624, 4625, 4634, 4647, 4648, 4672, 4688, 4768, 4769, 4771, 4776, 4663)
 
 
+@per_session
 def _security(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.struct(
         c("user_name").alias("TargetUserName"),
@@ -191,6 +212,7 @@ def windows_security_rejects(spark, sf_dir):
 SYSMON_IDS = (1, 3, 5, 7, 8, 10, 11, 12, 13, 14, 22, 23, 99)
 
 
+@per_session
 def _sysmon(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = F.array(*[F.lit(t) for t in ("CreateKey", "DeleteKey", "DeleteValue", "SetValue", "RenameKey", "Unknown")])
     data = F.struct(
@@ -291,6 +313,7 @@ def _ocsf_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("org_id", "source_id", c("event_id").alias("position"), F.to_json(body).alias("raw"))
 
 
+@per_session
 def _ocsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.parse_records(_ocsf_raw(spark, sf_dir), "ocsf", F.timestamp_millis(F.lit(NOW_MS)))
 
@@ -649,7 +672,7 @@ def entity_aliases(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------- detection
 @query
 def rule_matches(spark, sf_dir):
-    found = detect.detect_single(telemetry(spark, sf_dir), R.rulebook(*R.SINGLE).single)
+    found = _single(spark, sf_dir)
     return found.select(
         c("rule_title"), F.get("evidence", F.lit(0)).alias("event_uid"), "finding_id", "severity_id", _csv("techniques").alias("techniques"), "first_ms"
     )
@@ -657,7 +680,7 @@ def rule_matches(spark, sf_dir):
 
 @query
 def finding_entities(spark, sf_dir):
-    found = detect.detect_single(telemetry(spark, sf_dir), R.rulebook(*R.SINGLE).single)
+    found = _single(spark, sf_dir)
     return found.select(F.get("evidence", F.lit(0)).alias("event_uid"), "rule_title", F.explode("entities").alias("name", "values")).select(
         "event_uid", "rule_title", "name", _csv("values").alias("values")
     )
@@ -697,10 +720,16 @@ def threshold_firings(spark, sf_dir):
     return detect.firings(detect.triggers(matches)).select("group_key", "at_ms", "trigger_uid")
 
 
+@per_session
 def _spray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect_threshold(telemetry(spark, sf_dir), R.rulebook(R.PASSWORD_SPRAY).threshold)
 
 
+@per_session
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detect_single(telemetry(spark, sf_dir), R.rulebook(*R.SINGLE).single)
+
+
 @query
 def spray_findings(spark, sf_dir):
     return _spray(spark, sf_dir).select(
@@ -728,12 +757,13 @@ def busy_source_findings(spark, sf_dir):
 
 @query
 def new_findings(spark, sf_dir):
-    found = detect.detect_single(telemetry(spark, sf_dir), R.rulebook(*R.SINGLE).single)
+    found = _single(spark, sf_dir)
     stored = found.filter(c("first_ms") < 1_705_000_000_000)
     return sinks.new_findings(found.unionByName(found), stored).groupBy("rule_title").agg(F.count("*").alias("n"))
 
 
 # ----------------------------------------------------------------------------------------- entities and graph
+@per_session
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.extract_sightings(telemetry(spark, sf_dir))
 
@@ -743,11 +773,12 @@ def entity_sightings(spark, sf_dir):
     return _sightings(spark, sf_dir).select("event_uid", "field", "entity_key", "links")
 
 
+@per_session
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all telemetry, read as one incident per log source: three very large incidents."""
     digests = entities.digest(telemetry(spark, sf_dir))
     source = telemetry(spark, sf_dir).select(c("sx.event_uid").alias("event_uid"), c("sx.source_id").alias("incident_id"))
-    return digests.join(source, "event_uid")
+    return cut_lineage(digests.join(source, "event_uid"))  # a stored table in practice: read by many queries
 
 
 @query
@@ -822,10 +853,11 @@ def timeline_chain(spark, sf_dir):
     return timeline.step_chain(timeline.timeline(_evidence(spark, sf_dir))).select("incident_id", "step_id", "next_step_id")
 
 
+@per_session
 def _pseudo_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the single-event and spray rules read as links of their log source's incident."""
     events = telemetry(spark, sf_dir)
-    found = detect.detect_single(events, R.rulebook(*R.SINGLE).single).unionByName(_spray(spark, sf_dir))
+    found = _single(spark, sf_dir).unionByName(_spray(spark, sf_dir))
     source = events.select(c("sx.event_uid").alias("_uid"), c("sx.source_id").alias("incident_id"))
     placed = found.withColumn("_uid", F.get("evidence", F.lit(0))).join(source, "_uid").drop("_uid")
     return placed.select(
@@ -911,7 +943,7 @@ def finding_evidence(spark, sf_dir):
 
 @query
 def findings_with_technique(spark, sf_dir):
-    found = detect.detect_single(telemetry(spark, sf_dir), R.rulebook(*R.SINGLE).single)
+    found = _single(spark, sf_dir)
     return found.filter(F.array_contains("techniques", "T1033")).select("finding_id", "first_ms")
 
 
@@ -1034,6 +1066,7 @@ def assessed_sources(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------------------------------- intelligence
+@per_session
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An indicator feed written from page hosts and telemetry addresses; part of it is not usable."""
     pages = _table(spark, sf_dir, "pages").select(
@@ -1067,6 +1100,7 @@ def feed_indicators(spark, sf_dir):
     return intel.feed(_feed(spark, sf_dir)).select("type", "value", "verdict", "confidence", "summary", _csv("tags").alias("tags"))
 
 
+@per_session
 def _indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _sightings(spark, sf_dir).filter(c("links") & c("entity_type").isin("ip", "domain")).select("entity_key").distinct()
     return keys.select(intel.parse_indicator(c("entity_key")).alias("i")).filter("i is not null").select("i.*")
@@ -1163,7 +1197,7 @@ def event_lookup(spark, sf_dir):
 
 @query
 def finding_search_page(spark, sf_dir):
-    found = detect.detect_single(telemetry(spark, sf_dir), R.rulebook(*R.SINGLE).single)
+    found = _single(spark, sf_dir)
     page = search.search_findings(found, org_id=ORG, severity_min=3, technique="T1059.001", from_ms=1_704_500_000_000, limit=60)
     return page.select("finding_id", "last_ms")
 
@@ -1231,6 +1265,7 @@ def checked_notes(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------------------------- rule catalogue
+@per_session
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule catalogue as large as the documents table."""
     d = _table(spark, sf_dir, "documents")
@@ -1343,6 +1378,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def _grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = flat_telemetry(spark, sf_dir)
     known_events = t.select(F.lit(ORG).alias("incident_id"), "event_uid")
@@ -1402,7 +1438,7 @@ def _recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
             "purpose": F.when(c("recording") == "src-2", "claims").otherwise("priority"),
         }
     )
-    found = detect.detect_single(events, R.rulebook(*R.SINGLE).single)
+    found = _single(spark, sf_dir)
     source = events.select(c("sx.event_uid").alias("_uid"), c("sx.source_id").alias("recording"))
     placed = found.withColumn("_uid", F.get("evidence", F.lit(0))).join(source, "_uid").drop("_uid")
     lab = flat_telemetry(spark, sf_dir).filter(c("k") % 8 == 0).select("event_uid")
