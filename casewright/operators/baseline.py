@@ -37,7 +37,10 @@ def _observed(pair: Column, remotes: Column, host: Column) -> Column:
 
 
 def observations(events: DataFrame) -> DataFrame:
-    """One row per event and counted thing: parent → child, external remote, host → remote."""
+    """One row per event and counted thing: parent → child, external remote, host → remote.
+
+    The host is the first our side of the event names, which is what a digest keeps, so the two agree.
+    """
     child = F.lower(scalars.blank_to_null(F.col("process.name")))
     parent = F.lower(scalars.blank_to_null(F.col("process.parent_process.name")))
     marked = with_roles(
@@ -45,14 +48,14 @@ def observations(events: DataFrame) -> DataFrame:
         F.col("sx.org_id").alias("org_id"),
         "time_ms",
         F.concat(parent, F.lit(" -> "), child).alias("pair"),
-        scalars.normalise_host(F.col("device.hostname")).alias("host"),
     )
     remote = F.filter(
         "roles",
         lambda e: ((e["type"] == "ip") & e["links"] & (e["field"] != "device.ip")) | (e["type"] == "domain"),
     )
     remotes = F.array_distinct(F.transform(remote, lambda e: e["value"]))
-    return _listed(marked.select("org_id", "time_ms", _observed(F.col("pair"), remotes, F.col("host")).alias("seen")))
+    host = F.get(F.filter("roles", lambda e: e["role"] == "host"), F.lit(0))["value"]
+    return _listed(marked.select("org_id", "time_ms", _observed(F.col("pair"), remotes, host).alias("seen")))
 
 
 def _listed(rows: DataFrame) -> DataFrame:
