@@ -37,6 +37,8 @@ TITLE_DEFAULT = "Correlated findings"
 MAX_TITLE = 255
 # ------------------------------------------------------------------------------------------------------------
 HOUR_MS = 3_600_000
+# A batch of at most this many findings is not worth splitting.
+ONE_GROUP_UP_TO = 20_000
 
 
 class Incidents(NamedTuple):
@@ -187,10 +189,13 @@ def new_incident_id(org_id: Column, finding_id: Column) -> Column:
     return digest(F.lit("incident"), org_id, finding_id)
 
 
-def assign(keyed: DataFrame, open_incidents: DataFrame | None = None) -> DataFrame:
+def assign(
+    keyed: DataFrame, open_incidents: DataFrame | None = None, one_group_up_to: int = ONE_GROUP_UP_TO
+) -> DataFrame:
     """``finding_id → incident_id, shared``: the fold over every group.
 
     ``open_incidents(incident_id, org_id, first_ms, last_ms, keys)`` are those an earlier batch left open.
+    Grouping only makes the fold parallel, so a batch of few findings is folded as one group per organisation.
     """
     items = keyed.select(
         "org_id",
@@ -218,10 +223,13 @@ def assign(keyed: DataFrame, open_incidents: DataFrame | None = None) -> DataFra
         F.col("new_incident_id").alias("incident_id"),
         F.lit(None).cast("array<string>").alias("shared"),
     )
-    linked = items.filter(F.size("keys") > 0)
+    linked = cut_lineage(items.filter(F.size("keys") > 0))
+    if linked.limit(one_group_up_to + 1).count() <= one_group_up_to:
+        grouped = linked.withColumn("fold_group", F.col("org_id"))
+    else:
+        grouped = linked.join(fold_groups(linked), "item_id")
     ordered = (
-        linked.join(fold_groups(linked), "item_id")
-        .select(
+        grouped.select(
             "fold_group",
             F.col("incident_id").isNull().alias("is_new"),
             "first_ms",

@@ -5,6 +5,8 @@ All of it happens inside the row, so extracting entities from a table needs no s
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,10 @@ def _entity(field: str, kind: str, value: Column, links: Column | bool, role: st
     )
 
 
-def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
-    """``keep`` and ``roles``: every (field, entity) pair of the event, in a fixed order, each pair once.
-
-    The client-claimed name of an authentication is not one of our hosts; the far side of an outbound
-    connection is a domain, not a host.
-    """
+@lru_cache(maxsize=2)
+def _role_columns(application: str) -> tuple[dict[str, Column], Column, dict[str, Column], Column]:
+    """The expressions behind ``with_roles``, built once per Spark application: hosts and addresses, the scope
+    of a bare account name, the other values, and the list of roles made of them all."""
     is_auth = F.col("class_uid") == S.AUTHENTICATION
     is_network = F.col("class_uid").isin(*S.NETWORK_CLASSES)
 
@@ -87,7 +87,7 @@ def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
         return _text(f"{side}.ip").isNull() | ~net.is_external_ip(_text(f"{side}.ip"))
 
     # Named first: each is used several times below, and a column is computed once.
-    prepared = events.withColumns(
+    hosts_and_addresses = (
         {
             "_host0": scalars.normalise_host(_text("device.hostname")),
             "_host_src": F.when(is_network & our_side("src_endpoint"), scalars.normalise_host(_text("src_endpoint.hostname"))),
@@ -100,8 +100,7 @@ def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
         }
     )
     # In a network event the source side comes before the destination side.
-    host = F.coalesce("_host0", "_host_src", "_host_dst")
-    prepared = prepared.withColumn("_scope", host)
+    scope = F.coalesce("_host0", "_host_src", "_host_dst")
 
     def user(prefix: str) -> Column:
         return scalars.scoped_user(_text(f"{prefix}.name"), _text(f"{prefix}.domain"), F.col("_scope"))
@@ -127,7 +126,7 @@ def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
     }
     columns = {key: f"_value{number}" for number, key in enumerate(named)}
     external = {f"_ext{name}": net.is_external_ip(F.col(name)) for name in ("_ip_src", "_ip_dst", "_ip_dev")}
-    prepared = prepared.withColumns({columns[key]: value for key, value in named.items()} | external)
+    values = {columns[key]: value for key, value in named.items()} | external
     plain = {key[0] + key[1]: _entity(key[0], key[1], F.col(columns[key]), key[2]) for key in named}
 
     def of(field: str, kind: str) -> Column:
@@ -183,6 +182,17 @@ def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
         hashes("file"),
     )
     roles = F.array_distinct(F.filter(found, lambda e: e["value"].isNotNull()))
+    return hosts_and_addresses, scope, values, roles
+
+
+def with_roles(events: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep`` and ``roles``: every (field, entity) pair of the event, in a fixed order, each pair once.
+
+    The client-claimed name of an authentication is not one of our hosts; the far side of an outbound
+    connection is a domain, not a host.
+    """
+    first, scope, values, roles = _role_columns(events.sparkSession.sparkContext.applicationId)
+    prepared = events.withColumns(first).withColumn("_scope", scope).withColumns(values)
     # inline(array(struct)) makes the result columns of their own. As a plain projection the whole expression
     # would be copied into every filter and generator above it.
     return prepared.select(F.inline(F.array(F.struct(*keep, roles.alias("roles")))))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from casewright.operators import baseline, correlate, entities, graph, reports, timeline, triage
@@ -133,7 +134,8 @@ def fold_one_by_one(items, window=correlate.CORRELATION_WINDOW_MS):
     return placed
 
 
-def test_parallel_fold_equals_one_by_one(spark):
+@pytest.mark.parametrize("one_group_up_to", [0, 20_000])
+def test_parallel_fold_equals_one_by_one(spark, one_group_up_to):
     """One key sits in a third of all findings; quiet spells cut the rest into islands."""
     rng = random.Random(3)
     items = []
@@ -147,7 +149,7 @@ def test_parallel_fold_equals_one_by_one(spark):
     items.append(("f9999", 5, 5, []))
     keyed = spark.createDataFrame(items, "finding_id string, first_ms long, last_ms long, keys array<string>").withColumn("org_id", F.lit("o"))
     groups = {}
-    for row in correlate.assign(keyed).collect():
+    for row in correlate.assign(keyed, one_group_up_to=one_group_up_to).collect():
         groups.setdefault(row.incident_id, set()).add(row.finding_id)
     expected = {}
     for item, number in fold_one_by_one(items[:-2]).items():
