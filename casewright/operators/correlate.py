@@ -547,15 +547,14 @@ def assess(links: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame,
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tactic"))), lambda r: r["tactic"]).alias("tactics"))
     )
     by_host = W.partitionBy("incident_id").orderBy("first_ms", "entity_key")
-    hosts = (
-        entities.filter(F.col("entity_type") == "host")
-        .select("incident_id", "entity_value", "first_ms", "entity_key", F.row_number().over(by_host).alias("rank"))
+    host_rows = entities.filter(F.col("entity_type") == "host").select("incident_id", "entity_value", "first_ms", "entity_key")
+    first_hosts = (
+        host_rows.withColumn("rank", F.row_number().over(by_host))
+        .filter(F.col("rank") <= 2)
         .groupBy("incident_id")
-        .agg(
-            F.count("*").alias("host_count"),
-            F.array_sort(F.collect_list(F.when(F.col("rank") <= 2, F.struct("rank", "entity_value")))).alias("hosts"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "entity_value"))).alias("hosts"))
     )
+    hosts = host_rows.groupBy("incident_id").agg(F.count("*").alias("host_count")).join(first_hosts, "incident_id")
     no_text = F.array().cast("array<string>")
     full = (
         totals.join(event_counts, "incident_id")
@@ -677,11 +676,13 @@ def incident_evidence(links: DataFrame, events: DataFrame) -> DataFrame:
     return cited.join(E.digest(read), ["org_id", "event_uid"])
 
 
-def open_incidents(links: DataFrame, recorded: DataFrame, earliest_ms: int) -> DataFrame:
-    """Stored incidents that activity from ``earliest_ms`` on can still reach, with their linking keys."""
+def open_incidents(links: DataFrame, recorded: DataFrame, earliest_ms: int, wanted: DataFrame) -> DataFrame:
+    """Stored incidents that activity from ``earliest_ms`` on can still reach, with those of their linking keys
+    that the batch's findings hold (``wanted``): no other key can match, so a vast incident stays a short row."""
     spans = links.groupBy("org_id", "incident_id").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
     live = spans.filter(F.col("last_ms") >= earliest_ms - CORRELATION_WINDOW_MS)
-    keys = recorded.filter("links").join(live, "incident_id", "left_semi").groupBy("incident_id").agg(
+    held = recorded.filter("links").join(wanted, ["org_id", "entity_key"], "left_semi")
+    keys = held.join(live, "incident_id", "left_semi").groupBy("incident_id").agg(
         F.sort_array(F.collect_set("entity_key")).alias("keys")
     )
     return live.join(keys, "incident_id")
@@ -715,7 +716,8 @@ def link_batch(
     if stored_links is not None:
         earliest = findings.agg(F.min("first_ms")).first()[0]
         if earliest is not None:
-            seeds = open_incidents(reachable(stored_links), reachable(stored_recorded), earliest)
+            wanted = sightings.filter("links").select("org_id", "entity_key").distinct()
+            seeds = open_incidents(reachable(stored_links), reachable(stored_recorded), earliest, wanted)
     assigned = assign(_keyed(findings, sightings), seeds)
     recorded = _recorded(sightings, assigned, findings, 2 * batch)
     everything = recorded if stored_recorded is None else stored_recorded.unionByName(recorded)

@@ -173,6 +173,16 @@ def unresolved_events(links: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def step_chain(steps: DataFrame) -> DataFrame:
-    """Each step with the one that follows it in its incident."""
-    order = W.partitionBy(INCIDENT).orderBy("first_ms", "step_id")
-    return steps.withColumn("next_step_id", F.lead("step_id").over(order))
+    """Each step with the one that follows it in its incident; steps are ordered chunk by chunk."""
+    chunk = F.floor(F.col("first_ms") / CHUNK_MS).cast("long")
+    placed = steps.withColumn("_chunk", chunk)
+    heads = placed.groupBy(INCIDENT, "_chunk").agg(F.min_by("step_id", F.struct("first_ms", "step_id")).alias("_head"))
+    following = heads.select(
+        INCIDENT, "_chunk", F.lead("_head").over(W.partitionBy(INCIDENT).orderBy("_chunk")).alias("_next_head")
+    )
+    in_chunk = W.partitionBy(INCIDENT, "_chunk").orderBy("first_ms", "step_id")
+    return (
+        placed.join(following, [INCIDENT, "_chunk"])
+        .withColumn("next_step_id", F.coalesce(F.lead("step_id").over(in_chunk), F.col("_next_head")))
+        .drop("_chunk", "_next_head")
+    )

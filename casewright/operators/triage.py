@@ -98,6 +98,9 @@ def tactic_coverage(rules: DataFrame) -> DataFrame:
 def coverage_totals(rules: DataFrame) -> DataFrame:
     """Rules, rules naming no technique, techniques and sub-techniques named."""
     named = rules.select(F.explode("techniques").alias("t")).select(F.upper("t").alias("t")).distinct()
-    techniques = named.agg(F.count("*").alias("techniques"), F.count_if(F.col("t").contains(".")).alias("sub_techniques"))
-    totals = rules.agg(F.count("*").alias("rules"), F.count_if(F.size("techniques") == 0).alias("untagged"))
-    return totals.crossJoin(F.broadcast(techniques))  # one row each
+    return rules.agg(F.count("*").alias("rules"), F.count_if(F.size("techniques") == 0).alias("untagged")).withColumns(
+        {
+            "techniques": named.agg(F.count("*")).scalar(),
+            "sub_techniques": named.agg(F.count_if(F.col("t").contains("."))).scalar(),
+        }
+    )
