@@ -490,6 +490,10 @@ SELECT incident_id, 'Multi-stage activity (' || pretty || ') on ' || two || CASE
   greatest(top, 4) AS severity_id, first_ms, last_ms, finding_count, event_count, techniques, tactics, 'highest-finding-severity,multi-stage' AS reasons
 FROM tot JOIN tac USING (incident_id) JOIN tec USING (incident_id) JOIN ht USING (incident_id) JOIN evn USING (incident_id)""")
 
+sql("merged_entities", TEL, SIGHTINGS)("""
+, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, entity_key ORDER BY time_ms, event_uid) AS rn FROM (SELECT DISTINCT source_id, entity_key, links, time_ms, event_uid FROM sight))
+SELECT source_id AS incident_id, entity_key, links, min(time_ms) AS first_ms, max(time_ms) AS last_ms, string_agg(event_uid, ',' ORDER BY rn) FILTER (rn <= 20) AS events FROM r GROUP BY ALL""")
+
 # ----------------------------------------------------------------------------------------------------- intelligence
 _FEED = """
 raw_feed AS (
@@ -580,6 +584,14 @@ tagged AS (SELECT *, unnest(techniques) AS technique_id FROM rules)"""
 sql("technique_coverage", _RULES)("""
 , r AS (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY title) AS rn FROM tagged)
 SELECT technique_id, count(*) AS rules, count(*) FILTER (NOT community) AS own, count(*) FILTER (community) AS community, string_agg(title, ',' ORDER BY rn) FILTER (rn <= 5) AS titles FROM r GROUP BY ALL""")
+sql("coverage_layer", _RULES)("""
+, n AS (SELECT technique_id, count(*) AS rules FROM tagged GROUP BY ALL),
+f AS (SELECT technique_id FROM n ORDER BY technique_id LIMIT 1),
+t AS (SELECT title, row_number() OVER (ORDER BY title) AS rn FROM tagged WHERE technique_id = (SELECT technique_id FROM f))
+SELECT 'Rule coverage' AS name, (SELECT max(rules) FROM n) AS top, (SELECT technique_id FROM f) AS first_technique,
+  (SELECT string_agg(title, '; ' ORDER BY rn) FROM t WHERE rn <= 5) AS first_comment,
+  (SELECT count(*) FROM rules) || ' rules name ' || (SELECT count(*) FROM n) || ' techniques (' || (SELECT count(*) FROM n WHERE contains(technique_id, '.')) || ' sub-techniques); '
+    || (SELECT count(*) FROM rules WHERE len(techniques) = 0) || ' name none. A score counts rules; it does not say they would catch anything. Exported 2024-02-03T22:40:00.000Z.' AS description""")
 sql("tactic_coverage", _RULES)("SELECT tactic, count(*) AS rules FROM rules GROUP BY ALL")
 sql("coverage_totals", _RULES)("""
 SELECT count(*) AS rules, count(*) FILTER (len(techniques) = 0) AS untagged, (SELECT count(DISTINCT technique_id) FROM tagged) AS techniques,

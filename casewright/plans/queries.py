@@ -1065,6 +1065,20 @@ def assessed_sources(spark, sf_dir):
     )
 
 
+@query
+def merged_entities(spark, sf_dir):
+    """Entities per log source stored from the first half of the data, widened by the second half."""
+    half = 1_705_000_000_000
+    source = telemetry(spark, sf_dir).select(c("sx.event_uid").alias("event_uid"), c("sx.source_id").alias("incident_id"))
+    seen = _sightings(spark, sf_dir).join(source, "event_uid").withColumn(
+        "recorded_at", F.struct(c("at_ms").alias("a"), c("event_uid").alias("b"))
+    )
+    early = correlate.incident_entities(seen.filter(c("at_ms") < half)).drop("recorded")
+    late = correlate.incident_entities(seen.filter(c("at_ms") >= half)).drop("recorded")
+    merged = sinks.merge_entities(early, late)
+    return merged.select("incident_id", "entity_key", "links", "first_ms", "last_ms", _csv("events").alias("events"))
+
+
 # ----------------------------------------------------------------------------------------------------- intelligence
 @per_session
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1287,6 +1301,21 @@ def technique_coverage(spark, sf_dir):
     return triage.technique_coverage(_catalogue(spark, sf_dir)).select("technique_id", "rules", "own", "community", _csv("titles").alias("titles"))
 
 
+@query
+def coverage_layer(spark, sf_dir):
+    rules = _catalogue(spark, sf_dir)
+    layer = reports.coverage_layer(
+        triage.technique_coverage(rules), triage.coverage_totals(rules), F.timestamp_millis(F.lit(NOW_MS))
+    )
+    return layer.select(
+        F.get_json_object("value", "$.name").alias("name"),
+        F.get_json_object("value", "$.gradient.maxValue").cast("long").alias("top"),
+        F.get_json_object("value", "$.techniques[0].techniqueID").alias("first_technique"),
+        F.get_json_object("value", "$.techniques[0].comment").alias("first_comment"),
+        F.get_json_object("value", "$.description").alias("description"),
+    )
+
+
 @query
 def tactic_coverage(spark, sf_dir):
     return triage.tactic_coverage(_catalogue(spark, sf_dir))
