@@ -99,3 +99,19 @@ def test_one_scan_serves_many_rules(spark):
     assert sorted(r.rule_id for r in found.collect()) == ["119", "3", "7"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_selected_rules_are_copied_verbatim_with_a_manifest(spark, tmp_path):
+    source = tmp_path / "pack" / "win"
+    source.mkdir(parents=True)
+    good = json.dumps(rule({"s": {"CommandLine": "x"}, "condition": "s"}))
+    (source / "good.json").write_text(good)
+    (source / "bad.json").write_text(json.dumps(rule({"s": {"Nope": "x"}, "condition": "s"}) | {"id": "b"}))
+    (source / "MANIFEST.json").write_text(json.dumps({"rule_base_url": "https://rules.example", "files": {"good.json": "a/good.yml"}}))
+    kept = R.write_selection(spark, str(tmp_path / "pack"), str(tmp_path / "out"), "r1")
+    assert [r.source_url for r in kept.rules] == ["https://rules.example/a/good.yml"]
+    assert kept.refused == (("win/bad.json", "field 'Nope' is not mapped for logsource process_creation"),)
+    [row] = spark.read.parquet(str(tmp_path / "out" / "rules")).collect()
+    assert (row.path, row.text) == ("win/good.json", good)
+    manifest = json.loads(spark.read.text(str(tmp_path / "out" / "manifest")).first().value)
+    assert manifest == {"release": "r1", "selected": 1, "files": ["win/good.json"]}
