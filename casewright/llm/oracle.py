@@ -15,3 +15,52 @@ ranked AS (
   FROM base)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM ranked
 """
+
+ORACLE["op7_source_mixing"] = r"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM base GROUP BY source),
+weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         2.0::DOUBLE * source_size AS stop, 1.5::DOUBLE * sum(source_size) OVER () AS total
+  FROM sources),
+levels AS (
+  SELECT stop / weight AS ratio,
+         (total - coalesce(sum(stop) OVER (ORDER BY stop / weight RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0))
+         / sum(weight) OVER (ORDER BY stop / weight RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, least(stop, weight * (SELECT min_by(level, ratio) FROM levels WHERE level <= ratio)) AS target
+  FROM weighed),
+lined AS (
+  SELECT b.doc_id, b.size, t.source_size, t.target, floor(t.target) AS quota,
+         coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.place, b.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+  FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(line + size, quota) - line)
+          + greatest(0, least(source_size + line + size, quota) - (source_size + line)) AS BIGINT) AS taken
+FROM lined
+"""
+
+ORACLE["op8_url_cascade"] = r"""
+WITH rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+cut AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+ranked AS (
+  SELECT c.*, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+  FROM cut c LEFT JOIN rules r
+    ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1
+"""
