@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, mixing, simhash, url_filter
+from casewright.llm import exact_dedup, mixing, packing, simhash, url_filter
 from casewright.llm.common import table
 from casewright.session import configure
 
@@ -54,3 +54,11 @@ def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_texts(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
