@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, mixing, packing, quality, simhash, url_filter
+from casewright.llm import exact_dedup, mixing, packing, quality, simhash, topk, url_filter
 from casewright.llm.common import remainder, table
 from casewright.session import configure
 
@@ -74,3 +74,8 @@ def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
