@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, mixing, packing, quality, simhash, topk, url_filter
+from casewright.llm import exact_dedup, html_text, mixing, packing, quality, simhash, topk, url_filter
 from casewright.llm.common import remainder, table
 from casewright.session import configure
 
@@ -79,3 +79,9 @@ def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
