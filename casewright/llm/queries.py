@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, html_text, mixing, packing, quality, simhash, topk, url_filter
+from casewright.llm import exact_dedup, html_text, mixing, packing, quality, simhash, topk, url_filter, warc
 from casewright.llm.common import remainder, table
 from casewright.session import configure
 
@@ -85,3 +85,10 @@ def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.shared_folder(spark, "archives")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_archive(spark, path))
