@@ -131,8 +131,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*columns, strict=True), kinds, strict=True)], list(names))
 
     for file, split, at, end, bare in _placed(batches):
-        head, found, block = bare.partition(b"\r\n\r\n")
-        length = LENGTH.search(head) if found else None
+        # a block that starts with a version line makes the end of the head look like a magic: no block is left then
+        head, _, block = bare.partition(b"\r\n\r\n")
+        length = LENGTH.search(head)
         row: list = [file, split, at, end, None, None, None, None, None, None, None, None]
         if length:
             size = int(length[1])
