@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, html_text, mixing, packing, quality, simhash, topk, url_filter, warc
+from casewright.llm import exact_dedup, html_text, language_model, mixing, packing, quality, simhash, topk, url_filter, warc
 from casewright.llm.common import remainder, table
 from casewright.session import configure
 
@@ -92,3 +92,8 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.shared_folder(spark, "archives")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.page_records(warc.read_archive(spark, path))
+
+
+@query
+def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
