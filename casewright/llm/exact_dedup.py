@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import SPACES, rekeyed, whole
+from casewright.session import cut_lineage
 
 
 def normal_text(text: str | Column) -> Column:
@@ -34,7 +35,8 @@ def exact_duplicates(
     ).withColumn("_hash", digest(F.col("_text")))
     sha = F.sha2(F.col("_text").cast("binary"), 256)
 
-    rows = base.select("doc_id", "_points", F.concat("_hash", sha).alias("_key"), sha.alias("text_sha256"))
+    # read by the groups and by the last join: written once, without texts
+    rows = cut_lineage(base.select("doc_id", "_points", F.concat("_hash", sha).alias("_key"), sha.alias("text_sha256")))
     # ~id = -id - 1 reverses the order without overflow
     first = F.max(F.struct(F.col("_points"), F.bitwise_not("doc_id").alias("turned")))
     groups = rows.groupBy("_key").agg(F.count("*").alias("group_size"), first.alias("_first"))
