@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from casewright.llm.common import mix, remainder, steps, whole
 
@@ -222,22 +223,20 @@ def train(
     return fit(bags, y, weight / weight.mean())
 
 
-def quality_scores(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) to the documents, from their whole texts alone; 0.5 without a model.
+def quality_scores(docs: DataFrame, model: AttentionModel | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Adds a score (0 to 1) to the documents, from their whole texts alone; 0.5 without a model.
 
     Null texts count as empty; an empty text is one passage without words. Rows are scored where they are read, some
-    megabytes at a time. Repeated rows get equal scores; a column named score is replaced; an empty table gives an
-    empty result.
+    megabytes at a time. Repeated rows get equal scores; a column with the score's name is replaced; an empty table
+    gives an empty result.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    kept = docs.drop("score")
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    kept = docs.drop(score_col)
+    schema = StructType([*kept.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text_col, STEP):
             texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             scores = np.full(len(texts), 0.5) if model is None else model.score(*encode(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores.astype(np.float64))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores.astype(np.float64))], [*batch.schema.names, score_col])
 
     return kept.mapInArrow(run, schema)

@@ -139,10 +139,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", un
     Null, empty or malformed URLs have an empty host and path, no rule, and are ``unlisted``. Repeated rows are judged
     alike; an empty table gives an empty result; columns named host, path, rule or verdict are replaced.
     """
-    host, path = host_and_path(url_col)
     if not rules:
+        host, path = host_and_path(url_col)
         added = {"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(unlisted)}
         return pages.withColumns(added)
+    # the page's own columns stand aside in a struct, so that no working column can meet one of their names
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"))
+    host, path = host_and_path(F.col("_row").getField(url_col))
     shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
     candidate = [
         F.when(
@@ -160,7 +163,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", un
         return found.withColumn("_keys", keys)
 
     hashes = F.explode(F.transform("_keys", lambda k: key_hashes(k["key"]))).alias("h")
-    universe = cut_lineage(keyed(pages.select(url_col)).select(hashes).select("h.a", "h.b").distinct())
+    universe = cut_lineage(keyed(rows).select(hashes).select("h.a", "h.b").distinct())
     verdicts = sorted({r.verdict for r in rules})
     cascades = [build_cascade([r.key for r in rules if r.verdict == v], universe) for v in verdicts]
 
@@ -174,7 +177,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", un
             found[cascade.holds(flat)] = place
         return pd.Series(np.split(found, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
 
-    probed = keyed(pages).withColumn(
+    probed = keyed(rows).withColumn(
         "_found",
         listed(
             F.transform("_keys", lambda k: key_hashes(k["key"])["a"]), F.transform("_keys", lambda k: key_hashes(k["key"])["b"])
@@ -186,15 +189,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", un
     )
     names = F.array(*[F.lit(v) for v in verdicts])
     best = F.array_max("_matched")
-    return (
-        probed.withColumn("_matched", matched)
-        .withColumns(
-            {
-                "host": F.col("_host"),
-                "path": F.col("_path"),
-                "rule": best["key"],
-                "verdict": F.when(best.isNotNull(), F.element_at(names, best["found"] + 1)).otherwise(F.lit(unlisted)),
-            }
-        )
-        .drop("_host", "_path", "_parts", "_keys", "_found", "_matched")
-    )
+    added = {
+        "host": F.col("_host"),
+        "path": F.col("_path"),
+        "rule": best["key"],
+        # element_at alone would not give null for a null position
+        "verdict": F.when(best.isNotNull(), F.element_at(names, best["found"] + 1)).otherwise(F.lit(unlisted)),
+    }
+    own = [F.col("_row").getField(c).alias(c) for c in pages.columns if c not in added]
+    return probed.withColumn("_matched", matched).select(*own, *[c.alias(n) for n, c in added.items()])
