@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -74,6 +75,7 @@ def _hints(rest: str) -> set[str]:
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order. Broken markup is read leniently: an end tag closes up to its start tag."""
     stack: list[tuple[str, bool, bool, bool]] = []  # name, shell, closed, core
+    opened: Counter[str] = Counter()
     shell = closed = core = False
     links = 0
     found: list[Block] = []
@@ -85,9 +87,13 @@ def blocks_of(page: str) -> list[Block]:
             found.append(block)
         block = Block(shell, core)
 
-    def restore() -> None:
+    def leave() -> str:
+        """Close the innermost element; what is around it holds again."""
         nonlocal shell, closed, core
+        name = stack.pop()[0]
+        opened[name] -= 1
         _, shell, closed, core = stack[-1] if stack else ("", False, False, False)
+        return name
 
     def say(text: str) -> None:
         if text:
@@ -115,12 +121,10 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if ends:
-            places = [i for i, e in enumerate(stack) if e[0] == name]
-            if places:
-                del stack[places[-1] :]
-                restore()
-                if name not in INLINE:
-                    block.shell, block.core = shell, core
+            if opened[name]:
+                flush()
+                while leave() != name:
+                    pass
             continue
         hints = _hints(token["rest"])
         is_core = name in CORE_TAGS or bool(hints & CORE_WORDS) and name not in INLINE
@@ -128,15 +132,14 @@ def blocks_of(page: str) -> list[Block]:
         if name in INLINE and not is_shell:
             continue
         if name in SELF_CLOSING and stack and stack[-1][0] in SELF_CLOSING[name]:
-            stack.pop()
-            restore()
+            leave()
         if is_shell:
             shell, closed = True, closed or name in ("aside", "footer") or bool(hints & CLOSED_WORDS)
         elif is_core and not closed:
             shell, core = False, True
+        flush()  # an inline advert ends a block as well
         stack.append((name, shell, closed, core))
-        if name not in INLINE:
-            block.shell, block.core = shell, core
+        opened[name] += 1
     say(page[at:])
     flush()
     kept = []
@@ -274,6 +277,8 @@ def train(labelled: tuple[tuple[float, ...], ...] = LABELLED) -> Node:
 def main_text(page: str, tree: Node) -> str:
     """The blocks that the tree takes for article text, one a line."""
     blocks = blocks_of(page)
+    if not blocks:
+        return ""
     marked = any(b.core and not b.shell for b in blocks)
     edge = Block(False, False)
     kept = []

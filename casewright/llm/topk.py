@@ -101,7 +101,7 @@ def _quantised(embedding: Column, scale: int) -> Column:
 
 
 def _matrix(batch: pa.RecordBatch, rows: np.ndarray, dims: int) -> np.ndarray:
-    return batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
+    return batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), dims)
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
