@@ -37,8 +37,6 @@ TITLE_DEFAULT = "Correlated findings"
 MAX_TITLE = 255
 # ------------------------------------------------------------------------------------------------------------
 HOUR_MS = 3_600_000
-# A batch of at most this many findings is not worth splitting.
-ONE_GROUP_UP_TO = 20_000
 
 
 class Incidents(NamedTuple):
@@ -189,13 +187,11 @@ def new_incident_id(org_id: Column, finding_id: Column) -> Column:
     return digest(F.lit("incident"), org_id, finding_id)
 
 
-def assign(
-    keyed: DataFrame, open_incidents: DataFrame | None = None, one_group_up_to: int = ONE_GROUP_UP_TO
-) -> DataFrame:
+def assign(keyed: DataFrame, open_incidents: DataFrame | None = None) -> DataFrame:
     """``finding_id → incident_id, shared``: the fold over every group.
 
     ``open_incidents(incident_id, org_id, first_ms, last_ms, keys)`` are those an earlier batch left open.
-    Grouping only makes the fold parallel, so a batch of few findings is folded as one group per organisation.
+    Findings that cannot reach each other are folded apart, whatever their number.
     """
     items = keyed.select(
         "org_id",
@@ -224,10 +220,7 @@ def assign(
         F.lit(None).cast("array<string>").alias("shared"),
     )
     linked = cut_lineage(items.filter(F.size("keys") > 0))
-    if linked.limit(one_group_up_to + 1).count() <= one_group_up_to:
-        grouped = linked.withColumn("fold_group", F.col("org_id"))
-    else:
-        grouped = linked.join(fold_groups(linked), "item_id")
+    grouped = linked.join(fold_groups(linked), "item_id")
     ordered = (
         grouped.select(
             "fold_group",

@@ -7,6 +7,7 @@ Input events are the stored form, one row per ``sx.event_uid``. Findings have on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -26,10 +27,10 @@ MAX_EVIDENCE = 100
 MAX_ENTITY_NAMES = 20
 MAX_ENTITY_VALUES = 20
 # ------------------------------------------------------------------------------------------------------------
-# Rules per array literal: keeps each generated method small enough to be compiled.
-RULES_PER_ARRAY = 50
+# Rules per column of bits: one such column is one generated method, small enough for the JVM to compile.
+RULES_PER_MASK = 8
 # A group with at most this many distinct firing times is folded as one array; larger ones are cut in time.
-FOLD_LIMIT = 4_096
+FOLD_LIMIT = 256
 # A large group is cut into pieces this many windows long, or a day when that is shorter.
 WINDOWS_PER_PIECE = 8
 MAX_PIECE_MS = 24 * 3_600_000
@@ -86,18 +87,33 @@ def _stored(events: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------- single events
-def matched_rules(rules: list[Rule]) -> Column:
-    """The positions of the rules an event satisfies: one pass, each scope tested once for all its rules."""
+def matched_rules(events: DataFrame, rules: list[Rule], *keep: str | Column) -> DataFrame:
+    """``keep`` and ``rule``, the position of a rule that the event satisfies: one pass, whatever the number of rules.
+
+    Rules are tested in a plain projection, eight to a column of bits, so all tests run as generated code; what
+    follows looks at bits. A scope is tested once for the rules of a column.
+    """
     by_scope: dict[str, list[tuple[int, Rule]]] = {}
     for index, rule in enumerate(rules):
         by_scope.setdefault(rule.scope, []).append((index, rule))
-    none = F.array().cast("array<int>")
-    found = [none]
+    masks, positions = [], []
     for name, members in by_scope.items():
-        for chunk in batched(members, RULES_PER_ARRAY):
-            hits = F.array_compact(F.array(*[F.when(rule.predicate, F.lit(index)) for index, rule in chunk]))
-            found.append(F.when(scope_named(name).where(), hits).otherwise(none))
-    return F.concat(*found)
+        for chunk in batched(members, RULES_PER_MASK):
+            bits = reduce(
+                lambda a, b: a.bitwiseOR(b),
+                [F.when(rule.predicate, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, rule) in enumerate(chunk)],
+            )
+            masks.append(F.when(scope_named(name).where(), bits).otherwise(F.lit(0)).alias(f"_mask_{len(masks)}"))
+            positions += [index for index, _ in chunk] + [-1] * (RULES_PER_MASK - len(chunk))
+    tested = events.select(*keep, *masks)
+    kept = tested.columns[: len(tested.columns) - len(masks)]
+    hit = tested.select(*kept, F.posexplode(F.array(*[f"_mask_{n}" for n in range(len(masks))])).alias("_column", "_bits"))
+    each = hit.filter("_bits <> 0").select(
+        *kept, "_column", "_bits", F.explode(F.array(*[F.lit(bit) for bit in range(RULES_PER_MASK)])).alias("_bit")
+    )
+    known = F.array(*[F.lit(index) for index in positions])
+    rule_at = F.element_at(known, F.col("_column") * RULES_PER_MASK + F.col("_bit") + 1)
+    return each.filter(F.expr("(shiftright(_bits, _bit) & 1) = 1")).select(*kept, rule_at.alias("rule"))
 
 
 def entities_from_observables(observables: Column) -> Column:
@@ -119,12 +135,13 @@ def detect_single(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Findings of the single-event rules: no shuffle, one scan whatever the number of rules."""
     if not rules:
         raise ValueError("no single-event rules given")
-    hits = _stored(events).select(
+    hits = matched_rules(
+        _stored(events),
+        rules,
         F.col("sx.org_id").alias("org_id"),
         F.col("sx.event_uid").alias("event_uid"),
-        "time_ms",
-        "observables",
-        F.explode(matched_rules(rules)).alias("rule"),
+        F.col("time_ms"),
+        F.col("observables"),
     )
     meta = F.broadcast(_rule_meta(events, rules))
     return hits.join(meta, "rule").select(

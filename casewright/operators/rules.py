@@ -7,7 +7,6 @@ with its reason, never half-loaded.
 
 from __future__ import annotations
 
-import ast
 import base64
 import hashlib
 import json
@@ -36,9 +35,6 @@ MAX_GROUP_FIELDS = 5
 ABSENT_TEXT = "-"
 DASHES = ("-", "/", "–", "—", "―")
 # ------------------------------------------------------------------------------------------------------------
-# Rules are read to the driver, so their number and size are checked.
-MAX_RULE_FILES = 20_000
-MAX_RULE_FILE_BYTES = 1_000_000
 
 RULES_SCHEMA = (
     "rule_id string, title string, description string, level string, severity_id int, rule_type string, "
@@ -232,48 +228,73 @@ def _field_item(scope: Scope, key: str, value: Any) -> Column:
     return P.all_of(tests) if "all" in modifiers else P.any_of(tests)
 
 
-_QUANTIFIED = re.compile(r"\b(1|any|all)\s+of\s+(them|[A-Za-z_][\w*]*)", re.IGNORECASE)
+_CONDITION_WORD = re.compile(r"[()]|[^\s()]+")
 
 
 def _condition(text: str, selections: dict[str, Column]) -> Column:
-    """A condition over selection names; ``and``/``or``/``not`` and brackets read as Python reads them."""
-    quantified: dict[str, Column] = {}
-
-    def name_group(found: re.Match[str]) -> str:
-        amount, pattern = found[1].lower(), found[2]
+    """A condition over selection names, which may hold any character but white space and brackets.
+
+    ``not`` binds tighter than ``and``, ``and`` tighter than ``or``; ``1 of``, ``any of`` and ``all of`` take
+    ``them`` (names that do not begin with an underscore) or a name with ``*``.
+    """
+    words = _CONDITION_WORD.findall(str(text))[::-1]  # the next word is the last
+
+    def next_is(*wanted: str) -> bool:
+        return bool(words) and words[-1].lower() in wanted
+
+    def taken() -> str:
+        if not words:
+            raise RuleRefused(f"unsupported condition '{text}'")
+        return words.pop()
+
+    def either() -> Column:
+        parts = [both()]
+        while next_is("or"):
+            taken()
+            parts.append(both())
+        return P.any_of(parts) if len(parts) > 1 else parts[0]
+
+    def both() -> Column:
+        parts = [single()]
+        while next_is("and"):
+            taken()
+            parts.append(single())
+        return P.all_of(parts) if len(parts) > 1 else parts[0]
+
+    def single() -> Column:
+        word = taken()
+        lowered = word.lower()
+        if lowered == "not":
+            return P.negate(single())
+        if word == "(":
+            inner = either()
+            if taken() != ")":
+                raise RuleRefused(f"unsupported condition '{text}'")
+            return inner
+        if lowered in ("1", "any", "all") and next_is("of"):
+            taken()
+            return several(lowered, word, taken())
+        if word in selections:
+            return selections[word]
+        if word == ")" or lowered in ("and", "or", "of") or "|" in word:
+            raise RuleRefused(f"unsupported condition '{text}'")
+        raise RuleRefused(f"condition names '{word}', which is not a selection")
+
+    def several(amount: str, word: str, pattern: str) -> Column:
+        them = pattern.lower() == "them"
         chosen = [
             column
             for name, column in selections.items()
-            if (not name.startswith("_") if pattern == "them" else fnmatchcase(name, pattern))
+            if (not name.startswith("_") if them else fnmatchcase(name, pattern))
         ]
         if not chosen:
-            raise RuleRefused(f"'{found[0]}' names no selection")
-        key = f"q_{len(quantified)}_"
-        quantified[key] = P.all_of(chosen) if amount == "all" else P.any_of(chosen)
-        return key
-
-    spelled = _QUANTIFIED.sub(name_group, str(text))
-    spelled = re.sub(r"\b(AND|OR|NOT)\b", lambda m: m[0].lower(), spelled)
-    known = selections | quantified
-
-    def build(node: ast.AST) -> Column:
-        match node:
-            case ast.BoolOp(op=ast.And(), values=values):
-                return P.all_of([build(v) for v in values])
-            case ast.BoolOp(op=ast.Or(), values=values):
-                return P.any_of([build(v) for v in values])
-            case ast.UnaryOp(op=ast.Not(), operand=operand):
-                return P.negate(build(operand))
-            case ast.Name(id=name) if name in known:
-                return known[name]
-            case ast.Name(id=name):
-                raise RuleRefused(f"condition names '{name}', which is not a selection")
-        raise RuleRefused(f"unsupported condition '{text}'")
+            raise RuleRefused(f"'{word} of {pattern}' names no selection")
+        return P.all_of(chosen) if amount == "all" else P.any_of(chosen)
 
-    try:
-        return build(ast.parse(spelled.strip(), mode="eval").body)
-    except SyntaxError:
-        raise RuleRefused(f"unsupported condition '{text}'") from None
+    found = either()
+    if words:
+        raise RuleRefused(f"unsupported condition '{text}'")
+    return found
 
 
 def _meta(document: dict, text: str, path: str) -> dict[str, Any]:
@@ -490,35 +511,61 @@ def compile_rules(files: list[tuple[str, str]], source_urls: dict[str, str] | No
     return RuleSet(tuple(compiled), tuple(refused))
 
 
+def _one_slash(uri: Column | str) -> Column:
+    """File URIs are written with one or three slashes; both mean the same."""
+    return F.regexp_replace(uri if isinstance(uri, Column) else F.lit(uri), r"^([A-Za-z][A-Za-z0-9+.-]*):/{3}", "$1:/")
+
+
 def rule_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text, version)`` of every rule file under ``path``."""
+    """``(path, text, version)`` of every rule file under ``path``, its path counted from there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = _one_slash(system.makeQualified(folder).toUri().toString().rstrip("/"))
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{yml,yaml,json}")
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        .select(_one_slash(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
     )
-    root = F.regexp_extract("file", r"([^/]+/[^/]+)$", 1)
-    return files.select(root.alias("path"), "text", F.sha2("text", 256).alias("version"))
+    below = F.substr("file", F.length(root) + 2)
+    inside = F.when(F.startswith(F.col("file"), F.concat(root, F.lit("/"))), below).otherwise(
+        F.substring_index("file", "/", -1)  # the path is a file itself
+    )
+    plain = F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B")))
+    return files.select(plain.alias("path"), "text", F.sha2("text", 256).alias("version"))
 
 
 def load_rules(spark: SparkSession, path: str) -> RuleSet:
-    """Read and compile a rule directory. A ``MANIFEST.json`` in it says where community rules came from."""
-    files = rule_files(spark, path).filter(F.length("text") <= MAX_RULE_FILE_BYTES)
-    rows = files.orderBy("path").limit(MAX_RULE_FILES + 1).collect()
-    if len(rows) > MAX_RULE_FILES:
-        raise ValueError(f"{path} holds more than {MAX_RULE_FILES} rule files")
-    urls: dict[str, str] = {}
+    """Read and compile a rule directory: every file, of any length and at any depth.
+
+    A ``MANIFEST.json`` says where the rules of its folder, and of the folders in it, came from. Rules without one are
+    the user's own and come first, so that of two rules with one id the own one stays. Rules are compiled where the
+    plans are made; their files come one partition at a time.
+    """
+    manifests: dict[str, dict] = {}
     texts: list[tuple[str, str]] = []
-    for row in rows:
-        if row.path.endswith("MANIFEST.json"):
-            manifest = json.loads(row.text)
-            folder = row.path.rpartition("/")[0]
-            base = str(manifest.get("rule_base_url", "")).rstrip("/")
-            urls |= {f"{folder}/{name}": f"{base}/{origin}" for name, origin in manifest.get("files", {}).items()}
-        else:
+    refused: list[tuple[str, str]] = []
+    for row in rule_files(spark, path).orderBy("path").toLocalIterator():
+        folder, _, name = row.path.rpartition("/")
+        if name != "MANIFEST.json":
             texts.append((row.path, row.text))
-    return compile_rules(texts, urls)
+            continue
+        try:
+            manifests[folder] = dict(json.loads(row.text))
+        except (ValueError, TypeError):
+            refused.append((row.path, "not a valid manifest"))
+    urls: dict[str, str] = {}
+    for folder, manifest in manifests.items():
+        base = str(manifest.get("rule_base_url", "")).rstrip("/")
+        for name, origin in dict(manifest.get("files") or {}).items():
+            urls[f"{folder}/{name}".lstrip("/")] = f"{base}/{origin}"
+
+    def brought_in(file: str) -> bool:
+        return any(not folder or file.startswith(f"{folder}/") for folder in manifests)
+
+    texts.sort(key=lambda t: (brought_in(t[0]), t[0]))
+    found = compile_rules(texts, urls)
+    return RuleSet(found.rules, (*refused, *found.refused))
 
 
 def import_tally(rule_set: RuleSet, spark: SparkSession) -> DataFrame:

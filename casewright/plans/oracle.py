@@ -364,6 +364,12 @@ SELECT entity_key, alias FROM a WHERE length(alias) >= 3""")
 
 # ---------------------------------------------------------------------------------------------------- detection
 sql("rule_matches", TEL, SINGLE)("SELECT rule_title, event_uid, finding_id, severity_id, technique AS techniques, time_ms AS first_ms FROM single_f")
+sql("many_rule_matches", TEL)("""
+SELECT 'account-' || i AS rule_id, count(*) AS n FROM tel JOIN range(400) r(i) ON user_name = 'user' || i
+  WHERE class_uid = 1007 AND process_name NOT IN ('whoami.exe', 'net.exe') GROUP BY i
+UNION ALL SELECT 'site-' || i, count(*) FROM tel JOIN range(300) r(i) ON query_hostname = 'site' || i || '.example' GROUP BY i
+UNION ALL SELECT 'address-' || i, count(*) FROM tel JOIN range(230) r(i) ON dst_ip = '192.0.2.' || (i % 10) AND dst_port IN (443, 8000 + i)
+  WHERE class_uid = 4001 GROUP BY i""")
 sql("finding_entities", TEL, SINGLE)("""
 , o AS (SELECT event_uid, unnest([{'n': 'device.hostname', 'v': device_hostname}, {'n': 'actor.user.name', 'v': CASE WHEN class_uid = 1007 THEN user_name END},
   {'n': 'process.name', 'v': process_name}, {'n': 'process.file.path', 'v': 'C:\\Windows\\System32\\' || process_name}, {'n': 'query.hostname', 'v': query_hostname}]) AS e FROM tel)

@@ -30,7 +30,7 @@ from casewright.operators import (
 )
 from casewright.operators.scopes import SCOPES
 from casewright.plans import rulebook as R
-from casewright.plans.telemetry import ORG, spread
+from casewright.plans.telemetry import ORG
 from casewright.plans.telemetry import flat_telemetry as build_flat_telemetry
 from casewright.plans.telemetry import telemetry as build_telemetry
 from casewright.session import configure, cut_lineage
@@ -68,7 +68,7 @@ telemetry = per_session(build_telemetry)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _csv(column: Column | str) -> Column:
@@ -670,6 +670,13 @@ def entity_aliases(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------------------------------- detection
+@query
+def many_rule_matches(spark, sf_dir):
+    """How often each of 930 rules fires, in one scan."""
+    rules = list(R.rulebook(*R.many_rules()).rules)
+    return detect.detect_single(telemetry(spark, sf_dir), rules).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
 @query
 def rule_matches(spark, sf_dir):
     found = _single(spark, sf_dir)

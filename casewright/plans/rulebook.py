@@ -83,6 +83,48 @@ BUSY_SOURCE = {
     "threshold": 3,
     "window": "24h",
 }
+
+
+def many_rules() -> list[dict]:
+    """930 different single-event rules, as many as a large pack holds."""
+    base = {"level": "low", "tags": ["attack.discovery"]}
+    accounts = [
+        base
+        | {
+            "id": f"account-{n}",
+            "title": f"Account {n} runs something unusual",
+            "logsource": {"category": "process_creation"},
+            "detection": {
+                "who": {"User": f"user{n}"},
+                "usual-tools": {"Image|endswith": ["\\whoami.exe", "\\net.exe"]},
+                "condition": "who and not usual-tools",
+            },
+        }
+        for n in range(400)
+    ]
+    sites = [
+        base
+        | {
+            "id": f"site-{n}",
+            "title": f"Query for site {n}",
+            "logsource": {"category": "dns_query"},
+            "detection": {"a_name": {"QueryName|startswith": f"site{n}."}, "b_name": {"QueryName": f"site{n}"}, "condition": "1 of *_name"},
+        }
+        for n in range(300)
+    ]
+    addresses = [
+        base
+        | {
+            "id": f"address-{n}",
+            "title": f"Connection of kind {n}",
+            "logsource": {"category": "network_connection"},
+            "detection": {"to": {"DestinationIp|endswith": f".{n % 10}", "DestinationPort": [443, 8000 + n]}, "condition": "to"},
+        }
+        for n in range(230)
+    ]
+    return accounts + sites + addresses
+
+
 SINGLE = (ENCODED_COMMAND, PRIVILEGE_LISTING, ADMIN_GROUP, KNOWN_SITE)
 INVESTIGATION = (ENCODED_COMMAND, PRIVILEGE_LISTING, ADMIN_GROUP, PASSWORD_SPRAY)
 

@@ -19,17 +19,9 @@ def _pick(index: Column, *options: str) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), index.cast("int") + 1)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table of fewer files than cores; a table of many files is left as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def flat_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with plain columns."""
-    events = spread(
-        spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
-    )
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
     kind, user = F.col("event_type"), F.col("user_id")
     k = F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("int")
     signup, purchase, view = kind == "signup", kind == "purchase", kind == "view"

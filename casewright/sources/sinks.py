@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casewright import schema as S
@@ -26,12 +27,12 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def first_copies(events: DataFrame, key: Column | None = None) -> DataFrame:
-    """One row per fingerprint, the first ingested. Copies collapse before the shuffle, so a record repeated
-    for a third of all rows sends one row per task."""
+    """One row per fingerprint, the first ingested. Spark keeps the first row of each task before the shuffle, so a
+    record repeated for a third of all rows sends one row per task."""
     fingerprint = F.col("sx.fingerprint") if key is None else key
-    row = F.struct(*[F.col(c) for c in events.columns])
-    kept = events.groupBy(fingerprint.alias("_fp")).agg(F.min_by(row, F.col("sx.ingested_at")).alias("row"))
-    return kept.select("row.*")
+    order = W.partitionBy("_fp").orderBy("sx.ingested_at", "sx.org_id", "sx.source_id")
+    ranked = events.withColumn("_fp", fingerprint).withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") == 1).drop("_fp", "_rank")
 
 
 def new_events(batch: DataFrame, stored: DataFrame | None) -> DataFrame:

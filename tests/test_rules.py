@@ -115,3 +115,45 @@ def test_selected_rules_are_copied_verbatim_with_a_manifest(spark, tmp_path):
     assert (row.path, row.text) == ("win/good.json", good)
     manifest = json.loads(spark.read.text(str(tmp_path / "out" / "manifest")).first().value)
     assert manifest == {"release": "r1", "selected": 1, "files": ["win/good.json"]}
+
+
+def test_conditions_read_names_of_any_shape(spark):
+    parts = {"a-b": {"CommandLine|contains": "ab"}, "c_x": {"CommandLine|contains": "cx"}, "d_x": {"CommandLine|contains": "dx"}, "_hidden": {"CommandLine|contains": "hid"}}
+    cases = {
+        "a-b": {"ab", "ab cx"},
+        "1 of *_x": {"cx", "dx", "cx dx", "ab cx"},
+        "all of *_x": {"cx dx"},
+        "NOT a-b AND (c_x or d_x)": {"cx", "dx", "cx dx"},
+        "not a-b and not 1 of *_x": {"hid"},
+        "any of them": {"ab", "cx", "dx", "cx dx", "ab cx"},
+        "a-b or c_x and d_x": {"ab", "cx dx", "ab cx"},
+        "not not a-b": {"ab", "ab cx"},
+    }
+    commands = ("ab", "cx", "dx", "cx dx", "ab cx", "hid")
+    for condition, wanted in cases.items():
+        compiled = R.compile_rule(rule(parts | {"condition": condition}) | {"id": condition})
+        found = {r.event_uid for r in detect_single(process(spark, *commands), [compiled]).selectExpr("evidence[0] AS event_uid").collect()}
+        assert len(found) == len(wanted), condition
+    for broken in ("a-b and", "(a-b", "a-b)", "or a-b", "a-b c_x", "1 of zz*", ""):
+        with pytest.raises(R.RuleRefused):
+            R.compile_rule(rule(parts | {"condition": broken}))
+
+
+def test_nested_and_long_rule_files_load_with_their_sources(spark, tmp_path):
+    pack = tmp_path / "pack"
+    deep, other = pack / "community" / "windows" / "process", pack / "community" / "linux" / "process"
+    for folder in (deep, other, pack / "mine"):
+        folder.mkdir(parents=True)
+    body = rule({"s": {"CommandLine": "x"}, "condition": "s"})
+    (deep / "b.json").write_text(json.dumps(body | {"id": "one"}))
+    (other / "b.json").write_text(json.dumps(body | {"id": "two", "description": "p" * 1_500_000}))
+    (other / "copy of+1.json").write_text(json.dumps(body | {"id": "own"}))
+    (pack / "mine" / "z.json").write_text(json.dumps(body | {"id": "own"}))
+    files = {"windows/process/b.json": "w/b.yml", "linux/process/b.json": "l/b.yml"}
+    (pack / "community" / "MANIFEST.json").write_text(json.dumps({"rule_base_url": "https://r.example/", "files": files, "pad": "x" * 1_200_000}))
+    found = R.load_rules(spark, str(pack))
+    assert {r.id: r.source_url for r in found.rules} == {"own": None, "one": "https://r.example/w/b.yml", "two": "https://r.example/l/b.yml"}
+    assert {r.id: r.path for r in found.rules}["own"] == "mine/z.json", "the own rule stays"
+    assert found.refused == (("community/linux/process/copy of+1.json", "duplicate rule id own"),)
+    tally = {(r.outcome, r.reason): r.rules for r in R.import_tally(found, spark).collect()}
+    assert tally == {("selected", None): 3, ("refused", "duplicate rule id own"): 1}
