@@ -10,13 +10,12 @@ from casewright.functions.ids import at_millis
 from casewright.operators.entities import external_keys, first_of, key_value, role, with_roles
 
 # --- Fixed values -----------------------------------------------------------------------------------------------
-MAX_KEY = 280
 PROCESS_PAIR, REMOTE, HOST_REMOTE = "process_pair", "remote", "host_remote"
 # ------------------------------------------------------------------------------------------------------------
 
 
 def _observation(kind: str, key: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.substring(key, 1, MAX_KEY).alias("key"))
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
 def _observed(pair: Column, remotes: Column, host: Column) -> Column:

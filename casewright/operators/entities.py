@@ -15,8 +15,6 @@ from casewright.functions import net, scalars
 from casewright.functions.ids import at_millis
 
 # --- Fixed values: caps, the role a field gives an entity, and action names ----------------------------------------
-MAX_FIELD = 255
-MAX_ENTITY = 280
 MAX_MESSAGE, MAX_RAW, MAX_COMMAND = 512, 2048, 1024
 FIELD_ROLES = {
     "src_endpoint.ip": "src_ip",
@@ -60,9 +58,9 @@ ENTITY_TYPE = "array<struct<field:string,type:string,value:string,links:boolean,
 
 
 def _text(path: str) -> Column:
-    """A field's trimmed text, at most 255 characters; blank counts as absent."""
+    """A field's whole trimmed text; blank counts as absent."""
     trimmed = F.trim(F.col(path).cast("string"))
-    return F.when(trimmed != "", F.substring(trimmed, 1, MAX_FIELD))
+    return F.when(trimmed != "", trimmed)
 
 
 def _entity(field: str, kind: str, value: Column, links: Column | bool, role: str | None = None) -> Column:
@@ -70,7 +68,7 @@ def _entity(field: str, kind: str, value: Column, links: Column | bool, role: st
     return F.struct(
         F.lit(field).alias("field"),
         F.lit(kind).alias("type"),
-        F.substring(value, 1, MAX_ENTITY).alias("value"),
+        value.alias("value"),
         links.alias("links"),
         F.lit(role or FIELD_ROLES.get(field, kind)).alias("role"),
     )
@@ -139,14 +137,14 @@ def _role_columns(application: str) -> tuple[dict[str, Column], Column, dict[str
         return F.coalesce(F.transform(values, build), F.array().cast(ENTITY_TYPE))
 
     def answer(item: Column) -> Column:
-        address = net.canonical_ip(F.substring(F.trim(item["rdata"]), 1, MAX_FIELD))
+        address = net.canonical_ip(F.trim(item["rdata"]))
         return net.let(address, lambda a: _entity("answers.rdata", "ip", a, net.is_external_ip(a)))
 
     def hashes(path: str) -> Column:
         return listed(
             F.col(f"{path}.hashes"),
             lambda h: _entity(
-                f"{path}.hashes.value", "hash", F.lower(F.nullif(F.substring(F.trim(h["value"]), 1, MAX_FIELD), F.lit(""))), True
+                f"{path}.hashes.value", "hash", F.lower(F.nullif(F.trim(h["value"]), F.lit(""))), True
             ),
         )
 

@@ -15,7 +15,6 @@ from casewright.operators.parsers import PARSERS
 from casewright.operators.parsers.common import INVALID
 
 MAX_OBSERVABLES = 100
-MAX_OBSERVABLE_VALUE = 1024
 # Columns that travel with a record from source to event.
 ENVELOPE = ("org_id", "source_id", "position", "raw")
 
@@ -157,7 +156,7 @@ def derive_observables() -> Column:
             F.struct(
                 F.lit(name).alias("name"),
                 F.lit(type_id).alias("type_id"),
-                F.substring(value, 1, MAX_OBSERVABLE_VALUE).alias("value"),
+                value.alias("value"),
             )
         )
 
@@ -167,7 +166,7 @@ def derive_observables() -> Column:
             lambda h: F.struct(
                 F.lit(name).alias("name"),
                 F.lit(8).alias("type_id"),
-                F.substring(h["value"], 1, MAX_OBSERVABLE_VALUE).alias("value"),
+                h["value"].alias("value"),
             ),
         )
         return F.coalesce(listed, F.array().cast(S.EVENT["observables"].dataType))

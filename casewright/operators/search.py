@@ -8,8 +8,10 @@ from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casewright.functions.ids import encode_cursor
 from casewright.functions.scalars import covers_technique
 
 # --- Fixed values -----------------------------------------------------------------------------------------------
@@ -105,15 +107,29 @@ def in_partitions(events: DataFrame, time_from: datetime, time_to: datetime) ->
     return events.filter(F.col("event_date").between(time_from.date(), time_to.date()))
 
 
+def _paged(df: DataFrame, order: list[Column], limit: int, cursor: Column) -> DataFrame:
+    """The first ``limit`` rows with what the next request needs: ``has_more`` and ``next_cursor``.
+
+    One row more than asked for is read; what is numbered here has ``limit + 1`` rows at most. ``next_cursor`` is the
+    cursor of the page's last row, null on the last page. A page without rows says nothing: there is no next one.
+    """
+    _check(1 <= limit <= MAX_PAGE, f"limit must be between 1 and {MAX_PAGE}")
+    probed = df.orderBy(*order).limit(limit + 1)
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = probed.withColumn("_place", F.row_number().over(W.orderBy(*order)))
+    counted = placed.withColumn("has_more", F.max("_place").over(whole) > limit).filter(F.col("_place") <= limit)
+    last = F.max_by(cursor, F.col("_place")).over(whole)
+    return counted.withColumn("next_cursor", F.when(F.col("has_more"), last)).orderBy("_place").drop("_place")
+
+
 def page(
     df: DataFrame, time: str, key: str, limit: int, cursor: tuple[int, str] | None = None
 ) -> DataFrame:
     """One page, newest first, resuming after ``cursor`` (the last row's time and id)."""
-    _check(1 <= limit <= MAX_PAGE, f"limit must be between 1 and {MAX_PAGE}")
     if cursor is not None:
         at, last = cursor
         df = df.filter((F.col(time) < at) | ((F.col(time) == at) & (F.col(key) < last)))
-    return df.orderBy(F.col(time).desc(), F.col(key).desc()).limit(limit)
+    return _paged(df, [F.col(time).desc(), F.col(key).desc()], limit, encode_cursor(F.col(time), F.col(key)))
 
 
 def search_events(events: DataFrame, *, limit: int = 50, cursor: tuple[int, str] | None = None, **filters) -> DataFrame:
@@ -192,15 +208,15 @@ def search_audit(
     before_index: int | None = None,
     limit: int = 50,
 ) -> DataFrame:
-    """Audit entries of an organisation, newest index first."""
-    _check(1 <= limit <= MAX_PAGE, f"limit must be between 1 and {MAX_PAGE}")
+    """Audit entries of an organisation, newest index first; the cursor is the last index."""
     tests = [F.col("org_id") == org_id]
     for name, wanted in (("action", action), ("resource_type", resource_type), ("actor_id", actor_id)):
         if wanted is not None:
             tests.append(F.col(name) == wanted)
     if before_index is not None:
         tests.append(F.col("chain_index") < before_index)
-    return log.filter(reduce(lambda a, b: a & b, tests)).orderBy(F.col("chain_index").desc()).limit(limit)
+    found = log.filter(reduce(lambda a, b: a & b, tests))
+    return _paged(found, [F.col("chain_index").desc()], limit, F.col("chain_index").cast("string"))
 
 
 def rule_filter(technique: str | None = None, logsource: str | None = None) -> Column:
@@ -214,12 +230,12 @@ def rule_filter(technique: str | None = None, logsource: str | None = None) -> C
 
 
 def rule_page(rules: DataFrame, *, limit: int = 50, after: str | None = None, **filters) -> DataFrame:
-    """Rules by title, resuming after the rule with id ``after``; an unknown cursor is refused."""
-    _check(1 <= limit <= MAX_PAGE, f"limit must be between 1 and {MAX_PAGE}")
-    chosen = rules.filter(rule_filter(**filters))
+    """Rules by title with how many there are in all, resuming after the rule ``after``; an unknown one is refused."""
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # a catalogue of rules is small
+    chosen = rules.filter(rule_filter(**filters)).withColumn("total", F.count("*").over(whole))
     if after is not None:
         place = chosen.filter(F.col("rule_id") == after).select(F.lower("title").alias("title")).first()
         _check(place is not None, "unknown page cursor")
         title = F.lower("title")
         chosen = chosen.filter((title > place.title) | ((title == place.title) & (F.col("rule_id") > after)))
-    return chosen.orderBy(F.lower("title"), "rule_id").limit(limit)
+    return _paged(chosen, [F.lower("title"), F.col("rule_id")], limit, F.col("rule_id"))

@@ -541,10 +541,26 @@ FROM wanted LEFT JOIN rep USING (type, value) LEFT JOIN pdns USING (type, value)
 
 # -------------------------------------------------------------------------------------------------------- search
 _RANGE = "time_ms BETWEEN 1704412800000 AND 1706140800000"
-sql("event_search_page", TEL)(f"""
-SELECT event_uid, time_ms, class_uid FROM tel WHERE {_RANGE} AND class_uid IN (3002, 1007) AND status_id = 1 AND source_id = 'src-1' ORDER BY time_ms DESC, event_uid DESC LIMIT 50""")
-sql("event_search_next_page", TEL)(f"""
-SELECT event_uid, time_ms FROM tel WHERE {_RANGE} AND (time_ms < 1705500000000 OR (time_ms = 1705500000000 AND event_uid < '8')) ORDER BY time_ms DESC, event_uid DESC LIMIT 100""")
+def paged(columns: str, source: str, order: str, limit: int, cursor: str) -> str:
+    """A page of ``source`` with whether more follows and the cursor to go on from."""
+    return f"""
+, placed AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM ({source})),
+last_row AS (SELECT CAST({cursor} AS VARCHAR) AS next_cursor FROM placed WHERE place = {limit})
+SELECT {columns}, (SELECT max(place) FROM placed) > {limit} AS has_more,
+  CASE WHEN (SELECT max(place) FROM placed) > {limit} THEN (SELECT next_cursor FROM last_row) END AS next_cursor
+FROM placed WHERE place <= {limit}"""
+
+
+def time_cursor(time: str, uid: str) -> str:
+    return f"replace(replace(rtrim(to_base64(encode({time} || ':' || {uid})), '='), '+', '-'), '/', '_')"
+
+
+sql("event_search_page", TEL)(paged(
+  "event_uid, time_ms, class_uid", f"SELECT * FROM tel WHERE {_RANGE} AND class_uid IN (3002, 1007) AND status_id = 1 AND source_id = 'src-1'",
+  "time_ms DESC, event_uid DESC", 50, time_cursor("time_ms", "event_uid")))
+sql("event_search_next_page", TEL)(paged(
+  "event_uid, time_ms", f"SELECT * FROM tel WHERE {_RANGE} AND (time_ms < 1705500000000 OR (time_ms = 1705500000000 AND event_uid < '8'))",
+  "time_ms DESC, event_uid DESC", 100, time_cursor("time_ms", "event_uid")))
 sql("event_search_matches", TEL)(f"""
 SELECT 'by_ip' AS test, event_uid FROM tel WHERE {_RANGE} AND class_uid IN (3002, 4001) AND src_ip = '198.51.100.7'
 UNION ALL SELECT 'by_user', event_uid FROM tel WHERE {_RANGE} AND class_uid IN (3002, 1007) AND user_name = 'user12'
@@ -554,14 +570,16 @@ UNION ALL SELECT 'by_prefix', event_uid FROM tel WHERE {_RANGE} AND process_name
 sql("event_search_total", TEL)(f"""
 SELECT least(count(*), 10000) AS total, count(*) > 10000 AS is_lower_bound FROM tel WHERE {_RANGE} AND class_uid = 3002""")
 sql("event_lookup", TEL)("SELECT event_uid, time_ms, class_uid FROM tel WHERE event_id = 42")
-sql("finding_search_page", TEL, SINGLE)("""
-SELECT finding_id, time_ms AS last_ms FROM single_f WHERE severity_id >= 3 AND technique = 'T1059.001' AND time_ms >= 1704500000000 ORDER BY time_ms DESC, finding_id DESC LIMIT 60""")
+sql("finding_search_page", TEL, SINGLE)(paged(
+  "finding_id, last_ms", "SELECT finding_id, time_ms AS last_ms FROM single_f WHERE severity_id >= 3 AND technique = 'T1059.001' AND time_ms >= 1704500000000",
+  "last_ms DESC, finding_id DESC", 60, time_cursor("last_ms", "finding_id")))
 _ORDERS = """
 inc AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS incident_id, 'org-' || (o_custkey % 4) AS org_id, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'investigating' ELSE 'new' END AS status,
   CAST(o_orderpriority[1] AS INTEGER) AS severity_id, epoch_us(o_orderdate) // 1000 AS last_ms, o_custkey % 17 AS event_count, CAST(o_orderkey % 5 + 1 AS INTEGER) AS version,
   CASE WHEN o_orderstatus = 'F' THEN 'true_positive' END AS resolution FROM orders)"""
-sql("incident_search_page", _ORDERS)("""
-SELECT incident_id, last_ms, severity_id FROM inc WHERE org_id = 'org-2' AND status = 'new' AND severity_id >= 3 ORDER BY last_ms DESC, incident_id DESC LIMIT 100""")
+sql("incident_search_page", _ORDERS)(paged(
+  "incident_id, last_ms, severity_id", "SELECT * FROM inc WHERE org_id = 'org-2' AND status = 'new' AND severity_id >= 3",
+  "last_ms DESC, incident_id DESC", 100, time_cursor("last_ms", "incident_id")))
 sql("attention_list", _ORDERS)("SELECT incident_id, severity_id, last_ms FROM inc WHERE status <> 'closed' ORDER BY severity_id DESC, last_ms DESC, incident_id LIMIT 5")
 sql("triage_totals", _ORDERS)("""
 SELECT count(*) FILTER (status <> 'closed') AS open, count(*) FILTER (status <> 'closed' AND severity_id >= 4) AS high_or_critical, count(*) FILTER (status = 'investigating') AS investigating,
@@ -604,9 +622,11 @@ SELECT count(*) AS rules, count(*) FILTER (len(techniques) = 0) AS untagged, (SE
   (SELECT count(DISTINCT technique_id) FROM tagged WHERE contains(technique_id, '.')) AS sub_techniques FROM rules""")
 sql("rules_for_technique", _RULES)("""
 SELECT DISTINCT rule_id, title FROM tagged WHERE (technique_id = 'T1007' OR technique_id LIKE 'T1007.%') AND logsource = 'src1'""")
-sql("rule_page", _RULES)("""
-, p AS (SELECT lower(title) AS t FROM rules WHERE rule_id = '17')
-SELECT rule_id, title FROM rules, p WHERE (lower(title), rule_id) > (p.t, '17') ORDER BY lower(title), rule_id LIMIT 40""")
+sql("rule_page", _RULES)(paged(
+  "rule_id, title, total", """
+  SELECT *, (SELECT count(*) FROM rules) AS total FROM rules
+  WHERE (lower(title), rule_id) > ((SELECT lower(title) FROM rules WHERE rule_id = '17'), '17')""",
+  "lower(title), rule_id", 40, "rule_id"))
 
 # -------------------------------------------------------------------------------------------------------- audit
 _AUDIT = """
@@ -624,8 +644,9 @@ b AS (SELECT org_id, c, CASE org_id WHEN 'org-1' THEN 7 WHEN 'org-2' THEN 12 WHE
 SELECT b.org_id, broken IS NULL AS valid, CAST(checked AS BIGINT) AS entries_checked, chain.entry_hash AS head_hash, CAST(broken AS BIGINT) AS broken_at_index,
   CASE b.org_id WHEN 'org-1' THEN 'entry content does not match its hash' WHEN 'org-2' THEN 'expected chain_index 11 (entry missing or inserted)' WHEN 'org-3' THEN 'prev_hash does not match preceding entry' END AS reason
 FROM b JOIN chain ON chain.org_id = b.org_id AND chain.chain_index = checked - 1""")
-sql("audit_page", _AUDIT, recursive=True)("""
-SELECT chain_index, resource_id FROM entries WHERE org_id = 'org-4' AND action = 'order.f' AND chain_index < 1000 ORDER BY chain_index DESC LIMIT 50""")
+sql("audit_page", _AUDIT, recursive=True)(paged(
+  "chain_index, resource_id", "SELECT * FROM entries WHERE org_id = 'org-4' AND action = 'order.f' AND chain_index < 1000",
+  "chain_index DESC", 50, "chain_index"))
 ORACLE["audited_organisations"] = "SELECT DISTINCT 'org-' || (o_custkey % 6) AS org_id FROM orders"
 
 # --------------------------------------------------------------------------------------- grounding and evaluation

@@ -1182,13 +1182,13 @@ def event_search_page(spark, sf_dir):
     found = search.search_events(
         telemetry(spark, sf_dir), **_window(), class_uids=(3002, 1007), severity_min=1, status_id=1, source_id="src-1", limit=50
     )
-    return found.select("event_uid", "time_ms", "class_uid")
+    return found.select("event_uid", "time_ms", "class_uid", "has_more", "next_cursor")
 
 
 @query
 def event_search_next_page(spark, sf_dir):
     found = search.search_events(telemetry(spark, sf_dir), **_window(), limit=100, cursor=(1_705_500_000_000, "8"))
-    return found.select("event_uid", "time_ms")
+    return found.select("event_uid", "time_ms", "has_more", "next_cursor")
 
 
 @query
@@ -1220,7 +1220,7 @@ def event_lookup(spark, sf_dir):
 def finding_search_page(spark, sf_dir):
     found = _single(spark, sf_dir)
     page = search.search_findings(found, org_id=ORG, severity_min=3, technique="T1059.001", from_ms=1_704_500_000_000, limit=60)
-    return page.select("finding_id", "last_ms")
+    return page.select("finding_id", "last_ms", "has_more", "next_cursor")
 
 
 def _order_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1241,7 +1241,7 @@ def _order_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def incident_search_page(spark, sf_dir):
     page = search.search_incidents(_order_incidents(spark, sf_dir), org_id="org-2", status="new", severity_min=3, limit=100)
-    return page.select("incident_id", "last_ms", "severity_id")
+    return page.select("incident_id", "last_ms", "severity_id", "has_more", "next_cursor")
 
 
 @query
@@ -1340,7 +1340,7 @@ def rules_for_technique(spark, sf_dir):
 
 @query
 def rule_page(spark, sf_dir):
-    return search.rule_page(_catalogue(spark, sf_dir), limit=40, after="17").select("rule_id", "title")
+    return search.rule_page(_catalogue(spark, sf_dir), limit=40, after="17").select("rule_id", "title", "total", "has_more", "next_cursor")
 
 
 # -------------------------------------------------------------------------------------------------------- audit
@@ -1385,7 +1385,7 @@ def audit_verification(spark, sf_dir):
 @query
 def audit_page(spark, sf_dir):
     page = search.search_audit(_audit_log(spark, sf_dir), org_id="org-4", action="order.f", before_index=1_000, limit=50)
-    return page.select("chain_index", "resource_id")
+    return page.select("chain_index", "resource_id", "has_more", "next_cursor")
 
 
 @query
