@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -18,10 +19,11 @@ from casewright.llm.components import connected_components
 from casewright.session import cut_lineage
 
 BITS = 64
-PARTS = 4  # parts of 16 bits: all values of a part can be counted in one small table
-WIDTH = BITS // PARTS
-#: Fingerprints of one key that are compared pair by pair. Those of a fuller key are linked by their midpoints, exactly.
-FULL_KEY = 64
+PART_COUNTS = (2, 3, 4)  # numbers of parts that a plan chooses from
+COUNTED = 16  # bits of a part whose values are counted, so that the counts are a small table at every input size
+#: Fingerprints of one key that are compared pair by pair, so that each meets a few others. Those of a fuller key are
+#: linked by their midpoints, exactly.
+FULL_KEY = 16
 HASHES_AT_ONCE = 255 * 400
 
 
@@ -86,13 +88,13 @@ class Plan:
         return found
 
 
-def correlated_parts(fps: DataFrame, width: int = WIDTH) -> tuple[tuple[int, ...], ...]:
-    """The bits in groups of ``width``, those that go together in one group, from all fingerprints."""
+def bit_moments(fps: DataFrame) -> np.ndarray:
+    """How many of all fingerprints have bits i and j set; the last row and column count those with one bit, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS + 1, BITS + 1))
         for batch in batches:
-            ones = np.ones((batch.num_rows, BITS + 1), dtype=np.float64)
+            ones = np.ones((batch.num_rows, BITS + 1))
             ones[:, :BITS] = _bits(batch.column("fp").to_numpy())
             total += ones.T @ ones
         cells = np.arange(total.size, dtype=np.int32)
@@ -102,17 +104,21 @@ def correlated_parts(fps: DataFrame, width: int = WIDTH) -> tuple[tuple[int, ...
     total = np.zeros((BITS + 1) ** 2)
     for row in sums.collect():  # 65 * 65 numbers
         total[row["cell"]] = row["together"]
-    together = total.reshape(BITS + 1, BITS + 1)
-    count = max(1.0, together[-1, -1])
-    mean = together[-1, :BITS] / count
+    return total.reshape(BITS + 1, BITS + 1)
+
+
+def correlated_parts(moments: np.ndarray, parts: int) -> tuple[tuple[int, ...], ...]:
+    """All bits in ``parts`` groups of nearly equal size, bits that go together in one group."""
+    count = max(1.0, moments[-1, -1])
+    mean = moments[-1, :BITS] / count
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-    close = np.abs((together[:BITS, :BITS] / count - np.outer(mean, mean)) / np.outer(spread, spread))
+    close = np.abs((moments[:BITS, :BITS] / count - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(close, 0)
     free, groups = set(range(BITS)), []
-    while free:
+    for rest in range(parts, 0, -1):
         left = sorted(free)
         group = [max(left, key=lambda b: (close[b, left].max(), -b))]
-        while len(group) < min(width, len(left)):
+        while len(group) < -(-len(left) // rest):
             group.append(max((b for b in left if b not in group), key=lambda b: (close[b, group].sum(), -b)))
         groups.append(tuple(sorted(group)))
         free -= set(group)
@@ -134,32 +140,49 @@ def allocate(costs: list[list[float]], total: int) -> tuple[int, ...]:
 
 
 def plan_search(fps: DataFrame, radius: int) -> Plan:
-    """Parts by correlation, limits by dynamic programming on the pairs that each limit would make candidates.
+    """Number of parts, their bits by correlation, and limits by dynamic programming on estimated candidates.
 
-    Fingerprints within ``radius`` bits have a part within its limit whenever the limits sum to
-    ``radius - parts + 1``. How many pairs agree in a part up to t bits follows from the counts of its 2 ** 16 values.
+    Fingerprints within ``radius`` bits have a part within its limit whenever the limits sum to ``radius - parts + 1``.
+    A limit costs a row for each key that it makes of a fingerprint, and a fingerprint's expected partners: those with
+    a near value among all counts of the part's most even bits, thinned by its other bits. Where partners are too
+    many to compare, the cost is that of the midpoints. All fingerprints are counted; the plan changes cost alone.
     """
-    parts = correlated_parts(fps)
-
-    def value(bits: tuple[int, ...]) -> Column:
+    moments = bit_moments(fps)
+    total = moments[-1, -1]
+    uneven = np.abs(moments[-1, :BITS] / max(1.0, total) - 0.5)
+    choices = [correlated_parts(moments, n) for n in PART_COUNTS]
+    flat = [part for parts in choices for part in parts]
+    counted_bits = [sorted(sorted(part, key=lambda b: (uneven[b], b))[:COUNTED]) for part in flat]
+
+    def value(bits: list[int]) -> Column:
         found = F.lit(0)
         for place, bit in enumerate(bits):
             found = found + F.shiftleft(F.shiftrightunsigned(F.col("fp"), bit).bitwiseAND(F.lit(1)).cast("int"), place)
         return found
 
-    values = F.explode(F.array(*[F.struct(F.lit(n).alias("part"), value(b).alias("value")) for n, b in enumerate(parts)])).alias("v")
-    counted = fps.select(values).groupBy("v.part", "v.value").agg(F.count("*").alias("n")).toPandas()
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("part"), value(b).alias("value")) for n, b in enumerate(counted_bits)]))
+    counted = fps.select(values.alias("v")).groupBy("v.part", "v.value").agg(F.count("*").alias("n")).toPandas()
+
     costs = []
-    for part, bits in enumerate(parts):
-        own = counted[counted["part"] == part]
-        counts = np.zeros(1 << len(bits))
+    for place, part in enumerate(flat):
+        own = counted[counted["part"] == place]
+        counts, at = np.zeros(1 << COUNTED), np.arange(1 << COUNTED)
         counts[own["value"].to_numpy()] = own["n"]
-        near, at = [0.0], np.arange(len(counts))
+        near, cost = np.zeros(1 << COUNTED), [0.0]
         for limit in range(radius + 1):
-            ring = sum(counts[at ^ sum(1 << b for b in flips)] for flips in combinations(range(len(bits)), limit))
-            near.append(near[-1] + float(counts @ ring))
-        costs.append(near)
-    return Plan(parts, allocate(costs, radius - len(parts) + 1))
+            for flips in combinations(range(COUNTED), limit):
+                near += counts[at ^ sum(1 << b for b in flips)]
+            partners = np.maximum(near - 1, 0) / 2.0 ** (len(part) - COUNTED)
+            each = np.where(partners > FULL_KEY, BITS + 1, partners)
+            cost.append(total * math.comb(len(part), limit) + float(counts @ each))
+        costs.append(cost)
+
+    plans = []
+    for parts in choices:
+        own, costs = costs[: len(parts)], costs[len(parts) :]
+        limits = allocate(own, radius - len(parts) + 1)
+        plans.append((sum(c[t + 1] for c, t in zip(own, limits, strict=True)), Plan(parts, limits)))
+    return min(plans, key=lambda p: p[0])[1]
 
 
 def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from casewright.llm import simhash
 from casewright.llm.components import connected_components
@@ -115,10 +116,27 @@ def test_correlated_bits_meet_in_one_part(spark):
         for a, b in ((0, 40), (1, 41), (2, 42)):
             v = v & ~(1 << b) | (v >> a & 1) << b
         rows.append((v - (1 << 64) if v >> 63 else v,))
-    parts = simhash.correlated_parts(spark.createDataFrame(rows, "fp long"))
-    assert sorted(b for p in parts for b in p) == list(range(64))
-    for pair in ((0, 40), (1, 41), (2, 42)):
-        assert any(set(pair) <= set(p) for p in parts)
+    moments = simhash.bit_moments(spark.createDataFrame(rows, "fp long"))
+    assert moments[-1, -1] == 400 and moments[3, 3] == moments[-1, 3] == sum(r[0] >> 3 & 1 for r in rows)
+    for count in simhash.PART_COUNTS:
+        parts = simhash.correlated_parts(moments, count)
+        assert len(parts) == count and sorted(b for p in parts for b in p) == list(range(64))
+        for pair in ((0, 40), (1, 41), (2, 42)):
+            assert any(set(pair) <= set(p) for p in parts)
+
+
+def test_plans_cover_all_close_pairs(spark):
+    """Whatever the limits, two fingerprints within two bits have a key in common."""
+    draw = random.Random(9)
+    df = spark.createDataFrame([(draw.getrandbits(63),) for _ in range(300)], "fp long")
+    plan = simhash.plan_search(df, 2)
+    assert sum(plan.limits) == 2 - len(plan.parts) + 1 and sorted(b for p in plan.parts for b in p) == list(range(64))
+    for parts, limits in ((plan.parts, plan.limits), (simhash.correlated_parts(simhash.bit_moments(df), 2), (1, 0)), (simhash.correlated_parts(simhash.bit_moments(df), 4), (-1, 2, -1, -1))):
+        keys = simhash.Plan(parts, limits).keys(F.col("fp"))
+        pairs = [(v, v ^ sum(1 << b for b in draw.sample(range(63), 2))) for v in (draw.getrandbits(63) for _ in range(200))]
+        table = spark.createDataFrame([(n, v) for n, pair in enumerate(pairs) for v in pair], "pair long, fp long")
+        meet = table.select("pair", F.posexplode(F.array(*keys)).alias("kind", "key")).groupBy("pair", "kind", "key").count()
+        assert meet.filter("count > 1").select("pair").distinct().count() == 200
 
 
 def test_components_of_a_long_chain(spark):
