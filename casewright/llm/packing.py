@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.common import steps, whole
 
-KEPT_WORDS = 100_000  # words whose ids a worker remembers
+KEPT_PARTS = 300_000  # parts of words whose ids a worker remembers, some 50 MB
 
 
 @dataclass(frozen=True)
@@ -136,8 +136,24 @@ def pack(lengths: np.ndarray, free: np.ndarray, limits: Limits) -> Iterator[list
         yield placed
 
 
+#: Words of these characters alone are cut as the vocabulary cuts them: runs of letters, single digits, runs of marks.
+#: Left out are apostrophes (contractions), ``<`` (special tokens) and what normalisation could change or compose.
+LATIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}"
+PLAIN_WORD = rf"^[\x21-\x26\x28-\x3B\x3D-\x7E{LATIN}\x{{D7}}\x{{F7}}]+$"
+PART = rf"([{LATIN}]+|[0-9]|[^{LATIN}0-9]+)"
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of several runs, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Words:
-    """Token ids of texts whose pre-tokens never span ASCII white space: each distinct word is encoded once."""
+    """Token ids of texts, each distinct part of a word encoded once and remembered for a while.
+
+    The vocabulary drops white space and never joins what stands on both sides of it, so a text's ids are those of its
+    words; plain words are cut further, as the vocabulary's own rule cuts them, and share their parts.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -145,41 +161,85 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        found = dict(
-            zip(
-                new,
-                (np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)),
-                strict=True,
-            )
-        )
-        result = [found[w] if w in found else self.known[w] for w in words]
-        if len(self.known) + len(found) > KEPT_WORDS:
-            self.known = {}
-        self.known.update(list(found.items())[:KEPT_WORDS])
-        return result
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a part
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+
+    def _learn(self, parts: list[str], joined: bool) -> None:
+        """Encode new parts, plain ones together: each ends at the one id that closes it."""
+        new = [p for p in parts if p not in self.known]
+        if not new:
+            return
+        if joined:
+            lines = [" ".join(new[at : at + 2000]) for at in range(0, len(new), 2000)]
+            found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            ids = np.concatenate(found)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(new):
+                raise AssertionError("the vocabulary cuts plain words differently")
+            sizes = np.diff(np.concatenate([[0], ends]))
+        else:
+            found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids, sizes = np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _parts_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Remembered parts of distinct words, in order, and how many each word has."""
+        plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(words.filter(pa.array(plain))), PART, r"\1 "), " ")
+        cut = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()  # with an empty one after each word
+        coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+        shared = coded.dictionary.to_pylist()
+        others = words.filter(pa.array(~plain)).to_pylist()
+        if len(self.known) > KEPT_PARTS:
+            self._forget()
+        self._learn(shared, True)
+        self._learn(["\n" + w for w in others], False)  # apart from the plain: their case counts
+        known = self.known
+        slots = np.array([known[p] for p in shared], dtype=np.int64)
+        counts = np.ones(len(words), dtype=np.int64)
+        counts[plain] = cut - 1
+        parts = np.empty(int(counts.sum()), dtype=np.int64)
+        starts = np.cumsum(counts) - counts
+        indices = coded.indices.to_numpy(zero_copy_only=False)
+        parts[_gather(starts[plain], counts[plain])] = slots[indices] if len(slots) else indices
+        parts[starts[~plain]] = [known["\n" + w] for w in others]
+        return parts, counts
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
         lists = pc.ascii_split_whitespace(texts)
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        words_until = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        parts = self._ids(coded.dictionary.to_pylist())
+        parts, counts = self._parts_of(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # ids of each distinct word, then of all words
+        part_sizes = self.sizes[parts]
+        of_words = self.flat[_gather(self.starts[parts], part_sizes)]
+        until = np.concatenate([[0], np.cumsum(part_sizes)])
+        part_ends = np.cumsum(counts)
+        sizes = until[part_ends] - until[part_ends - counts]
         if end is not None:
-            parts = [*parts, np.array([end], dtype=np.uint32)]
-            codes = np.insert(codes, ends, len(parts) - 1)
-            ends = ends + np.arange(1, len(ends) + 1)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+            of_words = np.append(of_words, np.uint32(end))
+            sizes = np.append(sizes, 1)
+            codes = np.insert(codes, words_until, len(sizes) - 1)
+            words_until = words_until + np.arange(1, len(words_until) + 1)
         starts = np.cumsum(sizes) - sizes
         many = sizes[codes]
+        ids = of_words[_gather(starts[codes], many)].astype("<u4")
         upto = np.concatenate([[0], np.cumsum(many)])
-        places = np.repeat(starts[codes] - upto[:-1], many) + np.arange(upto[-1])
-        return flat[places].astype("<u4"), np.diff(np.concatenate([[0], upto[ends]]))
+        return ids, np.diff(np.concatenate([[0], upto[words_until]]))
 
 
 def pack_texts(
