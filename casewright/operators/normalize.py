@@ -273,32 +273,51 @@ def stamp_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
     return records.join(enabled, "source_id")
 
 
+def _parsed_by(records: DataFrame, name: str) -> DataFrame:
+    """Records of one parser with ``problem`` and the attributes of the event."""
+    parsed = PARSERS[name](records).withColumn("parser", F.lit(name))
+    if "raw" not in parsed.columns:
+        parsed = parsed.withColumn("raw", F.to_json("record"))
+    keep = [c for c in ENVELOPE if c in parsed.columns]
+    # inline() makes the mapped attributes columns in their own right. As a plain projection the mapping
+    # would be copied into every later check and filter that reads one of them.
+    return parsed.select(*keep, "parser", "problem", F.inline(F.array("event")))
+
+
+def _parsed_by_source(records: DataFrame) -> DataFrame:
+    """The same for records that name their parser, read once.
+
+    The parsers follow each other in one projection. Each sees the text of its own records and nothing of the others,
+    and its event is mapped for its own records alone, so a row costs one parse.
+    """
+    rows = records if "raw" in records.columns else records.withColumn("raw", F.to_json("record"))
+    envelope = [c for c in ENVELOPE if c in rows.columns and c != "raw"]
+    rows = rows.select(*envelope, "parser", F.col("raw").alias("_text"))
+    known = F.coalesce(F.col("parser").isin(*PARSERS), F.lit(False))
+    reason = F.concat(F.lit("unknown parser "), F.coalesce(F.col("parser"), F.lit("(none)")))
+    unknown = F.struct(F.lit("parse_error").alias("kind"), reason.alias("reason"))
+    events, problems = [], []
+    for place, (name, parse) in enumerate(PARSERS.items()):
+        mine = F.col("parser") == name
+        done = rows.columns
+        parsed = parse(rows.withColumn("raw", F.when(mine, F.col("_text"))))
+        event = S.fit(F.col("event"), parsed.schema["event"].dataType, S.EVENT)
+        events.append(f"_event_{place}")
+        problems.append(f"_problem_{place}")
+        rows = parsed.select(*done, F.when(mine, event).alias(events[-1]), F.when(mine, F.col("problem")).alias(problems[-1]))
+    return rows.select(
+        *envelope,
+        F.col("_text").alias("raw"),
+        "parser",
+        F.when(known, F.coalesce(*problems)).otherwise(unknown).alias("problem"),
+        F.inline(F.array(F.coalesce(*events))),
+    )
+
+
 def parse_records(records: DataFrame, parser: str | None = None, now: Column | None = None) -> DataFrame:
-    """Records with ``event`` and ``problem``: each row goes to the parser its source names."""
+    """Records with ``event`` and ``problem``: each row goes to the parser its source names, in one scan."""
     now = F.current_timestamp() if now is None else now
-    names = [parser] if parser else list(PARSERS)
-    branches = []
-    for name in names:
-        part = records if parser else records.filter(F.col("parser") == name)
-        parsed = PARSERS[name](part).withColumn("parser", F.lit(name))
-        if "raw" not in parsed.columns:
-            parsed = parsed.withColumn("raw", F.to_json("record"))
-        keep = [c for c in ENVELOPE if c in parsed.columns]
-        # inline() makes the mapped attributes columns in their own right. As a plain projection the mapping
-        # would be copied into every later check and filter that reads one of them.
-        branches.append(parsed.select(*keep, "parser", "problem", F.inline(F.array("event"))))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
-    if not parser:
-        known = F.coalesce(F.col("parser").isin(*PARSERS), F.lit(False))
-        unknown = records.filter(~known).select(
-            *[c for c in ENVELOPE if c in records.columns],
-            "parser",
-            F.struct(
-                F.lit("parse_error").alias("kind"),
-                F.concat(F.lit("unknown parser "), F.coalesce(F.col("parser"), F.lit("(none)"))).alias("reason"),
-            ).alias("problem"),
-        )
-        rows = rows.unionByName(unknown, allowMissingColumns=True)
+    rows = _parsed_by(records, parser) if parser else _parsed_by_source(records)
     checked = rows.withColumn("_reason", F.when(F.col("problem").isNull(), validation_reason(now)))
     broken = F.when(
         F.col("_reason").isNotNull(), F.struct(F.lit(INVALID).alias("kind"), F.col("_reason").alias("reason"))

@@ -391,6 +391,26 @@ SELECT g AS source_id, min(time_ms) AS first_ms, at_ms AS last_ms, count(*) AS e
 FROM ev WHERE rn <= 100 GROUP BY g, at_ms""")
 sql("new_findings", TEL, SINGLE)("SELECT rule_title, count(*) AS n FROM single_f WHERE time_ms >= 1705000000000 GROUP BY rule_title")
 
+def _form(parser: str, events: str | None, rejects: str | None) -> list[str]:
+    """Good rows by class and rejects by kind of one form, from the SQL of its own queries."""
+    parts = []
+    if events:
+        parts.append(f"SELECT '{parser}' AS parser, NULL AS kind, class_uid, count(*) AS n FROM ({ORACLE[events]}) GROUP BY class_uid")
+    if rejects:
+        parts.append(f"SELECT '{parser}', kind, NULL, sum(n) FROM ({ORACLE[rejects]}) WHERE kind IS NOT NULL GROUP BY kind")
+    return parts
+
+
+_MIXED = [
+    *_form("linux_auth", "linux_auth_events", "linux_auth_rejects"),
+    *_form("windows_security", "windows_security_events", "windows_security_rejects"),
+    *_form("windows_sysmon", "sysmon_events", "sysmon_rejects"),
+    f"SELECT 'windows_ntlm', problem, CASE WHEN problem IS NULL THEN 3002 END, count(*) FROM ({ORACLE['ntlm_events']}) GROUP BY problem",
+    *_form("ocsf", "ocsf_events", "ocsf_validation"),
+    "SELECT 'telepathy', 'parse_error', NULL, count(*) FROM events",
+]
+ORACLE["mixed_ingest"] = "SELECT parser, kind, CAST(class_uid AS INTEGER) AS class_uid, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(_MIXED) + ")"
+
 # ----------------------------------------------------------------------------------------- entities and graph
 sql("entity_sightings", TEL, SIGHTINGS)("SELECT event_uid, field, entity_key, links FROM sight")
 sql("evidence_digests", TEL)("""

@@ -158,8 +158,7 @@ def _windows_raw(spark: SparkSession, sf_dir: str, ids_by_slot: tuple[int, ...],
 SECURITY_IDS = (4624, 4625, 4634, 4647, 4648, 4672, 4688, 4768, 4769, 4771, 4776, 4663)
 
 
-@per_session
-def _security(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _security_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.struct(
         c("user_name").alias("TargetUserName"),
         c("user_domain").alias("TargetDomainName"),
@@ -177,7 +176,12 @@ def _security(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("fs-1").alias("TargetServerName"),
         F.lit("krbtgt").alias("ServiceName"),
     )
-    return normalize.parse_records(_windows_raw(spark, sf_dir, SECURITY_IDS, data), "windows_security", F.timestamp_millis(F.lit(NOW_MS)))
+    return _windows_raw(spark, sf_dir, SECURITY_IDS, data)
+
+
+@per_session
+def _security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.parse_records(_security_raw(spark, sf_dir), "windows_security", F.timestamp_millis(F.lit(NOW_MS)))
 
 
 @query
@@ -212,8 +216,7 @@ def windows_security_rejects(spark, sf_dir):
 SYSMON_IDS = (1, 3, 5, 7, 8, 10, 11, 12, 13, 14, 22, 23, 99)
 
 
-@per_session
-def _sysmon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sysmon_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = F.array(*[F.lit(t) for t in ("CreateKey", "DeleteKey", "DeleteValue", "SetValue", "RenameKey", "Unknown")])
     data = F.struct(
         F.lit("C:\\Tools\\agent.exe").alias("Image"),
@@ -236,7 +239,12 @@ def _sysmon(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("type:  5 cdn.example;::ffff:192.0.2."), c("k") % 10, F.lit(";")).alias("QueryResults"),
         F.when(c("k") % 4 == 0, F.lit("9003")).otherwise(F.lit("0")).alias("QueryStatus"),
     )
-    return normalize.parse_records(_windows_raw(spark, sf_dir, SYSMON_IDS, data), "windows_sysmon", F.timestamp_millis(F.lit(NOW_MS)))
+    return _windows_raw(spark, sf_dir, SYSMON_IDS, data)
+
+
+@per_session
+def _sysmon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.parse_records(_sysmon_raw(spark, sf_dir), "windows_sysmon", F.timestamp_millis(F.lit(NOW_MS)))
 
 
 @query
@@ -268,16 +276,18 @@ def sysmon_rejects(spark, sf_dir):
     return normalize.rejects_of(_sysmon(spark, sf_dir)).groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
-@query
-def ntlm_events(spark, sf_dir):
+def _ntlm_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.struct(
         F.when(c("k") % 9 == 0, F.lit("NULL")).otherwise(c("user_name")).alias("UserName"),
         F.coalesce("user_domain", F.lit("-")).alias("DomainName"),
         F.when(c("k") % 4 == 0, F.lit("NULL")).otherwise(F.concat(F.lit("WKS"), c("k"))).alias("WorkstationName"),
     )
-    parsed = normalize.parse_records(
-        _windows_raw(spark, sf_dir, (8004, 8001), data), "windows_ntlm", F.timestamp_millis(F.lit(NOW_MS))
-    )
+    return _windows_raw(spark, sf_dir, (8004, 8001), data)
+
+
+@query
+def ntlm_events(spark, sf_dir):
+    parsed = normalize.parse_records(_ntlm_raw(spark, sf_dir), "windows_ntlm", F.timestamp_millis(F.lit(NOW_MS)))
     return parsed.select(
         c("position").alias("event_id"),
         c("problem.kind").alias("problem"),
@@ -342,6 +352,36 @@ def ocsf_events(spark, sf_dir):
     )
 
 
+@query
+def mixed_ingest(spark, sf_dir):
+    """Records of all five forms in one batch, parsed in one pass as their sources say.
+
+    One source names a parser that does not exist, one is disabled, one is not registered.
+    """
+    lines = _lines(spark, sf_dir).select(
+        "org_id", c("event_id").alias("position"), F.to_json(F.struct(c("value").alias("message"))).alias("raw")
+    )
+    forms = {
+        "linux_auth": lines,
+        "windows_security": _security_raw(spark, sf_dir),
+        "windows_sysmon": _sysmon_raw(spark, sf_dir),
+        "windows_ntlm": _ntlm_raw(spark, sf_dir),
+        "ocsf": _ocsf_raw(spark, sf_dir),
+        "telepathy": lines,
+        "switched_off": lines,
+        "unregistered": lines,
+    }
+    batch = None
+    for name, rows in forms.items():
+        part = rows.select(F.lit(f"from-{name}").alias("source_id"), "position", "raw")
+        batch = part if batch is None else batch.unionByName(part)
+    listed = [(f"from-{n}", "org-1", n if n != "switched_off" else "linux_auth", n != "switched_off") for n in forms if n != "unregistered"]
+    sources = spark.createDataFrame(listed, "source_id string, org_id string, parser string, is_enabled boolean")
+    parsed = normalize.parse_records(normalize.stamp_sources(batch, sources), now=F.timestamp_millis(F.lit(NOW_MS)))
+    good = c("problem").isNull()
+    return parsed.groupBy("parser", c("problem.kind").alias("kind"), F.when(good, c("class_uid")).alias("class_uid")).agg(F.count("*").alias("n"))
+
+
 @query
 def content_fingerprints(spark, sf_dir):
     """Every record delivered twice: the copies share a fingerprint, and so an id."""

@@ -253,20 +253,20 @@ def lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def _fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
+def fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
     if have == want:
         return value
     if isinstance(want, T.StructType) and isinstance(have, T.StructType):
         known = {field.name: field.dataType for field in have.fields}
         parts = [
-            _fit(value.getField(f.name), known[f.name], f.dataType).alias(f.name)
+            fit(value.getField(f.name), known[f.name], f.dataType).alias(f.name)
             if f.name in known
             else F.lit(None).cast(f.dataType).alias(f.name)
             for f in want.fields
         ]
         return F.when(value.isNotNull(), F.struct(*parts))
     if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType) and isinstance(want.elementType, T.StructType):
-        return F.transform(value, lambda item: _fit(item, have.elementType, want.elementType))
+        return F.transform(value, lambda item: fit(item, have.elementType, want.elementType))
     return value.cast(want)
 
 
@@ -274,7 +274,7 @@ def conform(df: DataFrame, schema: T.StructType = STORED_EVENT, *, keep: tuple[s
     """Give ``df`` the schema's columns: missing ones (also inside structs) become typed nulls."""
     have = {field.name: field.dataType for field in df.schema.fields}
     columns = [
-        _fit(F.col(f"`{f.name}`"), have[f.name], f.dataType).alias(f.name)
+        fit(F.col(f"`{f.name}`"), have[f.name], f.dataType).alias(f.name)
         if f.name in have
         else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema.fields
