@@ -104,7 +104,9 @@ def test_exports_are_stable_and_complete(spark, story_incidents, tmp_path):
     lines = reports.report_lines(i.incidents, i.assessments, steps, members, citations, i.links, i.entities, None, now)
     text = "\n".join(r.line for r in lines.orderBy("incident_id", "section", "at", "item", "line_no").collect())
     assert "# Successful logon after repeated failures from 203.0.113.9 on web-7" in text
-    assert "### Failed logon (failure)" in text
+    assert "### 1. Failed logon (failure)" in text, "steps are numbered in order"
+    assert text.count("## How to check this report") == 2 and text.count("No notes.") == 2
+    assert text.count("## Links between findings") <= 2
     reports.write_documents(lines, str(tmp_path / "reports"), ["section", "at", "item", "line_no"])
     written = spark.read.text(str(tmp_path / "reports"))
     assert written.select("incident_id").distinct().count() == 2
