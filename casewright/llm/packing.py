@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -207,7 +208,7 @@ class Words:
         self._learn(shared, True)
         self._learn(["\n" + w for w in others], False)  # apart from the plain: their case counts
         known = self.known
-        slots = np.array([known[p] for p in shared], dtype=np.int64)
+        slots = np.fromiter(map(known.__getitem__, shared), dtype=np.int64, count=len(shared))
         counts = np.ones(len(words), dtype=np.int64)
         counts[plain] = cut - 1
         parts = np.empty(int(counts.sum()), dtype=np.int64)
@@ -242,6 +243,12 @@ class Words:
         return ids, np.diff(np.concatenate([[0], upto[words_until]]))
 
 
+@lru_cache(maxsize=1)
+def words_for(vocabulary: str) -> Words:
+    """One encoder for all tasks of a worker process; what it remembers changes its speed alone."""
+    return Words(vocabulary)
+
+
 def pack_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -268,7 +275,7 @@ def pack_texts(
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequence = Words(vocabulary), TaskContext.get().partitionId() << 33
+        words, sequence = words_for(vocabulary), TaskContext.get().partitionId() << 33
         for batch in steps(batches, "text"):
             ids, sizes = words.encode(batch.column("text"), end)
             free = np.zeros(len(sizes), dtype=np.int64)
