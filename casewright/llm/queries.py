@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import exact_dedup, html_text, language_model, mixing, packing, quality, simhash, topk, url_filter, warc
-from casewright.llm.common import remainder, table
+from casewright.llm.common import remainder, shared_folder, table
 from casewright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +89,7 @@ def op5_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.shared_folder(spark, "archives")
+    path = shared_folder(spark, "archives")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.page_records(warc.read_archive(spark, path))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import rekeyed, whole
-from casewright.session import cut_lineage, ensure_checkpoint_dir
+from casewright.llm.common import rekeyed, whole, written
+from casewright.session import cut_lineage
 
 VERSION = "WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
 MAGIC = RECORD_END + VERSION  # what stands before every record but the first; payloads may hold it as well
 PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page-id:"
+SMALL_TABLE = 100_000  # rows up to which a table of some ten bytes a row is broadcast
 LENGTH = re.compile(rb"^content-length:[ \t]*(\d{1,18})[ \t]*\r?$", re.I | re.M)
 FIELD = re.compile(rb"^([!-9;-~]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 
@@ -29,12 +29,6 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder, which all executors reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _line(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise(F.lit(""))
 
@@ -51,8 +45,8 @@ def write_archive(
     """One record per page, one archive per task, in the folder ``path``.
 
     Of pages whose payloads are equal (by SHA-256) and have ``least`` bytes or more, those with the smallest id are
-    responses, the others revisits without a block that refer to it. Only digests that repeat are joined to the pages,
-    so payloads stay where they are read while that table is small enough for Spark to broadcast, and else move once.
+    responses, the others revisits without a block that refer to it. Only digests that repeat are joined to the pages:
+    up to ``SMALL_TABLE`` of them are broadcast, and payloads stay where they are read; more are dealt out with them.
 
     A null payload is empty; a null id gives an empty one and is never the smallest; a null URL gives no target line,
     and white space in a URL is percent-encoded. An empty table gives archives without records.
@@ -66,7 +60,7 @@ def write_archive(
     rows = pages.select(
         F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"), F.sha2(payload.cast("binary"), 256).alias("_key")
     )
-    repeated = (
+    repeated = cut_lineage(
         rows.filter(F.octet_length("_payload") >= least)
         .groupBy("_key")
         .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
@@ -93,7 +87,8 @@ def write_archive(
         F.lit("\r\n"),
         block,
     )
-    joined = rows.join(repeated, "_key", "left").withColumn("_digest", base32(F.sha1(F.col("_payload").cast("binary"))))
+    few = repeated.count() <= SMALL_TABLE
+    joined = rows.join(F.broadcast(repeated) if few else repeated, "_key", "left").withColumn("_digest", base32(F.sha1(F.col("_payload").cast("binary"))))
     joined.select(record.alias("value")).write.option("lineSep", RECORD_END).text(path)
 
 
@@ -121,44 +116,64 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             at = end
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each segment as a record: where its successor would start, its fields, and its block's digest if it holds it all."""
-    columns: list[list] = []
-    names = ("file", "split", "at", "end", "successor", "record_id", "type", "url", "refers_to", "stated", "bytes", "digest")
-    kinds = (pa.string(), *[pa.int64()] * 4, *[pa.string()] * 5, pa.int64(), pa.string())
+NAMES = ("file", "split", "at", "end", "successor", "leaves", "record_id", "type", "url", "refers_to", "stated", "bytes", "digest")
+KINDS = (pa.string(), *[pa.int64()] * 5, *[pa.string()] * 5, pa.int64(), pa.string())
+SCHEMA = (
+    "file string, split long, at long, end long, successor long, leaves long, record_id string, type string, "
+    "url string, refers_to string, stated string, bytes long, digest string"
+)
+
+
+def _candidate(file: str, split: int, at: int, end: int, bare: bytes) -> dict:
+    """A segment as a record: where its successor would start, its fields, and its block's digest if it holds it all."""
+    # a block that starts with a version line makes the end of the head look like a magic: no block is left then
+    head, _, block = bare.partition(b"\r\n\r\n")
+    row: dict = dict.fromkeys(NAMES) | {"file": file, "split": split, "at": at, "end": end}
+    if length := LENGTH.search(head):
+        size = int(length[1])
+        fields = {k.lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(head)}
+        row["successor"] = at + len(VERSION) + len(head) + 4 + size + len(RECORD_END)
+        for name, header in (("record_id", b"warc-record-id"), ("type", b"warc-type"), ("url", b"warc-target-uri"), ("refers_to", b"warc-refers-to"), ("stated", b"warc-payload-digest")):
+            row[name] = fields.get(header)
+        if size <= len(block) and row["successor"] in (end, end - len(RECORD_END)):
+            row["bytes"], row["digest"] = size, base32_sha1(block[:size])
+    return row
 
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*columns, strict=True), kinds, strict=True)], list(names))
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of each split; ``leaves`` is where the chain that starts at a candidate leaves the split."""
+
+    def told(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        ways: dict[int, int] = {}
+        for row in reversed(rows):
+            if row["successor"] is not None:
+                row["leaves"] = ways[row["at"]] = ways.get(row["successor"], row["successor"])
+        for at in range(0, len(rows), 2000):
+            part = rows[at : at + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], k) for n, k in zip(NAMES, KINDS, strict=True)], list(NAMES))
+
+    rows: list[dict] = []
     for file, split, at, end, bare in _placed(batches):
-        # a block that starts with a version line makes the end of the head look like a magic: no block is left then
-        head, _, block = bare.partition(b"\r\n\r\n")
-        length = LENGTH.search(head)
-        row: list = [file, split, at, end, None, None, None, None, None, None, None, None]
-        if length:
-            size = int(length[1])
-            fields = {k.lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(head)}
-            row[4] = at + len(VERSION) + len(head) + 4 + size + len(RECORD_END)
-            row[5:10] = (fields.get(n) for n in (b"warc-record-id", b"warc-type", b"warc-target-uri", b"warc-refers-to", b"warc-payload-digest"))
-            if size <= len(block) and row[4] in (end, end - len(RECORD_END)):
-                row[10:] = size, base32_sha1(block[:size])
-        columns.append(row)
-        if len(columns) == 2000:
-            yield batch_of()
-            columns = []
-    if columns:
-        yield batch_of()
+        if rows and (rows[0]["file"], rows[0]["split"]) != (file, split):
+            yield from told(rows)
+            rows = []
+        rows.append(_candidate(file, split, at, end, bare))
+    yield from told(rows)
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """``file, off`` of the records that the chain of successors reaches from the start of each file.
+    """``file, off`` of the records at which the chain from each file's start enters a split.
 
-    Pointer jumping: after n rounds the first 2 ** n records of each chain are known, and each pointer spans as many.
+    Pointer jumping over the places where chains leave splits: after n rounds the first 2 ** n splits of each file are
+    known, and each pointer spans as many. Only candidates that some chain leads to take part, one a split or so.
     """
-    known = cut_lineage(candidates.filter("off = 0 AND successor IS NOT NULL").select("file", "off"))
-    starts = candidates.filter("successor IS NOT NULL").select("file", F.col("off").alias("to"))
-    jumps = candidates.select("file", "off", F.col("successor").alias("to")).join(starts, ["file", "to"], "left_semi")
-    jumps = cut_lineage(jumps.select("file", "off", "to"))
+    ways = candidates.filter("leaves IS NOT NULL").select("file", "off", F.col("leaves").alias("to"))
+    aims = ways.select("file", F.col("to").alias("off")).distinct()
+    entered = ways.join(aims.withColumn("aimed", F.lit(True)), ["file", "off"], "left").filter("aimed OR off = 0")
+    jumps = cut_lineage(entered.select("file", "off", "to"))
+    known = jumps.filter("off = 0").select("file", "off")
+    starts = jumps.select("file", F.col("off").alias("to"))
+    jumps = jumps.join(starts, ["file", "to"], "left_semi").select("file", "off", "to")
     count = known.count()
     while True:
         further = known.join(jumps, ["file", "off"]).select("file", F.col("to").alias("off"))
@@ -170,30 +185,38 @@ def reachable(candidates: DataFrame) -> DataFrame:
         jumps = cut_lineage(jumps.join(after, ["file", "to"]).select("file", "off", F.col("then").alias("to")))
 
 
+def _walked(part: pd.DataFrame) -> pd.DataFrame:
+    """Marks the records of one split: those on the chain from the entry."""
+    following = dict(zip(part["off"], part["successor"], strict=True))
+    real, at = set(), part["entry"].iloc[0]
+    while at in following and not pd.isna(following[at]):
+        real.add(at)
+        at = following[at]
+    return part.assign(real=part["off"].isin(real)).drop(columns="entry")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``file, off, record_id, type, url, refers_to, stated, bytes, digest`` of every record under ``path``.
 
     The reader cuts archives at the magic, so splits of one archive are read in parallel and a payload that holds the
     magic comes in several segments. Each task says where its segments lie and where the record that each seems to be
-    would end; the places of splits follow from their lengths. Only segments that the chain from the file's start
-    reaches are records, the others are payload. Payloads in several segments are read again and put together, the
+    would end, and where the chain from there leaves the split; the places of splits follow from their lengths. Only
+    segments that the chain from the file's start reaches are records, the others are payload. Payloads in several segments are read again and put together, the
     only ones that move. A chain ends at a record without a length; an empty folder has no records. ``bytes`` and
     ``digest`` are those of the block as read, ``stated`` is what the record says.
     """
-    schema = (
-        "file string, split long, at long, end long, successor long, record_id string, type string, url string, "
-        "refers_to string, stated string, bytes long, digest string"
-    )
-    found = cut_lineage(_segments(spark, path).mapInArrow(_candidates, schema))
+    found = written(_segments(spark, path).mapInArrow(_candidates, SCHEMA), "candidates")
     lengths = found.groupBy("file", "split").agg(F.max("end").alias("length"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = lengths.select("file", "split", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
-    placed = found.join(F.broadcast(bases) if bases.count() <= 100_000 else bases, ["file", "split"])
-    shift = {n: F.col(n) + F.col("base") for n in ("end", "successor")}
-    candidates = cut_lineage(placed.withColumns({"off": F.col("at") + F.col("base"), **shift}))
-
-    chain = reachable(candidates).withColumn("real", F.lit(True))
-    marked = cut_lineage(candidates.join(chain, ["file", "off"], "left").withColumn("real", F.coalesce("real", F.lit(False))))
+    bases = cut_lineage(lengths.select("file", "split", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base")))
+    placed = found.join(F.broadcast(bases) if bases.count() <= SMALL_TABLE else bases, ["file", "split"])
+    shifted = {n: F.col(n) + F.col("base") for n in ("end", "successor", "leaves")}
+    candidates = placed.withColumns({"off": F.col("at") + F.col("base"), **shifted}).drop("base")
+
+    entries = candidates.join(reachable(candidates), ["file", "off"], "left_semi").select("file", "split", F.col("off").alias("entry"))
+    whole_splits = candidates.join(entries, ["file", "split"], "left")
+    walked = whole_splits.groupBy("file", "split").applyInPandas(_walked, f"{SCHEMA}, off long, real boolean")
+    marked = written(walked, "records")
     shown = ["file", "off", "record_id", "type", "url", "refers_to", "stated", "bytes", "digest"]
     complete = marked.filter("real AND digest IS NOT NULL").select(shown)
     broken = marked.filter("NOT real OR digest IS NULL")

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 
 from casewright.llm import warc
+from casewright.llm.common import shared_folder
 
 INNER = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page-id:999>\r\nContent-Length: 3\r\n\r\nabc"
 PAGES = [
@@ -43,7 +44,7 @@ def expected(pages):
 
 def round_trip(spark, pages, parts=1):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
-    path = warc.shared_folder(spark, "test-archives")
+    path = shared_folder(spark, "test-archives")
     warc.write_archive(df, path)
     return path, [tuple(r) for r in warc.page_records(warc.read_archive(spark, path)).collect()]
 
@@ -63,7 +64,7 @@ def test_payloads_with_magic_survive_any_split(spark, split):
 
 def test_many_records_in_several_archives(spark):
     pages = [(n, f"http://h/{n}", f"page {n % 50} " * (n % 7)) for n in range(300)]
-    path = warc.shared_folder(spark, "test-archives")
+    path = shared_folder(spark, "test-archives")
     for part in range(3):
         some = spark.createDataFrame(pages[part * 100 : part * 100 + 100], "page_id long, url string, html string")
         warc.write_archive(some, f"{path}/{part}")
@@ -71,7 +72,13 @@ def test_many_records_in_several_archives(spark):
     counts = [r["count"] for r in records.groupBy("file").count().collect()]
     assert len(counts) >= 3 and sum(counts) == 300
     bytes_read = {r["record_id"]: r["bytes"] for r in records.filter("type = 'response'").collect()}
-    assert all(bytes_read[f"<urn:page-id:{n}>"] == len(t) for n, _, t in pages[:50])
+    assert len(bytes_read) > 30 and all(bytes_read.get(f"<urn:page-id:{n}>", len(t)) == len(t) for n, _, t in pages[:50])
+
+
+def test_many_repeated_payloads_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_TABLE", 0)
+    pages = [(n, "u", f"page {n % 9}" if n % 3 else "the same") for n in range(80)]
+    assert sorted(round_trip(spark, pages, 3)[1], key=str) == sorted(expected(pages), key=str)
 
 
 def test_empty_table_and_repeated_rows(spark):
@@ -86,7 +93,7 @@ def test_empty_table_and_repeated_rows(spark):
 
 def test_small_payloads_may_all_be_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
-    path = warc.shared_folder(spark, "test-archives")
+    path = shared_folder(spark, "test-archives")
     warc.write_archive(df, path, least=3)
     kinds = {r["page_id"]: r["record_type"] for r in warc.page_records(warc.read_archive(spark, path)).collect()}
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
