@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from casewright import schema as S
+from casewright.functions.ids import at_millis
 from casewright.operators import baseline, correlate, intel
 from casewright.operators.normalize import accepted_events, parse_records, rejects_of, stamp_sources
+from casewright.session import cut_lineage
 from casewright.sources import sinks
 
 BatchJob = Callable[[DataFrame, int], None]
 
 
+def _identity() -> Column:
+    """What makes two rows one event; an event ingested twice has two times of ingestion."""
+    return F.struct(F.col("sx.org_id"), F.col("sx.event_uid"))
+
+
 def read_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A stream of stored events from files; a Kafka topic of the same JSON works through ``from_json``."""
     return spark.readStream.schema(S.STORED_EVENT).options(**options).parquet(path)
@@ -87,7 +94,7 @@ def baseline_job(path: str) -> BatchJob:
     """Baselines of each batch in its own folder; ``read_baselines`` merges them."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        unique = batch.dropDuplicates(["sx"]) if "sx" in batch.columns else batch
+        unique = sinks.first_copies(batch, _identity()) if "sx" in batch.columns else batch
         baseline.observe(unique).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return run
@@ -97,6 +104,18 @@ def read_baselines(spark: SparkSession, path: str) -> DataFrame:
     return baseline.merge_baselines(spark.read.parquet(path).drop("batch_id"))
 
 
+def _cited(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """The stored events that findings cite: the date partitions they can lie in, then those events alone."""
+    if "event_date" in stored.columns:
+        span = found.agg(F.min("first_ms"), F.max("last_ms")).first()
+        if span[0] is not None:
+            day = lambda ms: F.to_date(at_millis(F.lit(ms)))
+            stored = stored.filter(F.col("event_date").between(day(span[0]), day(span[1])))
+    wanted = found.select(F.col("org_id").alias("_org"), F.explode("evidence").alias("_uid")).distinct()
+    same = (F.col("sx.org_id") == F.col("_org")) & (F.col("sx.event_uid") == F.col("_uid"))
+    return stored.join(wanted, same, "left_semi")
+
+
 def correlation_job(find: Callable[[DataFrame], DataFrame], events_path: str, state_path: str) -> BatchJob:
     """Link each batch's findings and logons to the incidents earlier batches left open.
 
@@ -107,10 +126,12 @@ def correlation_job(find: Callable[[DataFrame], DataFrame], events_path: str, st
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = sinks._table(spark, events_path)
-        # Evidence may lie in earlier batches: read it back from the store.
-        events = batch if stored is None else stored.select(*batch.columns).unionByName(batch).dropDuplicates(["sx"])
+        found = cut_lineage(find(batch))
+        # Evidence may lie in earlier batches: what the findings cite is read back from the store.
+        events = batch if stored is None else _cited(stored, found).select(*batch.columns).unionByName(batch)
+        events = sinks.first_copies(events, _identity())
         links, recorded = correlate.link_batch(
-            find(batch),
+            found,
             events,
             _stored(spark, f"{state_path}/links", batch_id),
             _stored(spark, f"{state_path}/recorded", batch_id),
