@@ -23,6 +23,8 @@ HEADLINE = (
     "windows_security_events",
     "ocsf_events",
     "rule_matches",
+    "many_rule_matches",
+    "mixed_ingest",
     "spray_findings",
     "busy_source_findings",
     "window_event_counts",
@@ -37,6 +39,7 @@ HEADLINE = (
     "event_search_page",
     "document_mentions",
     "grounded_statements",
+    "attribution_checks",
     "audit_verification",
     "incidents",
 )
