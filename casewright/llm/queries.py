@@ -96,4 +96,4 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+    return language_model.lm_scores(table(spark, sf_dir, "documents"), least=language_model.EVERY)
