@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import raw_records
+from stories import raw_records
 from pyspark.sql import functions as F
 
 from casewright.operators.normalize import normalize

@@ -64,7 +64,7 @@ def test_ingest_baseline_and_correlation_in_batches(spark, tmp_path, story_event
 
 
 def test_ingest_job_stores_once_and_keeps_rejects(spark, tmp_path):
-    from conftest import STORY_SSH, raw_records
+    from stories import STORY_SSH, raw_records
 
     sources = spark.createDataFrame(
         [("ssh", "org", True, "linux_auth"), ("off", "org", False, "linux_auth")], "source_id string, org_id string, is_enabled boolean, parser string"
