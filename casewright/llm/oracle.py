@@ -80,3 +80,44 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM ranked
 QUALIFY rank <= 20
 """
+
+ORACLE["op12_source_divergence"] = r"""
+WITH base AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM base) GROUP BY lang, term HAVING count(*) >= 3),
+tokens AS (SELECT lang, source, unnest(words) AS term FROM base),
+counts AS (
+  SELECT t.lang, t.source, t.term, count(*) AS count FROM tokens t JOIN kept k ON t.lang = k.lang AND t.term = k.term
+  GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce((SELECT sum(count) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total,
+         (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS terms
+  FROM (SELECT DISTINCT lang, source FROM base) g),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.count, 0) AS count,
+         1 + (1000000000::HUGEINT * (coalesce(c.count, 0) + 1)) // (g.total + g.terms) AS p
+  FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(count) + 1)::HUGEINT) // (any_value(n) + any_value(terms)) AS q
+  FROM shares s JOIN (SELECT lang, sum(total)::HUGEINT AS n, any_value(terms) AS terms FROM groups GROUP BY lang) l USING (lang)
+  GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) v
+  ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, ((s.p - w.q) * (s.p - w.q)) // w.q AS value
+  FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE s.count > 0 AND s.p > w.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, html_text, language_model, mixing, packing, quality, simhash, topk, url_filter, warc
+from casewright.llm import (
+    divergence,
+    exact_dedup,
+    html_text,
+    language_model,
+    mixing,
+    packing,
+    pieces,
+    quality,
+    simhash,
+    topk,
+    url_filter,
+    warc,
+    whitening,
+)
 from casewright.llm.common import remainder, shared_folder, table
 from casewright.session import configure
 
@@ -97,3 +111,27 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.lm_scores(table(spark, sf_dir, "documents"), least=language_model.EVERY)
+
+
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    spelled = F.array_join(F.col("ids").cast("array<string>"), ",")
+    counted = encoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled.cast("binary"), 256).alias("ids_sha256")
+    )
+    decoded = pieces.decode_ids(counted, model)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op13_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))

@@ -22,12 +22,15 @@ COLUMNS = {
     8: ["page_id", "host", "path", "rule", "verdict"],
     9: ["doc_id", "fingerprint", "component_id"],
     10: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    11: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    12: ["lang", "source", "part", "item", "value", "rank"],
+    13: ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -36,8 +39,8 @@ def test_columns_and_rows(spark, name):
     found = QUERIES[name](spark, SF)
     assert found.columns == COLUMNS[number]
     rows = [tuple(r) for r in found.collect()]
-    table = "embeddings" if number == 3 else "pages" if number in (5, 8, 10) else "documents"
-    if number not in (3, 6):
+    table = "embeddings" if number in (3, 13) else "pages" if number in (5, 8, 10) else "documents"
+    if number not in (3, 6, 12, 13):
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name in ORACLE:
         db = duckdb.connect()
