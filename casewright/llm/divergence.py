@@ -21,7 +21,9 @@ TILE = 64  # sources of a tile; such a group holds two tiles at most
 EVERYWHERE = ""
 #: Letters A-Z as a-z, all other ASCII but a-z as a space; bytes of other characters stay.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-COUNTS = "lang string, source string, place int, count long"
+SEEN_TERMS = 1_000_000  # terms that a task remembers to have met, some 150 MB; beyond that it starts afresh
+HELD_ENTRIES = 2_000_000  # entries of vectors that a task holds before it sums them, some 40 MB
+RESULT = "source string, part string, item string, value long, rank int"
 
 
 def terms_of(texts: pa.Array) -> pa.Array:
@@ -39,63 +41,101 @@ def terms_of(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(kept[places], pa.int32()), terms)
 
 
+def _first_seen(langs: pa.Array, terms: pa.Array, seen: set[tuple[str, str]]) -> pa.Array:
+    """Of each text's terms those that ``seen`` does not hold with its language; they are put there."""
+    coded, spoken = terms.flatten().dictionary_encode(), langs.dictionary_encode()
+    counts = terms.value_lengths().to_numpy()
+    key = coded.indices.to_numpy().astype(np.int64) * len(spoken.dictionary) + np.repeat(spoken.indices.to_numpy(), counts)
+    first = np.full(len(coded.dictionary) * len(spoken.dictionary), -1)
+    first[key[::-1]] = np.arange(len(key))[::-1]
+    keys = np.flatnonzero(first >= 0)
+    names, words = spoken.dictionary.to_pylist(), coded.dictionary.to_pylist()
+    pairs = [(names[k % len(names)], words[k // len(names)]) for k in keys.tolist()]
+    fresh = np.zeros(len(key) + 1, dtype=bool)
+    fresh[first[keys]] = [pair not in seen for pair in pairs]
+    if len(seen) > SEEN_TERMS:
+        seen.clear()
+    seen.update(pairs)
+    before = np.concatenate([[0], np.cumsum(fresh[:-1])])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), terms.flatten().filter(pa.array(fresh[:-1])))
+
+
 def _term_lists(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms, part`` of each document, written by language; ``part`` is the language as a folder name."""
+    """``lang, source, terms, fresh, part`` of each document, written by language.
+
+    ``fresh`` are the terms that the task had not met in the language before: together they hold every term, most of
+    them once a task. ``part`` is the language as a folder name.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
         for step in steps(batches, "text"):
+            terms = terms_of(step.column("text"))
+            fresh = _first_seen(step.column("lang"), terms, seen)
             yield pa.RecordBatch.from_arrays(
-                [step.column("lang"), step.column("source"), terms_of(step.column("text"))], names=["lang", "source", "terms"]
+                [step.column("lang"), step.column("source"), terms, fresh], names=["lang", "source", "terms", "fresh"]
             )
 
-    schema = "lang string, source string, terms array<string>"
+    schema = "lang string, source string, terms array<string>, fresh array<string>"
     listed = docs.mapInArrow(run, schema).withColumn("part", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8"))))
     path = shared_folder(docs.sparkSession, "terms")
     listed.write.option("compression", "zstd").partitionBy("part").parquet(path)
     return docs.sparkSession.read.schema(f"{schema}, part string").parquet(path)
 
 
-def _places(vector: str) -> Column:
-    """The places and counts that a sparse vector holds, one a row."""
-    raw = F.unwrap_udt(vector)
-    return F.explode(F.arrays_zip(raw["indices"].alias("place"), raw["values"].alias("count"))).alias("entry")
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of sparse vectors, summed by source and place, some millions of entries at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    names: dict[str, int] = {}
+    size = 0
 
+    def sums() -> pa.RecordBatch:
+        source, place, count = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        order = np.lexsort((place, source))
+        source, place, count = source[order], place[order], count[order]
+        starts = np.flatnonzero(np.concatenate([[True], (source[1:] != source[:-1]) | (place[1:] != place[:-1])]))
+        found = pa.DictionaryArray.from_arrays(pa.array(source[starts], pa.int32()), pa.array(list(names), pa.string()))
+        columns = [found.cast(pa.string()), pa.array(place[starts]), pa.array(np.add.reduceat(count, starts))]
+        return pa.RecordBatch.from_arrays(columns, names=["source", "place", "count"])
 
-def _count(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``lang, source, place, count`` and ``lang, place, term`` over the kept terms of each language.
+    for batch in batches:
+        lists = batch.column("places")
+        each = lists.value_lengths().to_numpy()
+        number = np.array([names.setdefault(name, len(names)) for name in batch.column("source").to_pylist()], dtype=np.int32)
+        place = lists.flatten().to_numpy(zero_copy_only=False)
+        count = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        held.append((np.repeat(number, each), place, count))
+        size += len(place)
+        if size > HELD_ENTRIES:
+            yield sums()
+            held, size = [], 0
+    if size:
+        yield sums()
 
-    Languages are counted one at a time, so that one vocabulary is held in memory at a time.
-    """
-    spark = lists.sparkSession
-    counts, names = shared_folder(spark, "term-counts"), shared_folder(spark, "vocabulary")
-    spark.createDataFrame([], COUNTS).write.parquet(counts)
-    spark.createDataFrame([], "lang string, place int, term string").write.parquet(names)
+
+def _count(part: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """``source, place, count`` over the kept terms of a language, ``place, term``, and the number of kept terms."""
+    spark = part.sparkSession
     counter = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(least), vocabSize=LARGEST_VOCABULARY)
-    parts = lists.groupBy("part").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
-    for row in parts.orderBy("part").collect():
-        part = lists.filter(F.col("part") == row.part)
-        marked = part.select("lang", "source", F.concat(F.array(F.lit(EVERYWHERE)), "terms").alias("terms"))
-        model = counter.fit(marked)
-        entries = model.transform(marked).select("lang", "source", _places("counts"))
-        sums = entries.groupBy("lang", "source", F.col("entry.place").alias("place")).agg(
-            F.sum(F.col("entry.count").cast("long")).alias("count")
-        )
-        sums.write.mode("append").parquet(counts)
-        # the vocabulary as a table, without another way through the driver: each term is a document of its own
-        single = part.select("lang", F.explode(F.array_distinct("terms")).alias("term")).distinct()
-        named = model.transform(single.select("lang", "term", F.array("term").alias("terms")))
-        named = named.select("lang", "term", _places("counts"))
-        named.select("lang", F.col("entry.place").alias("place"), "term").write.mode("append").parquet(names)
-    return spark.read.parquet(counts), spark.read.parquet(names)
-
-
-def _share(count: str | Column, total: Column) -> Column:
-    """1 + floor(ONE * (count + 1) / total), in decimals that hold the product."""
-    above = F.lit(ONE).cast("decimal(10,0)") * (F.col(count) if isinstance(count, str) else count).cast("decimal(19,0)")
-    above = above + F.lit(ONE).cast("decimal(10,0)")
-    total = F.when(total > 0, total).cast("decimal(19,0)")
-    # the remainder is exact, so the quotient is whole
-    return ((above - above % total) / total).cast("long") + 1
+    marked = part.select("source", F.concat(F.array(F.lit(EVERYWHERE)), "terms").alias("terms"))
+    model = counter.fit(marked)
+    mark = model.transform(spark.createDataFrame([([EVERYWHERE],)], "terms array<string>")).first().counts
+    raw = F.unwrap_udt("counts")
+    vectors = model.transform(marked).select("source", raw["indices"].alias("places"), raw["values"].alias("counts"))
+    partial = vectors.mapInArrow(_summed, "source string, place int, count long").filter(F.col("place") != int(mark.indices[0]))
+    counts = written(partial.groupBy("source", "place").agg(F.sum("count").alias("count")), "term-counts")
+    # the vocabulary as a table, without another way through the driver: each term is a document of its own
+    single = part.select(F.explode("fresh").alias("term")).distinct().select("term", F.array("term").alias("terms"))
+    place = F.get(F.unwrap_udt("counts")["indices"], F.lit(0)).alias("place")
+    names = model.transform(single).select(place, "term").filter("place IS NOT NULL")
+    return counts, names, mark.size - 1
+
+
+def _share(count: str, total: str) -> Column:
+    """1 + floor(ONE * (count + 1) / total); in decimals where the product leaves a long."""
+    wide = f"cast({ONE} as decimal(10,0)) * cast({count} + 1 as decimal(19,0)) div cast({total} as decimal(19,0))"
+    return F.expr(f"CASE WHEN {count} < {2**63 // ONE - 1} THEN {ONE}L * ({count} + 1) div {total} ELSE {wide} END + 1")
 
 
 def tile_pairs(rows: pa.Table, size: int) -> pa.Table:
@@ -124,31 +164,68 @@ def tile_pairs(rows: pa.Table, size: int) -> pa.Table:
         value = ((shares[:, partners] - theirs) ** 2 // theirs).sum(axis=0) + missing * ((least[partners] - q) ** 2 // q)
         found.append((sources[partners], np.full(len(partners), sources[other]), value))
     no, item, value = (np.concatenate(parts) for parts in zip(*found, strict=True))
-    lang = pa.array([rows.column("lang")[0].as_py()] * len(no), pa.string())
-    return pa.table({"lang": lang, "no": pa.array(no, pa.int32()), "item_no": pa.array(item, pa.int32()), "value": pa.array(value, pa.int64())})
+    return pa.table({"no": pa.array(no, pa.int32()), "item_no": pa.array(item, pa.int32()), "value": pa.array(value, pa.int64())})
 
 
-def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
-    """``lang, source, item, value`` for each two sources of a language."""
-    blank = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "lang", "no", "tiles", "terms", "block", F.lit(-1).alias("place"), F.col("least").alias("share")
-    )
-    rows = shares.select(
-        "lang", "no", "tiles", "terms", F.pmod("place", "blocks").alias("block"), "place", "share"
-    ).unionByName(blank)
+def _pairs(shares: DataFrame, groups: DataFrame, terms: int, sources: int) -> DataFrame:
+    """``source, item, value`` for each two sources of a language; no row for a pair before its sums over blocks."""
+    blocks, tiles = max(1, -(-terms // BLOCK_TERMS)), -(-sources // TILE)
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    blank = groups.select("no", F.lit(-1).alias("place"), F.col("least").alias("share"), block.alias("block"))
+    rows = shares.select("no", "place", "share", F.pmod("place", F.lit(blocks)).alias("block")).unionByName(blank)
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     tile = F.floor(F.col("no") / TILE).cast("int")
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select(
-        "lang", "no", "terms", "place", "share", "block", (F.col("block") == 0).alias("first"),
+        "no", "place", "share", "block", (F.col("block") == 0).alias("first"), F.lit(terms).alias("terms"),
         F.least(tile, "with").alias("low"), F.greatest(tile, "with").alias("high"),
     )
     size = TILE
-    groups_of_rows = rows.groupBy("lang", "block", "low", "high")
-    added = groups_of_rows.applyInArrow(lambda found: tile_pairs(found, size), "lang string, no int, item_no int, value long")
-    named = groups.select("lang", "no", "source")
-    items = groups.select("lang", F.col("no").alias("item_no"), F.col("source").alias("item"))
-    summed = added.groupBy("lang", "no", "item_no").agg(F.sum("value").alias("value"))
-    return summed.join(named, ["lang", "no"]).join(items, ["lang", "item_no"]).select("lang", "source", "item", "value")
+    added = rows.groupBy("block", "low", "high").applyInArrow(
+        lambda found: tile_pairs(found, size), "no int, item_no int, value long"
+    )
+    summed = added.groupBy("no", "item_no").agg(F.sum("value").alias("value"))
+    items = groups.select(F.col("no").alias("item_no"), F.col("source").alias("item"))
+    return summed.join(groups.select("no", "source"), "no").join(items, "item_no").select("source", "item", "value")
+
+
+def _audit_language(part: DataFrame, least_docs: int, top_terms: int) -> DataFrame:
+    """``source, part, item, value, rank`` of one language, from its documents' terms."""
+    enough = len(part.select("source").take(least_docs)) == least_docs  # else no term can be kept
+    if enough:
+        counts, names, terms = _count(part, least_docs)
+    else:
+        spark, terms = part.sparkSession, 0
+        counts = spark.createDataFrame([], "source string, place int, count long")
+        names = spark.createDataFrame([], "place int, term string")
+    totals = counts.groupBy("source").agg(F.sum("count").alias("total"))
+    ordered = Window.orderBy("source")  # one row a source
+    groups = (
+        part.select("source").distinct().join(totals, "source", "left").na.fill(0, ["total"])
+        .withColumn("no", F.row_number().over(ordered) - 1)
+        .withColumn("whole", F.greatest(F.lit(1), F.col("total") + terms))
+    )
+    groups = written(groups.withColumn("least", _share("0", "whole")), "sources")
+    size = groups.agg(F.count("*").alias("sources"), F.sum("total").alias("total")).first()
+
+    everywhere = F.sum("count").over(Window.partitionBy("place"))
+    shares = counts.withColumn("everywhere", everywhere).join(groups, "source").select(
+        "no", "source", "place", _share("count", "whole").alias("share"),
+        _share("everywhere", f"{max(1, size.total + terms)}L").alias("usual"),
+    )
+    more = shares.filter("share > usual").select(
+        "source", "place", F.expr("(share - usual) * (share - usual) div usual").alias("value")
+    )
+    # names decide between equal values: first all terms that could be among the top ones, then their names
+    foremost = Window.partitionBy("source").orderBy(F.desc("value"))
+    near = more.withColumn("near", F.rank().over(foremost)).filter(F.col("near") <= top_terms)
+    ranked = Window.partitionBy("source").orderBy(F.desc("value"), "item")
+    top = near.join(names, "place").select("source", F.col("term").alias("item"), "value")
+    top = top.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_terms)
+    pairs = _pairs(shares, groups, terms, size.sources).withColumn("rank", F.row_number().over(ranked))
+    columns = ["source", "part", "item", "value", "rank"]
+    return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(
+        top.withColumn("part", F.lit("term")).select(columns)
+    )
 
 
 def audit_sources(
@@ -169,40 +246,15 @@ def audit_sources(
 
     Null languages, sources and texts count as empty ones. Repeated rows count as often as they come. A language in
     which no term is kept has pairs of value 0; one with a single source has none. An empty table gives an empty
-    result. Other columns are ignored. There are as many pairs as the result holds, and no row for a pair before that:
-    shares meet in blocks of terms, and each block gives one sum for two sources.
+    result. Other columns are ignored. Languages are audited one after another, so that one vocabulary is held in
+    memory at a time, and their rows written to the shared folder.
     """
     named = {"lang": lang_col, "source": source_col, "text": text_col}
     lists = _term_lists(docs.select(*[whole(F.col(f"`{c}`").cast("string")).alias(n) for n, c in named.items()]))
-    counts, names = _count(lists, least_docs)
-
-    vocabulary = names.groupBy("lang").agg(F.count("*").alias("terms"))
-    counted = counts.join(names, ["lang", "place"])
-    totals = counted.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    occurring = lists.select("lang", "source").distinct()
-    ordered = Window.partitionBy("lang").orderBy("source")
-    groups = (
-        occurring.join(vocabulary, "lang", "left")
-        .join(totals, ["lang", "source"], "left")
-        .na.fill(0, ["terms", "total"])
-        .withColumn("no", F.row_number().over(ordered) - 1)
-        .withColumn("tiles", F.ceil(F.count("*").over(Window.partitionBy("lang")) / TILE).cast("int"))
-        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("terms") / BLOCK_TERMS)).cast("int"))
-        .withColumn("least", F.coalesce(_share(F.lit(0), F.col("total") + F.col("terms")), F.lit(1)))
-    )
-    groups = written(groups, "sources")  # one row for each language and source
-    languages = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.first("terms").alias("terms"))
-    shares = counted.join(groups, ["lang", "source"]).withColumn("share", _share("count", F.col("total") + F.col("terms")))
-
-    everywhere = F.sum("count").over(Window.partitionBy("lang", "place"))
-    against = counted.withColumn("lang_count", everywhere).join(languages.select("lang", "lang_total"), "lang")
-    against = against.join(groups, ["lang", "source"]).select(
-        "lang", "source", F.col("term").alias("item"), _share("count", F.col("total") + F.col("terms")).alias("p"),
-        _share("lang_count", F.col("lang_total") + F.col("terms")).alias("q"),
-    )
-    more = against.filter("p > q").select("lang", "source", "item", F.expr("(p - q) * (p - q) div q").alias("value"))
-    ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    top = more.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_terms)
-    pairs = _pairs(shares, groups).withColumn("rank", F.row_number().over(ranked))
-    columns = ["lang", "source", "part", "item", "value", "rank"]
-    return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(top.withColumn("part", F.lit("term")).select(columns))
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "divergence")
+    schema = f"lang string, {RESULT}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for row in lists.select("lang", "part").distinct().orderBy("part").collect():
+        found = _audit_language(lists.filter(F.col("part") == row.part), least_docs, top_terms)
+        found.select(F.lit(row.lang).alias("lang"), "*").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from casewright.llm.common import steps
 
 SPACE_MARK = "▁"
-KEPT_WORDS = 500_000  # words whose ids a worker remembers, some 100 MB; beyond that it starts afresh
+KEPT_WORDS = 200_000  # words whose ids a worker remembers, some 40 MB; beyond that it starts afresh
 NO_PAIR = np.int64(2**62)
 UNKNOWN_SURFACE = " ⁇ "
 #: Kinds of pieces in a model file.
@@ -306,22 +306,24 @@ def read_model(path: str) -> bytes:
     return model
 
 
-def _replaced(df: DataFrame, column: str, name: str, kind: T.DataType, function) -> DataFrame:
-    """The table with ``column`` as ``name``, its values passed through ``function(batch)``."""
-    others = [f for f in df.schema.fields if f.name not in (column, name)]
+def _replaced(df: DataFrame, column: str, made: dict[str, T.DataType], function) -> DataFrame:
+    """The table with the columns ``made`` in place of ``column``; ``function`` yields them with the rows they belong to."""
+    others = [f for f in df.schema.fields if f.name != column and f.name not in made]
     source = df.select(*[f"`{f.name}`" for f in others], f"`{column}`")
-    schema = T.StructType([*others, T.StructField(name, kind)])
+    schema = T.StructType([*others, *[T.StructField(name, kind) for name, kind in made.items()]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for made, rows in function(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [*[rows.column(f.name) for f in others], made], names=[*[f.name for f in others], name]
-                )
+            for columns, rows in function(batch):
+                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in others], *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+
+
 def encode_texts(df: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The table with ``ids_col``, the ids of each whole text, in place of ``text_col``.
 
@@ -332,11 +334,9 @@ def encode_texts(df: DataFrame, model: bytes, text_col: str = "text", ids_col: s
 
     def encoded(batch: pa.RecordBatch):
         for part in steps([batch], text_col):
-            ids, counts = codec(model).encode(part.column(text_col))
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), part
+            yield [_lists(*codec(model).encode(part.column(text_col)))], part
 
-    return _replaced(df, text_col, ids_col, T.ArrayType(T.IntegerType()), encoded)
+    return _replaced(df, text_col, {ids_col: T.ArrayType(T.IntegerType())}, encoded)
 
 
 def decode_ids(df: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -346,6 +346,20 @@ def decode_ids(df: DataFrame, model: bytes, ids_col: str = "ids", text_col: str
     """
 
     def decoded(batch: pa.RecordBatch):
-        yield codec(model).decode(batch.column(ids_col)), batch
+        yield [codec(model).decode(batch.column(ids_col))], batch
+
+    return _replaced(df, ids_col, {text_col: T.StringType()}, decoded)
+
+
+def round_trip(df: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """The table with ``ids_col``, the ids of each text, and ``text_col``, what those ids decode to, in one pass.
+
+    As ``encode_texts`` and ``decode_ids`` one after the other, without sending the ids to a second worker.
+    """
+
+    def both(batch: pa.RecordBatch):
+        for part in steps([batch], text_col):
+            lists = _lists(*codec(model).encode(part.column(text_col)))
+            yield [lists, codec(model).decode(lists)], part
 
-    return _replaced(df, ids_col, text_col, T.StringType(), decoded)
+    return _replaced(df, text_col, {ids_col: T.ArrayType(T.IntegerType()), text_col: T.StringType()}, both)

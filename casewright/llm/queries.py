@@ -118,13 +118,14 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    coded = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     spelled = F.array_join(F.col("ids").cast("array<string>"), ",")
-    counted = encoded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled.cast("binary"), 256).alias("ids_sha256")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(spelled.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
-    decoded = pieces.decode_ids(counted, model)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query

@@ -87,4 +87,7 @@ def test_tables(spark, docs, no_docs, rows):
     assert sorted((str(r.doc_id), digest(r.text)) for r in back.collect()) == sorted(
         (str(r[0]), digest(LIBRARY.decode(LIBRARY.encode(r[1] or "")))) for r in rows
     )
+    once = pieces.round_trip(frame, MODEL).select("doc_id", "lang", "source", "n_chars", "score", "ids", "text")
+    assert sorted((str(r.doc_id), list(r.ids)) for r in once.collect()) == want
+    assert sorted((str(r.doc_id), r.text) for r in once.collect()) == sorted((str(r.doc_id), r.text) for r in back.collect())
     assert pieces.decode_ids(pieces.encode_texts(no_docs, MODEL), MODEL).collect() == []
