@@ -21,9 +21,10 @@ TILE = 64  # sources of a tile; such a group holds two tiles at most
 EVERYWHERE = ""
 #: Letters A-Z as a-z, all other ASCII but a-z as a space; bytes of other characters stay.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SEEN_TERMS = 1_000_000  # terms that a task remembers to have met, some 150 MB; beyond that it starts afresh
 HELD_ENTRIES = 2_000_000  # entries of vectors that a task holds before it sums them, some 40 MB
 RESULT = "source string, part string, item string, value long, rank int"
+LANGUAGE = -1  # in place of the number of a source
+COMPARED = pa.schema([("no", pa.int32()), ("item_no", pa.int32()), ("place", pa.int32()), ("value", pa.int64())])
 
 
 def terms_of(texts: pa.Array) -> pa.Array:
@@ -41,43 +42,15 @@ def terms_of(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(kept[places], pa.int32()), terms)
 
 
-def _first_seen(langs: pa.Array, terms: pa.Array, seen: set[tuple[str, str]]) -> pa.Array:
-    """Of each text's terms those that ``seen`` does not hold with its language; they are put there."""
-    coded, spoken = terms.flatten().dictionary_encode(), langs.dictionary_encode()
-    counts = terms.value_lengths().to_numpy()
-    key = coded.indices.to_numpy().astype(np.int64) * len(spoken.dictionary) + np.repeat(spoken.indices.to_numpy(), counts)
-    first = np.full(len(coded.dictionary) * len(spoken.dictionary), -1)
-    first[key[::-1]] = np.arange(len(key))[::-1]
-    keys = np.flatnonzero(first >= 0)
-    names, words = spoken.dictionary.to_pylist(), coded.dictionary.to_pylist()
-    pairs = [(names[k % len(names)], words[k // len(names)]) for k in keys.tolist()]
-    fresh = np.zeros(len(key) + 1, dtype=bool)
-    fresh[first[keys]] = [pair not in seen for pair in pairs]
-    if len(seen) > SEEN_TERMS:
-        seen.clear()
-    seen.update(pairs)
-    before = np.concatenate([[0], np.cumsum(fresh[:-1])])
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    return pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), terms.flatten().filter(pa.array(fresh[:-1])))
-
-
 def _term_lists(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms, fresh, part`` of each document, written by language.
-
-    ``fresh`` are the terms that the task had not met in the language before: together they hold every term, most of
-    them once a task. ``part`` is the language as a folder name.
-    """
+    """``lang, source, terms, part`` of each document, written by language; ``part`` is the language as a folder name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
         for step in steps(batches, "text"):
-            terms = terms_of(step.column("text"))
-            fresh = _first_seen(step.column("lang"), terms, seen)
-            yield pa.RecordBatch.from_arrays(
-                [step.column("lang"), step.column("source"), terms, fresh], names=["lang", "source", "terms", "fresh"]
-            )
+            columns = [step.column("lang"), step.column("source"), terms_of(step.column("text"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms"])
 
-    schema = "lang string, source string, terms array<string>, fresh array<string>"
+    schema = "lang string, source string, terms array<string>"
     listed = docs.mapInArrow(run, schema).withColumn("part", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8"))))
     path = shared_folder(docs.sparkSession, "terms")
     listed.write.option("compression", "zstd").partitionBy("part").parquet(path)
@@ -125,10 +98,10 @@ def _count(part: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     vectors = model.transform(marked).select("source", raw["indices"].alias("places"), raw["values"].alias("counts"))
     partial = vectors.mapInArrow(_summed, "source string, place int, count long").filter(F.col("place") != int(mark.indices[0]))
     counts = written(partial.groupBy("source", "place").agg(F.sum("count").alias("count")), "term-counts")
-    # the vocabulary as a table, without another way through the driver: each term is a document of its own
-    single = part.select(F.explode("fresh").alias("term")).distinct().select("term", F.array("term").alias("terms"))
-    place = F.get(F.unwrap_udt("counts")["indices"], F.lit(0)).alias("place")
-    names = model.transform(single).select(place, "term").filter("place IS NOT NULL")
+    # the vocabulary as a table: as the model writes it, place by place
+    path = shared_folder(spark, "vocabulary")
+    model.write().save(path)
+    names = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("place", "term"))
     return counts, names, mark.size - 1
 
 
@@ -138,21 +111,27 @@ def _share(count: str, total: str) -> Column:
     return F.expr(f"CASE WHEN {count} < {2**63 // ONE - 1} THEN {ONE}L * ({count} + 1) div {total} ELSE {wide} END + 1")
 
 
-def tile_pairs(rows: pa.Table, size: int) -> pa.Table:
-    """For each two sources of two tiles of ``size`` sources what the terms of a block add to their value.
+def compare(rows: pa.Table, size: int, top: int) -> pa.Table:
+    """What the terms of a block add to the value of each two sources of two tiles of ``size`` sources.
 
-    Rows hold ``no`` (source), ``place`` (term; -1 for the share of a term that the source lacks), ``share``, and
-    ``terms``, the size of the vocabulary. Where neither source has a term, both have their smallest shares; the first
-    block counts that value for the whole vocabulary, and all blocks only what terms differ from it.
+    Rows hold ``no`` (source; ``LANGUAGE`` for the whole language), ``place`` (term; -1 for the share of a term that
+    the source lacks), ``share``, and ``terms``, the size of the vocabulary. Where neither source has a term, both have
+    their smallest shares; the first block counts that value for the whole vocabulary, and all blocks only what terms
+    differ from it. Where a tile meets itself, each source's terms come as well that may be among its ``top`` ones:
+    of the block's, the first ones and all that equal the last of them.
     """
     number, place, share = (rows.column(c).to_numpy() for c in ("no", "place", "share"))
+    whole_language = number == LANGUAGE
+    spoken, usual = place[whole_language], share[whole_language]
+    number, place, share = number[~whole_language], place[~whole_language], share[~whole_language]
     sources, column = np.unique(number, return_inverse=True)
     blank = place < 0
     least = np.zeros(len(sources), dtype=np.int64)
     least[column[blank]] = share[blank]
-    terms, line = np.unique(place[~blank], return_inverse=True)
+    column, place, share = column[~blank], place[~blank], share[~blank]
+    terms, line = np.unique(place, return_inverse=True)
     shares = np.tile(least, (len(terms), 1))
-    shares[line, column[~blank]] = share[~blank]
+    shares[line, column] = share
     low, high, first = (rows.column(c)[0].as_py() for c in ("low", "high", "first"))
     missing = (rows.column("terms")[0].as_py() if first else 0) - len(terms)
     tile = sources // size
@@ -162,70 +141,74 @@ def tile_pairs(rows: pa.Table, size: int) -> pa.Table:
         partners = partners[partners != other]
         theirs = shares[:, [other]]
         value = ((shares[:, partners] - theirs) ** 2 // theirs).sum(axis=0) + missing * ((least[partners] - q) ** 2 // q)
-        found.append((sources[partners], np.full(len(partners), sources[other]), value))
-    no, item, value = (np.concatenate(parts) for parts in zip(*found, strict=True))
-    return pa.table({"no": pa.array(no, pa.int32()), "item_no": pa.array(item, pa.int32()), "value": pa.array(value, pa.int64())})
-
-
-def _pairs(shares: DataFrame, groups: DataFrame, terms: int, sources: int) -> DataFrame:
-    """``source, item, value`` for each two sources of a language; no row for a pair before its sums over blocks."""
+        found.append((sources[partners], np.full(len(partners), sources[other]), np.full(len(partners), -1), value))
+    if low == high and len(place):
+        order = np.argsort(spoken)
+        against = usual[order][np.searchsorted(spoken[order], place)]
+        more = share > against
+        column, place, value = column[more], place[more], (share[more] - against[more]) ** 2 // against[more]
+        order = np.lexsort((-value, column))
+        column, place, value = column[order], place[order], value[order]
+        begin = np.searchsorted(column, column)
+        last = np.minimum(begin + top, np.searchsorted(column, column, side="right")) - 1
+        kept = value >= value[last]
+        found.append((sources[column[kept]], np.full(int(kept.sum()), -1), place[kept], value[kept]))
+    parts = [np.concatenate(part) for part in zip(*found, strict=True)]
+    return pa.table([pa.array(part).cast(kind) for part, kind in zip(parts, COMPARED.types, strict=True)], schema=COMPARED)
+
+
+def _compared(shares: DataFrame, usual: DataFrame, groups: DataFrame, terms: int, sources: int, top: int) -> DataFrame:
+    """``compare`` over blocks of terms and pairs of tiles of sources: a row for two sources only after its sums."""
     blocks, tiles = max(1, -(-terms // BLOCK_TERMS)), -(-sources // TILE)
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    blank = groups.select("no", F.lit(-1).alias("place"), F.col("least").alias("share"), block.alias("block"))
-    rows = shares.select("no", "place", "share", F.pmod("place", F.lit(blocks)).alias("block")).unionByName(blank)
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    each_tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    block = F.pmod("place", F.lit(blocks))
     tile = F.floor(F.col("no") / TILE).cast("int")
-    rows = rows.select(
-        "no", "place", "share", "block", (F.col("block") == 0).alias("first"), F.lit(terms).alias("terms"),
-        F.least(tile, "with").alias("low"), F.greatest(tile, "with").alias("high"),
-    )
+    blank = groups.select("no", F.lit(-1).alias("place"), F.col("least").alias("share"), each_block.alias("block"))
+    rows = shares.select("no", "place", "share", block.alias("block")).unionByName(blank).withColumn("with", each_tile)
+    rows = rows.withColumns({"low": F.least(tile, "with"), "high": F.greatest(tile, "with")}).drop("with")
+    spoken = usual.select(F.lit(LANGUAGE).alias("no"), "place", "share", block.alias("block"), each_tile.alias("low"))
+    rows = rows.unionByName(spoken.withColumn("high", F.col("low")))
+    rows = rows.withColumns({"first": F.col("block") == 0, "terms": F.lit(terms)})
     size = TILE
-    added = rows.groupBy("block", "low", "high").applyInArrow(
-        lambda found: tile_pairs(found, size), "no int, item_no int, value long"
+    return rows.groupBy("block", "low", "high").applyInArrow(
+        lambda found: compare(found, size, top), "no int, item_no int, place int, value long"
     )
-    summed = added.groupBy("no", "item_no").agg(F.sum("value").alias("value"))
-    items = groups.select(F.col("no").alias("item_no"), F.col("source").alias("item"))
-    return summed.join(groups.select("no", "source"), "no").join(items, "item_no").select("source", "item", "value")
 
 
 def _audit_language(part: DataFrame, least_docs: int, top_terms: int) -> DataFrame:
     """``source, part, item, value, rank`` of one language, from its documents' terms."""
-    enough = len(part.select("source").take(least_docs)) == least_docs  # else no term can be kept
-    if enough:
+    if len(part.select("source").take(least_docs)) == least_docs:
         counts, names, terms = _count(part, least_docs)
-    else:
+    else:  # no term can be kept
         spark, terms = part.sparkSession, 0
         counts = spark.createDataFrame([], "source string, place int, count long")
         names = spark.createDataFrame([], "place int, term string")
     totals = counts.groupBy("source").agg(F.sum("count").alias("total"))
-    ordered = Window.orderBy("source")  # one row a source
     groups = (
         part.select("source").distinct().join(totals, "source", "left").na.fill(0, ["total"])
-        .withColumn("no", F.row_number().over(ordered) - 1)
+        .withColumn("no", F.row_number().over(Window.orderBy("source")) - 1)  # one row a source
         .withColumn("whole", F.greatest(F.lit(1), F.col("total") + terms))
     )
     groups = written(groups.withColumn("least", _share("0", "whole")), "sources")
     size = groups.agg(F.count("*").alias("sources"), F.sum("total").alias("total")).first()
+    shares = counts.join(groups, "source").select("no", "place", _share("count", "whole").alias("share"))
+    usual = counts.groupBy("place").agg(F.sum("count").alias("count"))
+    usual = usual.select("place", _share("count", f"{max(1, size.total + terms)}L").alias("share"))
+    compared = written(_compared(shares, usual, groups, terms, size.sources, top_terms), "compared")
 
-    everywhere = F.sum("count").over(Window.partitionBy("place"))
-    shares = counts.withColumn("everywhere", everywhere).join(groups, "source").select(
-        "no", "source", "place", _share("count", "whole").alias("share"),
-        _share("everywhere", f"{max(1, size.total + terms)}L").alias("usual"),
-    )
-    more = shares.filter("share > usual").select(
-        "source", "place", F.expr("(share - usual) * (share - usual) div usual").alias("value")
-    )
+    sources = groups.select("no", "source")
+    items = groups.select(F.col("no").alias("item_no"), F.col("source").alias("item"))
+    pairs = compared.filter("item_no >= 0").groupBy("no", "item_no").agg(F.sum("value").alias("value"))
+    pairs = pairs.join(items, "item_no").select(F.lit("pair").alias("part"), "no", "item", "value")
     # names decide between equal values: first all terms that could be among the top ones, then their names
-    foremost = Window.partitionBy("source").orderBy(F.desc("value"))
-    near = more.withColumn("near", F.rank().over(foremost)).filter(F.col("near") <= top_terms)
-    ranked = Window.partitionBy("source").orderBy(F.desc("value"), "item")
-    top = near.join(names, "place").select("source", F.col("term").alias("item"), "value")
-    top = top.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_terms)
-    pairs = _pairs(shares, groups, terms, size.sources).withColumn("rank", F.row_number().over(ranked))
-    columns = ["source", "part", "item", "value", "rank"]
-    return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(
-        top.withColumn("part", F.lit("term")).select(columns)
-    )
+    foremost = Window.partitionBy("no").orderBy(F.desc("value"))
+    near = compared.filter("place >= 0").withColumn("near", F.rank().over(foremost)).filter(F.col("near") <= top_terms)
+    near = near.join(names, "place").select(F.lit("term").alias("part"), "no", F.col("term").alias("item"), "value")
+    ranked = Window.partitionBy("no").orderBy(F.desc("value"), "item")
+    top = near.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_terms)
+    rows = pairs.withColumn("rank", F.row_number().over(ranked)).unionByName(top)
+    return rows.join(sources, "no").select("source", "part", "item", "value", "rank")
 
 
 def audit_sources(
