@@ -404,6 +404,40 @@ def logons(events: DataFrame) -> DataFrame:
     ).filter(F.col("source_key").isNotNull() & (F.size("host_keys") > 0))
 
 
+def _reached_hosts(followed: DataFrame, known: DataFrame) -> DataFrame:
+    """``incident_id, entity_key, since``: from when on an incident holds a host, with what its logons bring in.
+
+    ``known(incident_id, entity_key)`` are held from the start. A logon on a held host brings in its other hosts from
+    its own place in the order on, so a later logon may match through them alone. Each round carries what changed one
+    logon further and keeps the earliest place of a host; there are as many rounds as the longest such chain. Only
+    logons that name several hosts can bring one in, and they meet changed hosts by incident and host.
+    """
+    place = F.struct("at_ms", "event_uid")
+    several = followed.filter(F.size("host_keys") > 1).select("incident_id", "host_keys", place.alias("place"))
+    through = cut_lineage(several.withColumn("entity_key", F.explode("host_keys")))
+    start = F.struct(F.lit(-(2**63)).cast("long").alias("at_ms"), F.lit("").alias("event_uid"))
+    reached = cut_lineage(known.select("incident_id", "entity_key").distinct().withColumn("since", start))
+    changed = reached
+    while not changed.isEmpty():
+        held = changed.select("incident_id", "entity_key", "since")
+        brought = (
+            through.join(held, ["incident_id", "entity_key"])
+            .filter(F.col("since") < F.col("place"))
+            .select("incident_id", F.explode("host_keys").alias("entity_key"), F.col("place").alias("since"))
+            .groupBy("incident_id", "entity_key")
+            .agg(F.min("since").alias("since"))
+        )
+        before = reached.select("incident_id", "entity_key", F.col("since").alias("before"))
+        earlier = brought.join(before, ["incident_id", "entity_key"], "left").filter(
+            F.col("before").isNull() | (F.col("since") < F.col("before"))
+        )
+        changed = cut_lineage(earlier.select("incident_id", "entity_key", "since"))
+        reached = cut_lineage(
+            reached.unionByName(changed).groupBy("incident_id", "entity_key").agg(F.min("since").alias("since"))
+        )
+    return reached
+
+
 def logon_links(
     links: DataFrame, entities: DataFrame, events: DataFrame, phase: int = 1
 ) -> tuple[DataFrame, DataFrame]:
@@ -411,6 +445,11 @@ def logon_links(
 
     Returns the links and the sightings they add. An entity keeps 20 events, so at most the links citing
     those 20 can be the failures behind a logon: the join has no unbounded side per source and hour.
+
+    Logons are taken in order of time and event: one that links records its hosts in the incident, so that a later
+    logon may match through a host that only an earlier one brought in, and names that logon as the event that shows
+    it. Sources need no such order: what makes a source match is an event that a finding cites, which the finding has
+    recorded already.
     """
     brute = links.filter((F.col("kind") == "finding") & is_brute_force(F.col("techniques")))
     cited = brute.select(
@@ -425,24 +464,44 @@ def logon_links(
     active = failures.withColumn("hour", _hours(F.col("first_ms"), F.col("last_ms") + AUTH_SEQUENCE_WINDOW_MS))
     attempts = logons(events).withColumn("hour", F.floor(F.col("at_ms") / HOUR_MS).cast("long"))
     after = (F.col("first_ms") <= F.col("at_ms")) & (F.col("at_ms") - F.col("last_ms") <= AUTH_SEQUENCE_WINDOW_MS)
-    followed = (
+    followed = cut_lineage(
         attempts.join(active, ["org_id", "source_key", "hour"])
         .filter(after)
         .groupBy("org_id", "incident_id", "source_key", "event_uid", "at_ms", "user", "host_keys", "roles")
         .agg(F.array_sort(F.collect_list(F.struct("first_ms", "link_id", "shown"))).alias("failures"))
     )
-    known_hosts = entities.filter(F.col("entity_type") == "host").select("incident_id", "entity_key", "events")
-    on_host = (
-        followed.select("incident_id", "event_uid", F.explode("host_keys").alias("entity_key"))
-        .join(known_hosts, ["incident_id", "entity_key"])
+    known = entities.filter(F.col("entity_type") == "host").select("incident_id", "entity_key", "events")
+    reached = _reached_hosts(followed, known)
+    place = F.struct("at_ms", "event_uid")
+    on_host = cut_lineage(
+        followed.select("incident_id", "event_uid", "at_ms", F.explode("host_keys").alias("entity_key"))
+        .join(reached, ["incident_id", "entity_key"])
+        .filter(F.col("since") < place)
+        .select("incident_id", "event_uid", "at_ms", "entity_key")
+    )
+    # What a host shows at a logon: the events recorded before, of which the first few are named.
+    linked = followed.join(on_host.select("incident_id", "event_uid").distinct(), ["incident_id", "event_uid"], "left_semi")
+    in_order = W.partitionBy("incident_id", "entity_key").orderBy("at_ms", "event_uid")
+    first_logons = (
+        linked.select("incident_id", "event_uid", "at_ms", F.explode("host_keys").alias("entity_key"))
+        .withColumn("_rank", F.row_number().over(in_order))
+        .filter(F.col("_rank") <= MAX_MATCH_EVENTS)
+        .groupBy("incident_id", "entity_key")
+        .agg(F.array_sort(F.collect_list(place)).alias("logons"))
+    )
+    none = F.array().cast("array<string>")
+    sooner = F.transform(F.filter("logons", lambda l: l < place), lambda l: l["event_uid"])
+    seen = F.slice(
+        F.array_distinct(F.concat(F.coalesce("events", none), F.coalesce(sooner, none))), 1, MAX_MATCH_EVENTS
+    )
+    hosts_of = (
+        on_host.join(known, ["incident_id", "entity_key"], "left")
+        .join(first_logons, ["incident_id", "entity_key"], "left")
+        .withColumn("seen", seen)
         .groupBy("incident_id", "event_uid")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("entity_key", F.slice("events", 1, MAX_MATCH_EVENTS).alias("events")))
-            ).alias("hosts")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("entity_key", F.col("seen").alias("events")))).alias("hosts"))
     )
-    complete = cut_lineage(followed.join(on_host, ["incident_id", "event_uid"]))
+    complete = cut_lineage(followed.join(hosts_of, ["incident_id", "event_uid"]))
     failed = F.array_distinct(
         F.flatten(F.transform("failures", lambda f: F.transform(f["shown"], lambda s: s["event_uid"])))
     )

@@ -729,3 +729,137 @@ l AS (SELECT analysis_id, count(*) FILTER (hit) AS key_found, count(*) AS key_ev
 t AS (SELECT conv_id AS analysis_id, count(DISTINCT turn % 4) AS techniques_suggested, count(DISTINCT turn % 4) FILTER (turn % 4 = conv_id % 4) AS techniques_right FROM conversations GROUP BY ALL),
 a AS (SELECT analysis_id, count(*) AS statements, count(*) FILTER (reason IS NOT NULL) AS dropped FROM g GROUP BY ALL)
 SELECT analysis_id, statements, dropped, key_found, key_events, techniques_right, techniques_suggested, CAST(1 AS BIGINT) AS techniques_expected FROM a JOIN l USING (analysis_id) JOIN t USING (analysis_id)""")
+
+# ---------------------------------------------------------------------------------------------- investigation
+_ORG = "CASE WHEN source_id = 'src-2' THEN 'org-2' ELSE 'org-1' END"
+_INV_SPRAY = _threshold("class_uid = 3002 AND status_id = 2", f"{_ORG} || '|' || src_ip", "user_name", 4, 86_400_000)
+# Findings in order, one recursion a finding: the state is the list of incidents that can still be reached.
+_INV = f"""
+inv AS (SELECT *, {_ORG} AS org, CASE WHEN event_type = 'click' AND k % 4 = 0 AND k % 20 <> user_id % 20 THEN 'ws-' || (k % 20) END AS named FROM tel),
+seen AS (
+  SELECT s.event_uid, i.org, s.time_ms, s.entity_key, s.links FROM sight s JOIN inv i ON i.event_uid = s.event_uid
+  UNION ALL SELECT event_uid, org, time_ms, 'host:' || named, true FROM inv WHERE named IS NOT NULL),
+fnd AS (
+  SELECT i.org, s.finding_id, s.time_ms AS first_ms, s.time_ms AS last_ms, [s.event_uid] AS evidence, s.rule_title, s.severity_id, s.technique, s.tactic
+    FROM single_f s JOIN inv i ON i.event_uid = s.event_uid WHERE s.rule_id NOT LIKE '%-0004-%'
+  UNION ALL SELECT split_part(g, '|', 1),
+    sha256('{_SPRAY_ID}' || chr(31) || split_part(g, '|', 2) || chr(31) || at_ms || chr(31) || first(event_uid ORDER BY rn) || chr(31)),
+    min(time_ms), at_ms, list(event_uid ORDER BY rn), 'One source fails as many accounts', 3, 'T1110.003', 'credential_access'
+    FROM ev WHERE rn <= 100 GROUP BY g, at_ms),
+cites AS (SELECT org, finding_id, first_ms, unnest(evidence) AS event_uid, generate_subscripts(evidence, 1) AS position FROM fnd),
+shows AS (SELECT c.*, s.time_ms, s.entity_key, s.links FROM cites c JOIN seen s ON s.event_uid = c.event_uid),
+lined AS (
+  SELECT f.*, k.keys, row_number() OVER (PARTITION BY f.org ORDER BY f.first_ms, f.finding_id) AS n
+  FROM fnd f JOIN (SELECT finding_id, list_sort(list(DISTINCT entity_key)) AS keys FROM shows WHERE links GROUP BY finding_id) k ON k.finding_id = f.finding_id),
+fold AS (
+  SELECT DISTINCT org, 0::BIGINT AS n, ''::VARCHAR AS finding_id, ''::VARCHAR AS incident_id, NULL::VARCHAR[] AS shared,
+    []::STRUCT(num BIGINT, id VARCHAR, first_ms BIGINT, last_ms BIGINT, keys VARCHAR[])[] AS state FROM fnd
+  UNION ALL
+  SELECT org, n, finding_id, coalesce(best.id, new_id), list_sort(best.both), list_append(
+      [i FOR i IN live IF best IS NULL OR i.num <> best.num],
+      {{'num': coalesce(best.num, n), 'id': coalesce(best.id, new_id), 'first_ms': least(coalesce(best.first_ms, first_ms), first_ms),
+        'last_ms': greatest(coalesce(best.last_ms, last_ms), last_ms), 'keys': list_distinct(list_concat(coalesce(best.keys, []), keys))}})
+  FROM (
+    SELECT *, list_sort([{{'shared': len(list_intersect(i.keys, keys)), 'last_ms': i.last_ms, 'num': i.num, 'id': i.id, 'first_ms': i.first_ms, 'keys': i.keys,
+                          'both': list_intersect(i.keys, keys)}} FOR i IN live IF i.first_ms <= last_ms + 7200000 AND len(list_intersect(i.keys, keys)) > 0], 'DESC')[1] AS best
+    FROM (
+      SELECT o.org, o.n, o.finding_id, o.first_ms, o.last_ms, o.keys, sha256('incident' || chr(31) || o.org || chr(31) || o.finding_id || chr(31)) AS new_id,
+        [i FOR i IN f.state IF i.last_ms >= o.first_ms - 7200000] AS live
+      FROM fold f JOIN lined o ON o.org = f.org AND o.n = f.n + 1))),
+placed AS (
+  SELECT f.*, a.incident_id, a.shared, sha256('link' || chr(31) || a.incident_id || chr(31) || f.finding_id || chr(31)) AS link_id
+  FROM fnd f JOIN (SELECT * FROM fold WHERE n > 0) a ON a.finding_id = f.finding_id),
+rec AS (
+  SELECT p.incident_id, s.org, s.entity_key, s.links, s.event_uid, s.time_ms, min({{'a': s.first_ms, 'b': s.finding_id, 'c': s.position}}) AS place
+  FROM shows s JOIN placed p ON p.finding_id = s.finding_id GROUP BY ALL),
+held AS (SELECT incident_id, entity_key, list(event_uid ORDER BY place, event_uid)[1:20] AS events FROM rec GROUP BY ALL),
+fails AS (
+  SELECT p.org, p.incident_id, h.entity_key AS source_key, p.link_id, p.first_ms, p.last_ms, list(c.event_uid ORDER BY c.position) AS uids
+  FROM placed p JOIN cites c ON c.finding_id = p.finding_id JOIN held h ON h.incident_id = p.incident_id AND h.entity_key LIKE 'ip:%' AND list_contains(h.events, c.event_uid)
+  WHERE p.technique LIKE 'T1110%' GROUP BY ALL),
+followed AS (
+  SELECT f.incident_id, i.org, i.event_uid, i.time_ms, i.scoped, f.source_key, [h FOR h IN ['host:' || i.host, 'host:' || i.named] IF h IS NOT NULL] AS hosts,
+    count(*) AS failures, list_distinct(flatten(list(f.uids ORDER BY f.first_ms, f.link_id))) AS any_uids, flatten(list(f.uids ORDER BY f.first_ms, f.link_id)) AS uids
+  FROM inv i JOIN fails f ON f.org = i.org AND f.source_key = 'ip:' || i.src_ip AND f.first_ms <= i.time_ms AND i.time_ms - f.last_ms <= 3600000
+  WHERE i.class_uid = 3002 AND i.status_id = 1 GROUP BY ALL),
+reach AS (
+  SELECT incident_id, entity_key, (-1)::BIGINT AS at_ms, '' AS uid FROM held WHERE entity_key LIKE 'host:%'
+  UNION SELECT l.incident_id, unnest(l.hosts), l.time_ms, l.event_uid FROM reach r
+    JOIN followed l ON l.incident_id = r.incident_id AND list_contains(l.hosts, r.entity_key) AND (r.at_ms < l.time_ms OR (r.at_ms = l.time_ms AND r.uid < l.event_uid))),
+onto AS (
+  SELECT DISTINCT l.incident_id, l.event_uid, l.time_ms, r.entity_key FROM followed l
+  JOIN reach r ON r.incident_id = l.incident_id AND list_contains(l.hosts, r.entity_key) AND (r.at_ms < l.time_ms OR (r.at_ms = l.time_ms AND r.uid < l.event_uid))),
+done AS (SELECT l.* FROM followed l WHERE EXISTS (SELECT 1 FROM onto o WHERE o.incident_id = l.incident_id AND o.event_uid = l.event_uid)),
+sooner AS (
+  SELECT o.incident_id, o.event_uid, o.entity_key,
+    list(d.event_uid ORDER BY d.time_ms, d.event_uid) FILTER (d.event_uid IS NOT NULL) AS uids
+  FROM onto o LEFT JOIN done d ON d.incident_id = o.incident_id AND list_contains(d.hosts, o.entity_key) AND (d.time_ms < o.time_ms OR (d.time_ms = o.time_ms AND d.event_uid < o.event_uid))
+  GROUP BY ALL),
+on_hosts AS (
+  SELECT s.incident_id, s.event_uid, list(s.entity_key ORDER BY s.entity_key) AS keys,
+    list(array_to_string([u FOR u, n IN list_concat(coalesce(h.events, []), [v FOR v IN coalesce(s.uids, []) IF NOT list_contains(coalesce(h.events, []), v)]) IF n <= 5], '+') ORDER BY s.entity_key) AS shown
+  FROM sooner s LEFT JOIN held h ON h.incident_id = s.incident_id AND h.entity_key = s.entity_key GROUP BY ALL),
+firsts AS (SELECT *, list_position(uids, u) AS spot FROM (SELECT incident_id, event_uid, uids, unnest(any_uids) AS u FROM done)),
+failed AS (SELECT incident_id, event_uid, array_to_string(list(u ORDER BY spot)[1:5], '+') AS shown FROM firsts GROUP BY ALL),
+matches AS (
+  SELECT p.link_id, r.entity_key,
+    array_to_string((list(r.event_uid ORDER BY r.place, r.event_uid) FILTER ({{'a': r.place.a, 'b': r.place.b}} < {{'a': p.first_ms, 'b': p.finding_id}} AND list_contains(h.events, r.event_uid)))[1:5], '+') AS before,
+    (SELECT array_to_string(list(x.event_uid ORDER BY x.position)[1:5], '+') FROM shows x WHERE x.finding_id = p.finding_id AND x.entity_key = r.entity_key AND x.links) AS own
+  FROM placed p JOIN rec r ON r.incident_id = p.incident_id AND list_contains(p.shared, r.entity_key)
+  JOIN held h ON h.incident_id = r.incident_id AND h.entity_key = r.entity_key GROUP BY p.link_id, p.finding_id, p.first_ms, r.entity_key),
+told AS (SELECT link_id, string_agg(entity_key, ',' ORDER BY entity_key) AS matched, string_agg(coalesce(before, '') || '>' || own, ',' ORDER BY entity_key) AS shown FROM matches GROUP BY link_id),
+link AS (
+  SELECT p.org, p.incident_id, p.link_id, 'finding' AS kind, CASE WHEN p.shared IS NULL THEN 'opened' ELSE 'shared-entity' END AS rule,
+    CASE WHEN p.shared IS NULL THEN 'no open incident shared an entity within 2h' ELSE 'shares ' || array_to_string(p.shared, ', ') || ' with activity within 2h' END AS reason,
+    p.evidence, coalesce(t.matched, '') AS matched, coalesce(t.shown, '') AS shown, p.first_ms, p.last_ms, p.rule_title, p.severity_id, p.technique, p.tactic, NULL::VARCHAR AS source_key
+  FROM placed p LEFT JOIN told t ON t.link_id = p.link_id
+  UNION ALL SELECT d.org, d.incident_id, sha256('link' || chr(31) || d.incident_id || chr(31) || d.event_uid || chr(31)), 'event', 'auth-success-after-failures',
+    'successful logon as ' || d.scoped || ' from ' || d.source_key[4:] || ' to ' || array_to_string([k[6:] FOR k IN o.keys], ', ') || ' after ' || d.failures || ' brute-force finding(s) from the same source',
+    [d.event_uid], d.source_key || ',' || array_to_string(o.keys, ','),
+    w.shown || '>' || d.event_uid || ',' || array_to_string([x || '>' || d.event_uid FOR x IN o.shown], ','), d.time_ms, d.time_ms, NULL::VARCHAR, NULL::INTEGER, NULL::VARCHAR, NULL::VARCHAR, d.source_key
+  FROM done d JOIN on_hosts o ON o.incident_id = d.incident_id AND o.event_uid = d.event_uid JOIN failed w ON w.incident_id = d.incident_id AND w.event_uid = d.event_uid),
+ents AS (
+  SELECT org, incident_id, entity_key, links, min(time_ms) AS first_ms, max(time_ms) AS last_ms, least(20, count(DISTINCT event_uid)) AS events
+  FROM (SELECT org, incident_id, entity_key, links, event_uid, time_ms FROM rec
+        UNION SELECT d.org, d.incident_id, s.entity_key, s.links, s.event_uid, s.time_ms FROM done d JOIN seen s ON s.event_uid = d.event_uid) GROUP BY ALL)"""
+_WHOLE = """,
+tot AS (
+  SELECT org, incident_id, min(first_ms) AS first_ms, max(last_ms) AS last_ms, count(*) FILTER (kind = 'finding') AS finding_count, count(*) FILTER (kind = 'event') > 0 AS broken,
+    arg_max({'t': rule_title, 's': severity_id}, {'s': severity_id, 'e': -first_ms, 'l': link_id}) FILTER (kind = 'finding') AS top,
+    first(source_key ORDER BY first_ms, link_id) FILTER (kind = 'event') AS source_key, list_sort(list(DISTINCT technique) FILTER (technique IS NOT NULL)) AS techniques
+  FROM link GROUP BY org, incident_id),
+tac AS (
+  SELECT incident_id, list(tactic ORDER BY spot) AS tactics FROM (
+    SELECT incident_id, tactic, min({'f': first_ms, 'l': link_id}) AS spot FROM link WHERE tactic IS NOT NULL GROUP BY ALL) GROUP BY incident_id),
+evs AS (SELECT incident_id, count(DISTINCT u) AS event_count FROM (SELECT incident_id, unnest(evidence) AS u FROM link) GROUP BY incident_id),
+hosts AS (SELECT incident_id, list(entity_key[6:] ORDER BY first_ms, entity_key) AS hosts FROM ents WHERE entity_key LIKE 'host:%' GROUP BY incident_id),
+incident AS (
+  SELECT t.*, c.tactics, e.event_count, len(c.tactics) >= 3 AS staged, [replace(x, '_', ' ') FOR x IN c.tactics] AS words,
+    [replace(x, '_', ' ') FOR x IN c.tactics IF x <> 'credential_access'] AS later,
+    ' on ' || array_to_string(h.hosts[1:2], ', ') || CASE WHEN len(h.hosts) > 2 THEN ' and ' || (len(h.hosts) - 2) || ' more' ELSE '' END AS place
+  FROM tot t JOIN tac c ON c.incident_id = t.incident_id JOIN evs e ON e.incident_id = t.incident_id JOIN hosts h ON h.incident_id = t.incident_id)"""
+_INVESTIGATION = (TEL, SIGHTINGS, SINGLE, _INV_SPRAY, _INV)
+sql("incident_links", *_INVESTIGATION, recursive=True)("""
+SELECT org AS org_id, incident_id, link_id, kind, rule, reason, CAST(len(evidence) AS INTEGER) AS events, matched, shown FROM link""")
+sql("incident_entities", *_INVESTIGATION, recursive=True)("""
+SELECT incident_id, entity_key, links, first_ms, last_ms, CAST(events AS INTEGER) AS events FROM ents""")
+sql("incident_indicators", *_INVESTIGATION, recursive=True)("""
+SELECT DISTINCT org AS org_id, incident_id, entity_key FROM ents WHERE links AND (entity_key LIKE 'ip:%' OR entity_key LIKE 'domain:%')""")
+sql("incidents", *_INVESTIGATION, recursive=True)(f"""{_WHOLE}
+SELECT incident_id, left(CASE
+    WHEN broken THEN 'Successful logon after repeated failures from ' || source_key[4:]
+      || CASE WHEN len(later) > 0 THEN ', then ' || array_to_string(later[1:4], ', ') || CASE WHEN len(later) > 4 THEN ' and ' || (len(later) - 4) || ' more' ELSE '' END ELSE '' END
+    WHEN staged THEN 'Multi-stage activity (' || array_to_string(words[1:4], ', ') || ')' ELSE top.t END || place, 255) AS title,
+  CAST(CASE WHEN broken AND staged THEN 5 WHEN broken OR staged THEN greatest(top.s, 4) ELSE top.s END AS INTEGER) AS severity_id,
+  first_ms, last_ms, finding_count, event_count, array_to_string(techniques, ',') AS techniques, array_to_string(tactics, ',') AS tactics FROM incident""")
+sql("incident_assessments", *_INVESTIGATION, recursive=True)(f"""{_WHOLE}
+SELECT incident_id, 'highest-finding-severity' AS rule, CAST(top.s AS INTEGER) AS severity_id, 'most severe linked finding: ' || top.t AS because FROM incident
+UNION ALL SELECT incident_id, 'credential-compromise', 4, 'a logon succeeded after brute-force failures from its source' FROM incident WHERE broken
+UNION ALL SELECT incident_id, 'multi-stage', 4, 'findings span ' || len(tactics) || ' ATT&CK tactics: ' || array_to_string(tactics, ', ') FROM incident WHERE staged
+UNION ALL SELECT incident_id, 'compromise-then-activity', 5, 'a compromised logon came before activity in several tactics' FROM incident WHERE broken AND staged""")
+
+_INV_STEPS = STEPS.replace("source_id AS incident_id", "c.incident_id").replace(
+    "FROM tel\n", "FROM tel JOIN (SELECT DISTINCT incident_id, unnest(evidence) AS uid FROM link) c ON c.uid = event_uid\n"
+)
+sql("incident_steps", *_INVESTIGATION, _INV_STEPS, recursive=True)("""
+SELECT incident_id, step_id, any_value(action) AS action, min(time_ms) AS first_ms, count(*) AS event_count FROM members GROUP BY incident_id, step_id""")

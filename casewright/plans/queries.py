@@ -10,6 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright import schema as S
 from casewright.functions import ids, net, scalars, text
 from casewright.operators import (
     audit,
@@ -994,9 +995,24 @@ def findings_with_technique(spark, sf_dir):
     return found.filter(F.array_contains("techniques", "T1033")).select("finding_id", "first_ms")
 
 
+def _two_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry of two organisations, in which some logons name a second host."""
+    named = (c("class_uid") == 3002) & (c("status_id") == 1) & (c("unmapped")["k"].cast("int") % 4 == 0)
+    host = F.concat(F.lit("WS-"), c("unmapped")["k"].cast("int") % 20)
+    blank = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.ENDPOINT.fields])
+    events = telemetry(spark, sf_dir)
+    org = F.when(c("sx.source_id") == "src-2", "org-2").otherwise("org-1")
+    return events.withColumns(
+        {
+            "sx": c("sx").withField("org_id", org),
+            "dst_endpoint": F.when(named, F.coalesce("dst_endpoint", blank).withField("hostname", host)).otherwise(c("dst_endpoint")),
+        }
+    )
+
+
 @lru_cache(maxsize=4)
 def _investigation(spark: SparkSession, sf_dir: str, application: str) -> correlate.Incidents:
-    events = telemetry(spark, sf_dir)
+    events = _two_organisations(spark, sf_dir)
     found = detect.detect(events, list(R.rulebook(*R.INVESTIGATION).rules))
     return correlate.correlate(found, events)
 
@@ -1018,7 +1034,8 @@ def incidents(spark, sf_dir):
 @query
 def incident_links(spark, sf_dir):
     return investigation(spark, sf_dir).links.select(
-        "incident_id", "link_id", "kind", "rule", "reason", F.size("evidence").alias("events"), _csv(F.transform("matched", lambda m: m["key"])).alias("matched")
+        "org_id", "incident_id", "link_id", "kind", "rule", "reason", F.size("evidence").alias("events"), _csv(F.transform("matched", lambda m: m["key"])).alias("matched"),
+        _csv(F.transform("matched", lambda m: F.concat(F.array_join(m["incident_events"], "+"), F.lit(">"), F.array_join(m["new_events"], "+")))).alias("shown"),
     )
 
 

@@ -212,3 +212,25 @@ def test_entities_keep_their_roles(spark, story_events):
     assert {r.entity_value for r in sightings.filter("entity_type = 'ip' and not links").collect()} == {
         "10.0.1.20", "10.0.5.3", "10.0.5.9", "10.0.0.4",
     }
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hosts_that_logons_bring_in_order(spark, seed):
+    """Against taking the logons one by one, with chains, ties in time and a host reached later and then earlier."""
+    draw = random.Random(seed)
+    logons = [
+        (f"i{draw.randrange(3)}", f"e{n:03d}", draw.randrange(40), sorted(draw.sample([f"host:h{h}" for h in range(25)], draw.choice([1, 2, 2, 3]))))
+        for n in range(90)
+    ]
+    known = [(f"i{i}", f"host:h{i}") for i in range(3)] + [("i9", "host:h9")]
+    since = {pair: (-(2**63), "") for pair in known}
+    for incident, event, at, hosts in sorted(logons, key=lambda r: (r[2], r[1])):
+        if any((incident, h) in since for h in hosts):
+            for h in hosts:
+                since.setdefault((incident, h), (at, event))
+    followed = spark.createDataFrame(logons, "incident_id string, event_uid string, at_ms long, host_keys array<string>")
+    held = spark.createDataFrame(known, "incident_id string, entity_key string")
+    found = correlate._reached_hosts(followed, held).collect()
+    assert {(r.incident_id, r.entity_key): tuple(r.since) for r in found} == since
+    assert len(found) == len(since) and len(since) > len(known) + 3
+    assert correlate._reached_hosts(followed.limit(0), held.limit(0)).collect() == []
