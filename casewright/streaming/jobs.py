@@ -18,6 +18,7 @@ from casewright.operators import baseline, correlate, intel
 from casewright.operators.normalize import accepted_events, parse_records, rejects_of, stamp_sources
 from casewright.session import cut_lineage
 from casewright.sources import sinks
+from casewright.streaming import incident_store
 
 BatchJob = Callable[[DataFrame, int], None]
 
@@ -119,35 +120,40 @@ def _cited(stored: DataFrame, found: DataFrame) -> DataFrame:
 def correlation_job(find: Callable[[DataFrame], DataFrame], events_path: str, state_path: str) -> BatchJob:
     """Link each batch's findings and logons to the incidents earlier batches left open.
 
-    ``find`` gives the findings of a batch of events. A batch's links and recorded sightings go to its own
-    folder, so writing it twice leaves one copy.
+    ``find`` gives the findings of a batch of events. Of the stored incidents a batch reads those that were active
+    within the window of its findings and logons; see ``incident_store``. What a batch adds goes to its own folders, so
+    writing it twice leaves one copy.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = sinks._table(spark, events_path)
         found = cut_lineage(find(batch))
+        logons = correlate.logons(batch).select(F.min("at_ms").alias("at_ms"))
+        first = found.select(F.min("first_ms").alias("at_ms")).unionByName(logons).agg(F.min("at_ms")).first()[0]
+        if first is None:
+            return  # nothing that could link
         # Evidence may lie in earlier batches: what the findings cite is read back from the store.
         events = batch if stored is None else _cited(stored, found).select(*batch.columns).unionByName(batch)
         events = sinks.first_copies(events, _identity())
+        before = incident_store.reachable(spark, state_path, first, batch_id)
         links, recorded = correlate.link_batch(
             found,
             events,
-            _stored(spark, f"{state_path}/links", batch_id),
-            _stored(spark, f"{state_path}/recorded", batch_id),
+            before and before.links,
+            before and before.recorded,
             batch_id,
             arrived=batch,
         )
-        links.write.mode("overwrite").parquet(f"{state_path}/links/batch_id={batch_id}")
-        recorded.write.mode("overwrite").parquet(f"{state_path}/recorded/batch_id={batch_id}")
+        incident_store.store(state_path, batch_id, links, recorded, before)
 
     return run
 
 
 def read_incidents(spark: SparkSession, state_path: str, events: DataFrame) -> correlate.Incidents:
     """The incident tables over everything the correlation job has written."""
-    links = spark.read.parquet(f"{state_path}/links").drop("batch_id")
-    recorded = spark.read.parquet(f"{state_path}/recorded").drop("batch_id")
+    links = spark.read.parquet(f"{state_path}/links").drop("batch_id", "opened")
+    recorded = spark.read.parquet(f"{state_path}/recorded").drop("batch_id", "opened")
     return correlate.incident_tables(links, recorded, events)
 
 

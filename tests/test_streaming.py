@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_detection import logons, spec
 
 from casewright.operators import baseline, detect
-from casewright.streaming import jobs
+from casewright.streaming import incident_store, jobs
 from casewright.streaming.thresholds import detect_threshold_stream
 
 
@@ -91,3 +91,41 @@ def test_a_batch_that_keeps_failing_is_set_aside(spark, tmp_path):
     assert tries == [9, 9, 9]
     aside = spark.read.parquet(str(tmp_path / "dead"))
     assert aside.count() == 4 and aside.first().error == "ValueError: no"
+
+
+def test_a_batch_reads_only_the_days_it_can_reach(spark, tmp_path):
+    """Days apart, an incident that goes on into the next day, a batch sent again, and one that finds nothing."""
+    hour, day = 3_600_000, 86_400_000
+    start = 1_704_067_200_000  # a midnight
+
+    def attack(at, source):
+        return [(f"{source}-{at + n}", at + n * 1000, source, f"u{n}") for n in range(6)]
+
+    batches = [
+        attack(start + 23 * hour, "203.0.113.1") + attack(start + hour, "203.0.113.9"),
+        attack(start + day + 10 * 60_000, "203.0.113.1"),  # the same incident, past midnight
+        attack(start + 3 * day, "203.0.113.2"),
+        attack(start + day + hour, "203.0.113.1"),  # late, still within reach of the first incident
+        [],
+    ]
+    rules = [spec(threshold=3, window="1h")]
+    state = str(tmp_path / "state")
+    run = jobs.correlation_job(lambda events: detect.detect_threshold(events, rules), str(tmp_path / "events"), state)
+    for number, rows in enumerate(batches):
+        run(logons(spark, rows), number)
+        if number == 1:
+            run(logons(spark, rows), number)  # again, as after a crash
+    assert incident_store.day_folders(spark, f"{state}/links") == ["2024-01-01", "2024-01-04"]
+    assert incident_store.day_folders(spark, f"{state}/spans") == ["2024-01-01", "2024-01-02", "2024-01-04"]
+
+    third = incident_store.reachable(spark, state, start + 3 * day, 2)
+    assert third is None or third.spans.count() == 0, "no folder of an earlier day is read"
+    late = incident_store.reachable(spark, state, start + day + hour, 3)
+    read = {part for f in late.links.inputFiles() + late.recorded.inputFiles() for part in f.split("/") if "opened=" in part}
+    assert read == {"opened=2024-01-01", "opened=2024-01-04"} and late.spans.count() == 2
+    tables = jobs.read_incidents(spark, state, logons(spark, [r for rows in batches for r in rows]))
+    held = {r.incident_id: r.entity_value for r in tables.entities.filter("entity_type = 'ip'").collect()}
+    spans = sorted((held[r.incident_id], r.first_ms - start, r.last_ms - start) for r in tables.incidents.collect())
+    assert [s[0] for s in spans] == ["203.0.113.1", "203.0.113.2", "203.0.113.9"]
+    assert spans[0][1] == 23 * hour and spans[0][2] >= day + hour
+    assert spark.read.parquet(f"{state}/links").select("link_id").distinct().count() == spark.read.parquet(f"{state}/links").count()
