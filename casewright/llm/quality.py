@@ -197,7 +197,7 @@ def train(
 
     The sample has ``per_class`` documents of each class, those with the smallest hash of their id, weighted back to
     the classes' shares, and ``longest`` passages of each at most: what reaches the driver is bounded whatever the
-    input. Rows without an id or label are left out; several labels of a document are averaged. None without a label.
+    input. Of rows that share an id, the one of the fewest passages is taken. Rows without an id or label are left out; several labels of a document are averaged. None without a label.
     """
     mean = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -211,7 +211,9 @@ def train(
     sample = docs.select(id_col, text_col).join(
         F.broadcast(parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_id")), F.col(id_col) == F.col("_id")
     )
-    rows = _encoded(sample, id_col, text_col, longest).toPandas()
+    encoded = _encoded(sample, id_col, text_col, longest)
+    # of the rows that share an id, one stands for them: the bound holds for rows too
+    rows = encoded.groupBy("doc_id").agg(F.min_by("bag", F.struct(F.length("bag"), F.xxhash64("bag"), "bag")).alias("bag")).toPandas()
     if rows.empty:
         return None
     known = {r["doc_id"]: r["y"] for r in parts[0].unionByName(parts[1]).collect()}

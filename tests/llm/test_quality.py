@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -85,3 +87,16 @@ def test_held_out_labels_are_not_learnt(spark, docs):
     other = turned.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     one, two = (quality.train(docs, t, "quality") for t in (turned, other))
     assert all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+
+
+def test_rows_that_share_an_id_count_once(spark, monkeypatch):
+    """A sampled id that many rows hold sends one bag to the driver, whichever rows those are."""
+    rows = [(1, f"good text number {n} " * (1 + n % 5)) for n in range(400)] + [(n, f"bad {n}") for n in range(2, 12)]
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 12)], "doc_id long, quality int")
+    sampled = [n for n in range(1, 12) if zlib.crc32(str(n).encode()) % 5]
+    assert 1 in sampled
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y, weight: seen.append((len(bags), bags[0].tobytes())))
+    for part in (3, 7):
+        quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(part), labels, "quality")
+    assert [n for n, _ in seen] == [len(sampled)] * 2 and seen[0] == seen[1]
