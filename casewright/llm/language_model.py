@@ -18,16 +18,15 @@ from casewright.session import cut_lineage
 
 END = ""  # the token after each text, and the context of its first word: no word is empty
 SEED = 42  # of Spark's xxhash64
-SEGMENT = 20  # log2 of a segment's bits; all probes of an n-gram fall into one segment
 PROBES = 3
 BITS_PER_ENTRY = 6
-MAX_FILTER_BYTES = 96 << 20  # what a worker holds at most
+GROUP_BYTES = 96 << 20  # of the filter, broadcast at once; a larger one goes out in several groups of segments
 SMOOTHING = 0.1
 TRUST = 8.0  # occurrences of a context at which its bigrams and the unigrams weigh alike
 BUCKET_TOKENS = 1 << 21  # tokens whose bigrams are counted together, about
-#: Least quantised counts kept, by default: all unigrams, and bigrams seen twice or more.
-FIRST = {1: 1, 2: 2}
-EVERY = {1: 1, 2: 1}  # n-grams seen once too
+BUCKET_WORDS = 1 << 20  # words that fill a segment together, about
+#: Least quantised counts kept of each order: all n-grams, those seen once too.
+EVERY = {1: 1, 2: 1}
 
 
 def expected_count(levels: np.ndarray) -> np.ndarray:
@@ -46,6 +45,9 @@ def bigram_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix(mix(first * np.uint64(0x9E3779B97F4A7C15)) + second) & ~np.uint64(0xFF)
 
 
+SEGMENTS = "ord int, bucket long, bits binary"
+
+
 def squeeze(numbers: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: the high bytes of small numbers take no room."""
     planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T
@@ -58,42 +60,64 @@ def expand(packed: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
-def _places(hashes: np.ndarray, level: int, segments: int) -> Iterator[np.ndarray]:
-    """Places of an n-gram's bits at one level."""
-    mask = np.uint64((1 << SEGMENT) - 1)
+def _places(hashes: np.ndarray, level: int, size: int | np.ndarray) -> Iterator[np.ndarray]:
+    """Places of an n-gram's bits at one level, in a segment of ``size`` bits."""
     with np.errstate(over="ignore"):
-        base = (hashes >> np.uint64(40)) % np.uint64(segments) << np.uint64(SEGMENT)
         drawn = mix(hashes + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
-        at, step = drawn & mask, (drawn >> np.uint64(SEGMENT)) | np.uint64(1)
+        step = (drawn >> np.uint64(20)) | np.uint64(1)
         for n in range(PROBES):
-            yield base | ((at + np.uint64(n) * step) & mask)
+            yield (drawn + np.uint64(n) * step) % (np.uint64(size) if isinstance(size, int) else size)
+
+
+def bucket_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` bits of the hashes."""
+    return (hashes >> np.uint64(64 - width)).astype(np.int64)
+
+
+def fill(hashes: np.ndarray, levels: np.ndarray, least: int) -> bytes:
+    """A segment that holds each n-gram once for every level from ``least`` up to its own."""
+    entries = int(np.maximum(levels.astype(np.int64) - least + 1, 0).sum())
+    size = max(64, -(-entries * BITS_PER_ENTRY // 64) * 64)
+    bits = np.zeros(size, dtype=bool)
+    for level in range(least, int(levels.max(initial=0)) + 1):
+        for place in _places(hashes[levels >= level], level, size):
+            bits[place] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-@dataclass(frozen=True)
 class CountFilter:
-    """A Bloom filter that holds each n-gram once for every level up to its quantised count."""
+    """Some segments of the filter: each belongs to an order and to a bucket of hashes, and is sized by its entries.
 
-    bits: np.ndarray
-    first: dict[int, int]
+    ``segments`` are ``(order, bucket, bits)``, ``widths`` the bits of a hash that choose the bucket of each order.
+    """
 
-    @property
-    def segments(self) -> int:
-        return max(1, len(self.bits) >> (SEGMENT - 3))
+    def __init__(self, segments: list[tuple[int, int, bytes]], widths: dict[int, int], least: dict[int, int]) -> None:
+        self.widths, self.least = widths, least
+        self.bits = np.frombuffer(b"".join(bits for _, _, bits in segments), dtype=np.uint8)
+        self.start = {order: np.zeros(1 << width, dtype=np.uint64) for order, width in widths.items()}
+        self.size = {order: np.zeros(1 << width, dtype=np.uint64) for order, width in widths.items()}
+        at = 0
+        for order, bucket, bits in segments:
+            self.start[order][bucket], self.size[order][bucket] = at, 8 * len(bits)
+            at += 8 * len(bits)
 
     def levels(self, hashes: np.ndarray, order: int, most: np.ndarray | None = None) -> np.ndarray:
-        """Quantised counts: probed level by level until one is missing, or at ``most``. 0: not found."""
-        found, open_, level = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes)), self.first[order]
-        if most is not None:
-            open_ = open_[most >= level]
-        while len(open_) and len(self.bits):
+        """Quantised counts: probed level by level until one is missing, or at ``most``. 0: not found, or of a segment
+        that is not here."""
+        bucket = bucket_of(hashes, self.widths[order])
+        start, size = self.start[order][bucket], self.size[order][bucket]
+        found, level = np.zeros(len(hashes), dtype=np.int64), self.least[order]
+        open_ = np.flatnonzero(size > 0)
+        while len(open_):
+            if most is not None:
+                open_ = open_[most[open_] >= level]
             held = np.ones(len(open_), dtype=bool)
-            for place in _places(hashes[open_], level, self.segments):
+            for place in _places(hashes[open_], level, size[open_]):
+                place = place + start[open_]
                 held &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             open_ = open_[held]
             found[open_] = level
             level += 1
-            if most is not None:
-                open_ = open_[most[open_] >= level]
         return found
 
 
@@ -201,11 +225,12 @@ def packed_answers(known: DataFrame) -> DataFrame:
     return runs.groupBy("chunk").agg(F.collect_list(F.struct("codes", "counts")).alias("answers"))
 
 
-def bigram_levels(chunks: DataFrame, tokens: int, least: int = FIRST[2]) -> DataFrame:
-    """``h, level``: hashes and quantised counts of the bigrams whose quantised count is ``least`` or more.
+def bigram_segments(chunks: DataFrame, tokens: int, least: int) -> tuple[DataFrame, int]:
+    """``ord, bucket, bits``: the filter's segments for bigrams, and the bits of a hash that choose the segment.
 
     Bigrams are counted within chunks, and travel as sorted runs of a bucket of hashes, differences alone. There are
-    as many buckets as keep each within some millions of bigrams; a bucket is counted by one task.
+    as many buckets as keep each within some millions of bigrams; the task that counts a bucket fills its segment, so
+    that counted bigrams are never written or moved.
     """
     width = max(6, (max(1, tokens) // BUCKET_TOKENS).bit_length())
 
@@ -221,7 +246,7 @@ def bigram_levels(chunks: DataFrame, tokens: int, least: int = FIRST[2]) -> Data
                 hashes = bigram_hashes(own[pairs // many], own[pairs % many])
                 order = np.argsort(hashes)
                 hashes, counts = hashes[order], counts[order].astype("<u4")
-                bucket = (hashes >> np.uint64(64 - width)).astype(np.int64)
+                bucket = bucket_of(hashes, width)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cuts[1:], len(bucket))
                 runs = [(hashes[a:b] >> np.uint64(8), counts[a:b]) for a, b in zip(cuts, ends, strict=True)]
@@ -233,81 +258,109 @@ def bigram_levels(chunks: DataFrame, tokens: int, least: int = FIRST[2]) -> Data
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "steps", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(runs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        def counted(bucket: int, runs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             hashes = np.concatenate([np.cumsum(expand(h, "<u8")) for h, _ in runs])
             counts = np.concatenate([expand(c, "<u4") for _, c in runs]).astype(np.int64)
             order = np.argsort(hashes)
             hashes, counts = hashes[order], counts[order]
             first = np.flatnonzero(np.diff(hashes, prepend=hashes[0] ^ np.uint64(1)))
-            total = np.add.reduceat(counts, first)
-            level = np.floor(np.log2(total)).astype(np.int32) + 1  # exact below 2 ** 48
-            kept = level >= least
-            found = (hashes[first][kept] << np.uint64(8)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(level[kept])], ["h", "level"])
+            levels = np.floor(np.log2(np.add.reduceat(counts, first))).astype(np.int32) + 1  # exact below 2 ** 48
+            bits = fill(hashes[first] << np.uint64(8), levels, least)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([2], pa.int32()), pa.array([bucket]), pa.array([bits], pa.binary())], ["ord", "bucket", "bits"]
+            )
 
         own, runs = None, []
         for batch in batches:
             for bucket, steps_, counts in zip(*(batch.column(n).to_pylist() for n in ("bucket", "steps", "counts")), strict=True):
                 if bucket != own and runs:
-                    yield counted(runs)
+                    yield counted(own, runs)
                     runs = []
                 own = bucket
                 runs.append((steps_, counts))
         if runs:
-            yield counted(runs)
+            yield counted(own, runs)
 
     dealt = chunks.select("words", "codes", "sizes", "held").mapInArrow(deal, "bucket long, steps binary, counts binary")
     met = dealt.repartition(min(1 << width, 4096), "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(count, "h long, level int")
+    return met.mapInArrow(count, SEGMENTS), width
+
+
+def unigram_segments(counts: DataFrame, distinct: int, least: int) -> tuple[DataFrame, int]:
+    """``ord, bucket, bits``: the filter's segments for words ``h, level``, and the bits of a hash that choose one."""
+    width = max(1, (max(1, distinct) // BUCKET_WORDS).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def segment(bucket: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            hashes, levels = (np.concatenate(part) for part in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([1], pa.int32()), pa.array([bucket]), pa.array([fill(hashes, levels, least)], pa.binary())],
+                ["ord", "bucket", "bits"],
+            )
+
+        own, parts = None, []
+        for batch in batches:
+            hashes, levels = batch.column("h").to_numpy().view(np.uint64), batch.column("level").to_numpy()
+            buckets = bucket_of(hashes, width)
+            for bucket in np.unique(buckets).tolist():
+                if bucket != own and parts:
+                    yield segment(own, parts)
+                    parts = []
+                own = bucket
+                parts.append((hashes[buckets == bucket], levels[buckets == bucket]))
+        if parts:
+            yield segment(own, parts)
 
+    bucket = F.shiftrightunsigned("h", 64 - width)
+    dealt = counts.withColumn("bucket", bucket).repartition(min(1 << width, 4096), "bucket").sortWithinPartitions("bucket")
+    return dealt.select("h", "level").mapInArrow(run, SEGMENTS), width
 
-def build_filter(ngrams: DataFrame, max_bytes: int = MAX_FILTER_BYTES, least: dict[int, int] = FIRST) -> CountFilter:
-    """The filter for n-grams ``h, ord, level`` (hash, order, quantised count) from the ``least`` count of each order on.
 
-    It has ``BITS_PER_ENTRY`` bits for each n-gram and level and grows with the corpus up to ``max_bytes``, the most
-    that is sent through the driver and to each worker. A corpus that needs more raises the least count kept, of
-    bigrams first, until the filter fits: a model of more frequent n-grams, not one of more errors. Each segment is
-    filled by the one task that gets its n-grams.
+def segment_groups(segments: DataFrame, limit: int = GROUP_BYTES) -> list[tuple[int, int]]:
+    """Runs of segments, in order of order and bucket, that hold ``limit`` bytes at most each, as first and last place.
+
+    A segment's place is its bucket, those of bigrams after those of words. One row a segment comes to the driver.
     """
-    tally = {(r["ord"], r["level"]): r["n"] for r in ngrams.groupBy("ord", "level").agg(F.count("*").alias("n")).collect()}
-    first = dict(least)
+    groups: list[list[int]] = []
+    size = 0
+    for row in segments.select("place", F.length("bits").alias("size")).orderBy("place").collect():
+        if groups and size + row["size"] <= limit:
+            groups[-1][1], size = row["place"], size + row["size"]
+        else:
+            groups.append([row["place"], row["place"]])
+            size = row["size"]
+    return [(first, last) for first, last in groups]
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """The distinct pairs of neighbours in a chunk."""
 
-    def entries() -> int:
-        return sum(n * max(0, level - first[order] + 1) for (order, level), n in tally.items())
+    first: np.ndarray
+    second: np.ndarray
+    which: np.ndarray
 
-    for order in (2, 1):
-        highest = max((level for o, level in tally if o == order), default=0)
-        while entries() * BITS_PER_ENTRY > max_bytes * 8 and first[order] <= highest:
-            first[order] += 1
-    segments = -(-entries() * BITS_PER_ENTRY // (1 << SEGMENT))
-    if not segments:
-        return CountFilter(np.zeros(0, dtype=np.uint8), first)
+    @staticmethod
+    def of(chunk: Chunk) -> Pairs:
+        many = len(chunk.words)
+        pairs, which = np.unique(chunk.before * many + chunk.codes, return_inverse=True)
+        return Pairs(pairs // many, pairs % many, which)
+
+
+def _probed(chunks: DataFrame, shared) -> DataFrame:
+    """``chunk, alone, together``: the levels of each chunk's words and pairs in the segments that are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled: dict[int, np.ndarray] = {}
-        mask = np.uint64((1 << SEGMENT) - 1)
+        model = CountFilter(*shared.value)
         for batch in batches:
-            hashes = batch.column("h").to_numpy().view(np.uint64)
-            orders, levels = (batch.column(n).to_numpy() for n in ("ord", "level"))
-            for order, least in first.items():
-                for level in range(least, int(levels.max()) + 1):
-                    for place in _places(hashes[(orders == order) & (levels >= level)], level, segments):
-                        parts = place >> np.uint64(SEGMENT)
-                        for part in np.unique(parts).tolist():
-                            bits = filled.setdefault(part, np.zeros(1 << SEGMENT, dtype=bool))
-                            bits[place[parts == part] & mask] = True
-        for part, bits in filled.items():
-            packed = np.packbits(bits, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([packed], pa.binary())], ["part", "bits"])
-
-    part = F.pmod(F.shiftrightunsigned("h", 40), F.lit(segments)).alias("part")
-    kept = ngrams.filter(" OR ".join(f"(ord = {o} AND level >= {v})" for o, v in first.items()))
-    dealt = kept.select("h", "ord", "level", part).repartition(min(segments, 512), "part").sortWithinPartitions("part")
-    bits = np.zeros(segments << (SEGMENT - 3), dtype=np.uint8)
-    for row in dealt.select("h", "ord", "level").mapInArrow(run, "part long, bits binary").toLocalIterator():
-        at = row["part"] << (SEGMENT - 3)
-        bits[at : at + (1 << (SEGMENT - 3))] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return CountFilter(bits, first)
+            for row in range(batch.num_rows):
+                chunk = Chunk.read(batch, row)
+                own, pairs = word_hashes(chunk.words), Pairs.of(chunk)
+                found = model.levels(own, 1), model.levels(bigram_hashes(own[pairs.first], own[pairs.second]), 2)
+                packed = [pa.array([squeeze(levels.astype("<u1"))], pa.binary()) for levels in found]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(row, 1), *packed], ["chunk", "alone", "together"])
+
+    return chunks.select("chunk", "words", "codes", "sizes", "held").mapInArrow(run, "chunk long, alone binary, together binary")
 
 
 def lm_scores(
@@ -315,8 +368,8 @@ def lm_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     folds: int = 10,
-    max_bytes: int = MAX_FILTER_BYTES,
-    least: dict[int, int] = FIRST,
+    group_bytes: int = GROUP_BYTES,
+    least: dict[int, int] = EVERY,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -325,7 +378,8 @@ def lm_scores(
     counts of its distinct words, joined by the word itself. ``score`` is the log10 probability under bigrams
     interpolated with unigrams, whose counts are found by probing the broadcast filter; a bigram's count is at most
     that of its words, which ends most probes early. ``least`` is the least quantised count that the model keeps of each
-    order; ``EVERY`` keeps all n-grams.
+    order, by default all n-grams at every size: a filter of more than ``group_bytes`` is broadcast in groups of
+    segments, each of which costs one more pass over the encoded texts, and what they hold is put together by chunk.
 
     Null and empty texts have the end alone. Repeated rows are learnt from and scored each; a null id counts as empty
     text in the fold. Without any row to learn from every base score is that of unseen tokens, log10 of 1. An empty
@@ -341,45 +395,77 @@ def lm_scores(
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     level = F.length(F.bin("c")).cast("int")  # exact 1 + floor(log2(c))
-    unigrams = counts.select(F.xxhash64("word").alias("h"), F.lit(1).alias("ord"), level.alias("level"))
-    bigrams = bigram_levels(chunks, total, least[2]).select("h", F.lit(2).alias("ord"), "level")
-    model = build_filter(written(unigrams.unionByName(bigrams), "ngrams"), max_bytes, least)
-    shared = spark.sparkContext.broadcast((model.bits.tobytes(), model.first))
+    words = counts.select(F.xxhash64("word").alias("h"), level.alias("level"))
+    alone, narrow = unigram_segments(words, distinct, least[1])
+    together, wide = bigram_segments(chunks, total, least[2])
+    widths = {1: narrow, 2: wide}
+    place = F.col("bucket") + F.when(F.col("ord") == 2, 1 << narrow).otherwise(0)
+    segments = written(alone.unionByName(together).withColumn("place", place), "filter")
+    # without any n-gram there is one group, of nothing
+    groups = segment_groups(segments, group_bytes) or [(0, -1)]
+
+    def broadcast(first: int, last: int):
+        rows = segments.filter(F.col("place").between(first, last)).orderBy("place").collect()
+        return spark.sparkContext.broadcast(([(r["ord"], r["bucket"], bytes(r["bits"])) for r in rows], widths, least))
+
+    earlier = None
+    for group in groups[:-1]:
+        part = written(_probed(chunks, broadcast(*group)), "levels")
+        earlier = part if earlier is None else earlier.unionByName(part)
+    shared = broadcast(*groups[-1])
 
     known = listed.drop("n").join(counts.select(rekeyed(F.col("word")).alias("word"), "c"), "word")
     answers = packed_answers(known)
     # no chunk is without its end, but none of its tokens may be known
     asked = chunks.join(answers, "chunk", "left")
+    if earlier is not None:
+        levels = F.collect_list(F.struct("alone", "together")).alias("levels")
+        asked = asked.join(earlier.groupBy("chunk").agg(levels), "chunk", "left")
+    else:
+        asked = asked.withColumn("levels", F.lit(None).cast("array<struct<alone:binary,together:binary>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, first = shared.value
-        count_filter = CountFilter(np.frombuffer(bits, dtype=np.uint8), first)
+        model = CountFilter(*shared.value)
         for batch in batches:
             for place in range(batch.num_rows):
                 chunk = Chunk.read(batch, place)
                 exact = np.zeros(len(chunk.words), dtype=np.int64)
                 for run_ in batch.column("answers")[place].as_py() or ():
                     exact[expand(run_["codes"], "<u4")] = expand(run_["counts"], "<u8")
-                yield score_chunk(chunk, exact, batch.column("ids")[place].values, count_filter, total, distinct)
+                parts = [
+                    (expand(part["alone"], "<u1"), expand(part["together"], "<u1"))
+                    for part in batch.column("levels")[place].as_py() or ()
+                ]
+                yield score_chunk(chunk, exact, batch.column("ids")[place].values, model, parts, total, distinct)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return asked.select("words", "ids", "held", "sizes", "codes", "answers").mapInArrow(run, schema)
-
-
-def score_chunk(chunk: Chunk, exact: np.ndarray, ids: pa.Array, model: CountFilter, total: int, distinct: int) -> pa.RecordBatch:
-    codes, before, sizes = chunk.codes, chunk.before, chunk.sizes
+    return asked.select("words", "ids", "held", "sizes", "codes", "answers", "levels").mapInArrow(run, schema)
+
+
+def score_chunk(
+    chunk: Chunk,
+    exact: np.ndarray,
+    ids: pa.Array,
+    model: CountFilter,
+    parts: list[tuple[np.ndarray, np.ndarray]],
+    total: int,
+    distinct: int,
+) -> pa.RecordBatch:
+    """Scores of a chunk's texts; ``parts`` are the levels of words and pairs found in other groups of segments."""
+    codes, sizes = chunk.codes, chunk.sizes
     starts = np.cumsum(sizes) - sizes
     whole_mass = total + SMOOTHING * (distinct + 1)
     base = np.log10((exact + SMOOTHING) / whole_mass)
 
-    own = word_hashes(chunk.words)
-    levels = model.levels(own, 1)
+    own, pairs = word_hashes(chunk.words), Pairs.of(chunk)
+    # each word and pair has one segment: where it is not, its level is 0
+    levels = sum((alone for alone, _ in parts), model.levels(own, 1))
     seen = expected_count(levels)
     alone = (seen + SMOOTHING) / whole_mass
-    pairs, which = np.unique(before * len(own) + codes, return_inverse=True)
-    first, second = pairs // len(own), pairs % len(own)
+    first, second, which = pairs.first, pairs.second, pairs.which
     most = np.minimum(levels[first], levels[second])
-    together = expected_count(model.levels(bigram_hashes(own[first], own[second]), 2, most))
+    here = model.levels(bigram_hashes(own[first], own[second]), 2, most)
+    together = expected_count(np.minimum(sum((pair for _, pair in parts), here), most))
     trust = seen[first] / (seen[first] + TRUST)
     share = np.minimum(1.0, together / np.maximum(seen[first], 1.0))
     smoothed = np.log10(np.minimum(1.0, trust * share + (1 - trust) * alone[second]))

@@ -40,14 +40,14 @@ def brute(rows):
         score = 0.0
         for v, w in zip(["", *t], t, strict=False):
             seen, both = mean(level(counts[v])), level(pairs[v, w])
-            both = min(both, level(counts[v]), level(counts[w])) if both >= 2 else 0
+            both = min(both, level(counts[v]), level(counts[w]))
             trust = seen / (seen + lm.TRUST)
             score += math.log10(min(1.0, trust * min(1.0, mean(both) / max(seen, 1.0)) + (1 - trust) * (mean(level(counts[w])) + 0.1) / mass))
         yield doc_id, in_fold(doc_id), len(t), sum(counts[w] > 0 for w in t), total, base, score
 
 
-def compare(df, rows, close):
-    found = sorted((tuple(r) for r in lm.lm_scores(df).collect()), key=lambda r: str(r[:5]) + f"{r[5]:.3f}")
+def compare(df, rows, close, **more):
+    found = sorted((tuple(r) for r in lm.lm_scores(df, **more).collect()), key=lambda r: str(r[:5]) + f"{r[5]:.3f}")
     want = sorted(brute(rows), key=lambda r: str(r[:5]) + f"{r[5]:.3f}")
     assert [f[:5] for f in found] == [w[:5] for w in want]
     assert [f[5] for f in found] == pytest.approx([w[5] for w in want], rel=1e-9)
@@ -61,12 +61,24 @@ def test_edge_cases(docs, rows):
     assert all(r[6] <= 0 for r in found)
 
 
-def test_several_chunks(spark, monkeypatch):
+def several(spark):
     rows = [(n, " ".join(f"w{(n * k) % 89} The" for k in range(n % 30))) for n in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_several_chunks(spark):
+    rows, df = several(spark)
     compare(df, rows, 0.05)
 
 
+def test_groups_of_segments_give_the_scores_of_one(spark):
+    """The filter sent in one group and in many, a segment each: every n-gram stays in the model."""
+    rows, df = several(spark)
+    whole = compare(df, rows, 0.05)
+    assert compare(df, rows, 0.05, group_bytes=1_000) == whole
+    assert compare(df, rows, 0.05, group_bytes=1) == whole
+
+
 def test_empty_table_and_nothing_to_learn(spark, no_docs):
     assert lm.lm_scores(no_docs).collect() == []
     held = [n for n in range(100) if in_fold(n)][:2]
@@ -78,26 +90,31 @@ def test_filter_never_undercounts_and_rarely_overcounts(spark):
     draw = np.random.default_rng(2)
     hashes = draw.integers(-(2**63), 2**63, 40_000)
     levels = draw.integers(1, 6, 40_000)
-    rows = [(int(h), 1 if n % 2 else 2, int(v)) for n, (h, v) in enumerate(zip(hashes, levels, strict=True))]
-    built = lm.build_filter(spark.createDataFrame(rows, "h long, ord int, level int"))
-    for order in (1, 2):
-        mine = np.array([r[1] == order for r in rows])
-        found = built.levels(hashes[mine].view(np.uint64), order)
-        want = np.where(levels[mine] >= lm.FIRST[order], levels[mine], 0)
-        assert (found >= want).all() and (found == want).mean() > 0.85
+    frame = spark.createDataFrame(list(zip(hashes.tolist(), levels.tolist(), strict=True)), "h long, level int")
+    built, width = lm.unigram_segments(frame, 8 * lm.BUCKET_WORDS, 1)
+    rows = [(r["ord"], r["bucket"], bytes(r["bits"])) for r in built.collect()]
+    assert len(rows) == 1 << width > 4
+    model = lm.CountFilter(rows, {1: width, 2: 1}, lm.EVERY)
+    found = model.levels(hashes.view(np.uint64), 1)
+    assert (found >= levels).all() and (found == levels).mean() > 0.85
     strangers = draw.integers(-(2**63), 2**63, 40_000).view(np.uint64)
-    assert (built.levels(strangers, 1) > 0).mean() < 0.12
-    capped = built.levels(hashes.view(np.uint64), 1, np.full(40_000, 2))
-    assert capped.max() <= 2
-
-
-def test_a_bounded_filter_keeps_the_frequent(spark):
-    rows = [(n * 7_919_777_777_777, 2, 2 + n % 9) for n in range(-20_000, 20_000)] + [(n * 104_729_999_999, 1, 1 + n % 4) for n in range(1, 400)]
-    df = spark.createDataFrame(rows, "h long, ord int, level int")
-    small = lm.build_filter(df, max_bytes=20_000)
-    assert small.first[2] > 2 and small.first[1] == 1
-    frequent = np.array([h for h, o, v in rows if o == 2 and v >= 10]).view(np.uint64)
-    assert (small.levels(frequent, 2) >= 10).all()
+    assert (model.levels(strangers, 1) > 0).mean() < 0.12
+    assert model.levels(hashes.view(np.uint64), 1, np.full(40_000, 2)).max() <= 2
+    some = lm.CountFilter(rows[:2], {1: width, 2: 1}, lm.EVERY)
+    here = np.isin(lm.bucket_of(hashes.view(np.uint64), width), [r[1] for r in rows[:2]])
+    assert (some.levels(hashes.view(np.uint64), 1) == np.where(here, found, 0)).all()
+
+
+def test_every_bigram_is_in_its_segment(spark):
+    rows, df = several(spark)
+    chunks = lm.encode_chunks(df.selectExpr("doc_id", "text", "false AS held"), "bigint")
+    found, width = lm.bigram_segments(chunks, 200 * lm.BUCKET_TOKENS, 1)
+    model = lm.CountFilter([(r["ord"], r["bucket"], bytes(r["bits"])) for r in found.collect()], {1: 1, 2: width}, lm.EVERY)
+    pairs = Counter(pair for _, text in rows for pair in zip(["", *tokens(text)], tokens(text), strict=False))
+    first, second = (lm.word_hashes([p[side] for p in pairs]) for side in (0, 1))
+    levels = model.levels(lm.bigram_hashes(first, second), 2)
+    want = np.array([n.bit_length() for n in pairs.values()])
+    assert (levels >= want).all() and (levels == want).mean() > 0.85
 
 
 def test_the_query_learns_bigrams_seen_once(spark):
