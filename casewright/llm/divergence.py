@@ -42,18 +42,31 @@ def terms_of(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(kept[places], pa.int32()), terms)
 
 
+def _marked(terms: pa.Array) -> pa.Array:
+    """Each list with ``EVERYWHERE`` in front."""
+    counts = terms.value_lengths().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(counts + 1)])
+    place = np.zeros(ends[-1], dtype=np.int64)
+    place[np.delete(np.arange(ends[-1]), ends[:-1])] = np.arange(1, counts.sum() + 1)
+    words = pa.concat_arrays([pa.array([EVERYWHERE]), terms.flatten()]).take(pa.array(place))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
+
+
 def _term_lists(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms, part`` of each document, written by language; ``part`` is the language as a folder name."""
+    """``lang, source, terms, part`` of each document, written by language; ``part`` is the language as a folder name.
+
+    Every list has ``EVERYWHERE`` in front.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
-            columns = [step.column("lang"), step.column("source"), terms_of(step.column("text"))]
+            columns = [step.column("lang"), step.column("source"), _marked(terms_of(step.column("text")))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms"])
 
     schema = "lang string, source string, terms array<string>"
     listed = docs.mapInArrow(run, schema).withColumn("part", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8"))))
     path = shared_folder(docs.sparkSession, "terms")
-    listed.write.option("compression", "zstd").partitionBy("part").parquet(path)
+    listed.write.option("compression", "lz4").partitionBy("part").parquet(path)
     return docs.sparkSession.read.schema(f"{schema}, part string").parquet(path)
 
 
@@ -91,11 +104,10 @@ def _count(part: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     """``source, place, count`` over the kept terms of a language, ``place, term``, and the number of kept terms."""
     spark = part.sparkSession
     counter = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(least), vocabSize=LARGEST_VOCABULARY)
-    marked = part.select("source", F.concat(F.array(F.lit(EVERYWHERE)), "terms").alias("terms"))
-    model = counter.fit(marked)
+    model = counter.fit(part)
     mark = model.transform(spark.createDataFrame([([EVERYWHERE],)], "terms array<string>")).first().counts
     raw = F.unwrap_udt("counts")
-    vectors = model.transform(marked).select("source", raw["indices"].alias("places"), raw["values"].alias("counts"))
+    vectors = model.transform(part.select("source", "terms")).select("source", raw["indices"].alias("places"), raw["values"].alias("counts"))
     partial = vectors.mapInArrow(_summed, "source string, place int, count long").filter(F.col("place") != int(mark.indices[0]))
     counts = written(partial.groupBy("source", "place").agg(F.sum("count").alias("count")), "term-counts")
     # the vocabulary as a table: as the model writes it, place by place

@@ -288,7 +288,7 @@ def bigram_segments(chunks: DataFrame, tokens: int, least: int) -> tuple[DataFra
 
 def unigram_segments(counts: DataFrame, distinct: int, least: int) -> tuple[DataFrame, int]:
     """``ord, bucket, bits``: the filter's segments for words ``h, level``, and the bits of a hash that choose one."""
-    width = max(1, (max(1, distinct) // BUCKET_WORDS).bit_length())
+    width = max(6, (max(1, distinct) // BUCKET_WORDS).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def segment(bucket: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
