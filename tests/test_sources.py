@@ -3,8 +3,8 @@ from __future__ import annotations
 import json
 
 import pytest
-from stories import raw_records
 from pyspark.sql import functions as F
+from stories import raw_records
 
 from casewright.operators.normalize import normalize
 from casewright.sources import records, sinks
@@ -91,6 +91,65 @@ def test_rendered_text_reads_labels_by_section(spark):
     )
 
 
+GOOD_XML = (
+    "<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'>\n<System><EventID>4624</EventID>"
+    "<TimeCreated SystemTime='2026-01-01T00:00:00.1Z'/><Computer>PC-{0}</Computer><Channel>Security</Channel></System>\n"
+    "<EventData><Data Name='A'>Ü {0}</Data></EventData></Event>"
+)
+
+
+@pytest.fixture(params=["1g", "700b"])
+def split_size(spark, request):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield request.param
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_xml_files_are_cut_alike_at_every_split_size(spark, tmp_path, split_size):
+    events = [GOOD_XML.format(n) for n in range(40)]
+    files = {
+        "a": "<Events>\n" + "\n".join(events) + "\n</Events>\n",
+        "b": "\ufeff" + "".join(events[:3]),
+        "broken_off": events[0] + "<Event><Broken</Event>" + events[1] + events[2][: -len("</Event>")],
+        "declared": events[0] * 9 + "<!DOCTYPE a>" + events[1] * 9,
+        "empty": "",
+        "other": "no event here",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.xml").write_bytes(text.encode())
+    found = records.read_winxml(spark, str(tmp_path))
+    if split_size != "1g":
+        assert spark.read.option("lineSep", "</Event>").text(str(tmp_path / "a.xml")).rdd.getNumPartitions() > 5
+    rows = found.select("position", "record.Computer", F.col("record.EventData")["A"].alias("a"), "problem.reason").collect()
+    want = [(n, f"PC-{n}", f"Ü {n}", None) for n in range(40)] + [(n, f"PC-{n}", f"Ü {n}", None) for n in range(3)]
+    want += [(0, "PC-0", "Ü 0", None), (2, "PC-1", "Ü 1", None), (1, None, None, "event has no readable System element")]
+    want.append((0, None, None, "document type declarations are not allowed"))
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+
+
+def test_rendered_files_are_read_alike_at_every_split_size(spark, tmp_path, split_size):
+    many = "".join(RENDERED.replace("RecordNumber=7", f"RecordNumber={n}") for n in range(20))
+    (tmp_path / "a.log").write_text("left over of an earlier event\n" + many)
+    (tmp_path / "b.log").write_bytes(RENDERED.replace("\n", "\r\n").encode())
+    (tmp_path / "c.log").write_text("nothing to read")
+    found = records.read_wineventlog_text(spark, str(tmp_path))
+    whole = records.rendered_events(values(spark, many, RENDERED.replace("\n", "\r\n")))
+    shown = lambda df: sorted(str((r.record, r.channel, r.problem, r.raw)) for r in df.collect())
+    assert shown(found) == shown(whole) and found.count() == 42
+    lines = RENDERED.count("\n")
+    first = sorted(r.position for r in found.filter("record.EventID = 4672").collect())
+    assert first == sorted([0] + [1 + lines * n for n in range(20)])
+
+
+def test_feed_positions_follow_the_file(spark, tmp_path, split_size):
+    for name in ("1", "2"):
+        (tmp_path / f"{name}.csv").write_text(",".join(records.FEED_COLUMNS) + "\n" + "".join(f"ip,10.{name}.0.{n},malicious,,,,,,,\n" for n in range(60)))
+    rows = records.read_feed(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.position, r.value) for r in rows] == [(n + 60 * k, f"10.{k + 1}.0.{n}") for k in (0, 1) for n in range(60)]
+
+
 def test_exports_go_to_the_parser_of_their_source_type(spark):
     rows = [
         ("XmlWinEventLog:Security", "<Event><System><EventID>4634</EventID><Channel>Security</Channel></System></Event>", "t"),

@@ -33,6 +33,40 @@ def test_stream_thresholds_equal_batch(spark, tmp_path):
     assert comparable(spark.read.parquet(out)) == comparable(batch)
 
 
+def test_a_late_event_completes_a_window(spark, tmp_path):
+    rows = [("a", 0, "10.0.0.1", "u1"), ("b", 10_000, "10.0.0.1", "u2"), ("d", 70_000, "10.0.0.1", "u4"), ("c", 20_000, "10.0.0.1", "u3")]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:3], rows[3:]):
+        logons(spark, part).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_events(spark, source, maxFilesPerTrigger="1")
+    found = detect_threshold_stream(stream, [spec()])
+    jobs.start(found, jobs.findings_job(out), str(tmp_path / "cp"), available_now=True).awaitTermination(240)
+    [finding] = spark.read.parquet(out).collect()
+    [want] = detect.detect_threshold(logons(spark, rows), [spec()]).collect()
+    assert (finding.finding_id, finding.last_ms, finding.evidence) == (want.finding_id, 20_000, ["a", "b", "c"])
+
+
+def test_threshold_state_is_bounded(spark, tmp_path):
+    """Over many windows, with files sent twice; the state holds two windows."""
+    rng = random.Random(5)
+    rows = [(f"e{n:04}", n * 4_000 + rng.randrange(0, 3_000, 100), f"10.0.0.{n % 2 + 1}", f"u{rng.randint(0, 9)}") for n in range(600)]
+    rules = [spec(count_distinct="user.name", threshold=6), spec(id="r2", threshold=9)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for start in range(0, 600, 100):
+        logons(spark, rows[start : start + 100]).coalesce(1).write.mode("append").parquet(source)
+        if start % 200:
+            logons(spark, rows[start : start + 100]).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_events(spark, source, maxFilesPerTrigger="1")
+    query = jobs.start(detect_threshold_stream(stream, rules), jobs.findings_job(out), str(tmp_path / "cp"), available_now=True)
+    query.awaitTermination(400)
+    batch = detect.detect_threshold(logons(spark, rows), rules)
+    shown = lambda df: sorted((r.finding_id, r.rule_id, tuple(r.evidence), r.first_ms, r.last_ms) for r in df.collect())
+    assert shown(spark.read.parquet(out)) == shown(batch) and batch.count() > 20
+    state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    # two rules and two groups, nine buckets and their totals, the group's own row and its timer
+    assert state <= 4 * (2 * 10 + 4), "600 events were seen"
+
+
 def test_ingest_baseline_and_correlation_in_batches(spark, tmp_path, story_events, story_incidents, rule_set):
     """One file per story, then all of them again: the incidents equal the batch's."""
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
