@@ -17,20 +17,21 @@ MAX_ATTEMPTS = 5
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, None before its first write."""
+    """The Parquet table at ``path``, None before its first row: an empty partitioned write leaves no data file."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(folder) or len(system.listStatus(folder)) == 0:
+    if not system.exists(folder) or all(s.getPath().getName().startswith(("_", ".")) for s in system.listStatus(folder)):
         return None
     return spark.read.parquet(path)
 
 
 def first_copies(events: DataFrame, key: Column | None = None) -> DataFrame:
-    """One row per fingerprint, the first ingested. Spark keeps the first row of each task before the shuffle, so a
-    record repeated for a third of all rows sends one row per task."""
+    """One row per fingerprint, the first ingested, of several the one with the smallest ids and raw digest. Spark keeps
+    the first row of each task before the shuffle, so a record repeated for a third of all rows sends one row per task."""
     fingerprint = F.col("sx.fingerprint") if key is None else key
-    order = W.partitionBy("_fp").orderBy("sx.ingested_at", "sx.org_id", "sx.source_id")
+    raw = [F.md5(F.col("raw_data").cast("binary"))] if "raw_data" in events.columns else []
+    order = W.partitionBy("_fp").orderBy("sx.ingested_at", "sx.org_id", "sx.source_id", "sx.event_uid", *raw)
     ranked = events.withColumn("_fp", fingerprint).withColumn("_rank", F.row_number().over(order))
     return ranked.filter(F.col("_rank") == 1).drop("_fp", "_rank")
 

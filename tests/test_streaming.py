@@ -34,7 +34,7 @@ def test_stream_thresholds_equal_batch(spark, tmp_path):
 
 
 def test_a_late_event_completes_a_window(spark, tmp_path):
-    rows = [("a", 0, "10.0.0.1", "u1"), ("b", 10_000, "10.0.0.1", "u2"), ("d", 70_000, "10.0.0.1", "u4"), ("c", 20_000, "10.0.0.1", "u3")]
+    rows = [(uid, 1_000_000 + at, "10.0.0.1", "u") for uid, at in (("a", 0), ("b", 10_000), ("d", 70_000), ("c", 20_000))]
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (rows[:3], rows[3:]):
         logons(spark, part).coalesce(1).write.mode("append").parquet(source)
@@ -43,7 +43,7 @@ def test_a_late_event_completes_a_window(spark, tmp_path):
     jobs.start(found, jobs.findings_job(out), str(tmp_path / "cp"), available_now=True).awaitTermination(240)
     [finding] = spark.read.parquet(out).collect()
     [want] = detect.detect_threshold(logons(spark, rows), [spec()]).collect()
-    assert (finding.finding_id, finding.last_ms, finding.evidence) == (want.finding_id, 20_000, ["a", "b", "c"])
+    assert (finding.finding_id, finding.last_ms, finding.evidence) == (want.finding_id, 1_020_000, ["a", "b", "c"])
 
 
 def test_threshold_state_is_bounded(spark, tmp_path):
