@@ -863,3 +863,37 @@ _INV_STEPS = STEPS.replace("source_id AS incident_id", "c.incident_id").replace(
 )
 sql("incident_steps", *_INVESTIGATION, _INV_STEPS, recursive=True)("""
 SELECT incident_id, step_id, any_value(action) AS action, min(time_ms) AS first_ms, count(*) AS event_count FROM members GROUP BY incident_id, step_id""")
+
+# -------------------------------------------------------------------------------------------- loaded rule files
+_PACK = """
+pack AS (SELECT page_id AS p, page_id % 6 AS kind, page_id // 6 AS n, 'r' || page_id AS r FROM pages),
+taken AS (SELECT 'r' || (p - 1) AS rule_id FROM pack WHERE kind = 3 AND n % 2 = 1),
+files AS (
+  SELECT *, CASE kind WHEN 0 THEN 'own/d' || (p % 5) || '/' WHEN 1 THEN 'community/win/' WHEN 2 THEN 'community/win/sub/' WHEN 3 THEN 'own/' ELSE 'community/count/' END || r || '.json' AS file,
+    CASE WHEN kind = 3 AND n % 2 = 1 THEN 'r' || (p - 1) ELSE r END AS own_id FROM pack),
+loaded AS (
+  SELECT file AS path, own_id AS rule_id, 'Rule ' || own_id AS title, 'single' AS rule_type, 2 AS severity_id, 'T1071.004' AS techniques,
+    CASE WHEN kind = 2 THEN 'https://rules.example/v1/w/' || p || '.yml' END AS source_url, NULL::INTEGER AS threshold, NULL::BIGINT AS window_ms, NULL::VARCHAR AS reason
+    FROM files WHERE kind IN (0, 3) OR (kind = 2 AND own_id NOT IN (SELECT rule_id FROM taken))
+  UNION ALL SELECT file || '#2', 'c' || p, 'Count ' || p, 'threshold', 3, '', NULL, 3 + n % 4, 3600000, NULL FROM files WHERE kind = 4
+  UNION ALL SELECT file || '#1', 'b' || p, 'Rule b' || p, 'single', 2, 'T1071.004', NULL, NULL, NULL, NULL FROM files WHERE kind = 5
+  UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'field ''Nope'' is not mapped for logsource dns_query' FROM files WHERE kind = 1
+  UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'duplicate rule id ' || own_id FROM files WHERE kind = 2 AND own_id IN (SELECT rule_id FROM taken)
+  UNION ALL SELECT file || '#2', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no rule named ''gone' || p || '''' FROM files WHERE kind = 5)"""
+sql("loaded_rules", _PACK)("SELECT * FROM loaded")
+sql("rule_import_tally", _PACK)("""
+SELECT CASE WHEN reason IS NULL THEN 'selected' ELSE 'refused' END AS outcome, reason, count(*) AS rules FROM loaded GROUP BY ALL""")
+sql("selected_rule_files", _PACK)("""
+, kept AS (SELECT DISTINCT split_part(path, '#', 1) AS path FROM loaded WHERE reason IS NULL)
+SELECT 'r1' AS release, (SELECT count(*) FROM kept) AS selected, k.path, CAST(length(CASE
+    WHEN f.kind = 0 THEN '{"id": "' || own_id || '", "title": "Rule ' || own_id || '", "level": "low", "tags": ["attack.t1071.004"], "logsource": {"category": "dns_query"}, "detection": {"wanted": {"QueryName": "site' || (p % 15) || '.example"}, "condition": "wanted"}}'
+    WHEN f.kind = 2 THEN '{"id": "' || own_id || '", "title": "Rule ' || own_id || '", "level": "low", "tags": ["attack.t1071.004"], "logsource": {"category": "dns_query"}, "detection": {"wanted": {"QueryName": "site' || (p % 15) || '.example", "Image": "-"}, "condition": "wanted"}}'
+    WHEN f.kind = 3 THEN '{"id": "' || own_id || '", "title": "Rule ' || own_id || '", "level": "low", "tags": ["attack.t1071.004"], "logsource": {"category": "dns_query"}, "detection": {"wanted": {"QueryName": "-"}, "condition": "wanted"}}'
+    ELSE '{"id": "b' || p || '", "title": "Rule b' || p || '", "level": "low", "tags": ["attack.t1071.004"], "logsource": {"category": "dns_query"}, "detection": {"wanted": {"QueryName|startswith": "site"}, "condition": "wanted"}, "name": "base' || p || '"}' || chr(10) || '---' || chr(10) || '{"id": "c' || p || '", "title": "Count ' || p || '", "level": "medium", "correlation": {"type": "event_count", "rules": ["' || CASE f.kind WHEN 4 THEN 'base' ELSE 'gone' END || p || '"], "group-by": ["QueryName"], "timespan": "1h", "condition": {"gte": ' || (3 + n % 4) || '}}}' END) AS INTEGER) AS length
+FROM kept k JOIN files f ON f.file = k.path""")
+sql("loaded_rule_matches", TEL, _PACK)("""
+SELECT l.rule_id, count(*) AS n FROM loaded l JOIN files f ON f.file = split_part(l.path, '#', 1) JOIN tel t ON t.class_uid = 4003
+WHERE l.rule_type = 'single' AND CASE WHEN f.kind IN (0, 2) THEN t.query_hostname = 'site' || (f.p % 15) || '.example' WHEN f.kind = 5 THEN t.query_hostname LIKE 'site%' ELSE false END
+GROUP BY l.rule_id""")
+sql("loaded_count_findings", TEL, _threshold("class_uid = 4003 AND query_hostname LIKE 'site%'", "query_hostname", "event_uid", 4, 3_600_000), recursive=True)("""
+SELECT g AS site, at_ms, CAST(count(*) AS INTEGER) AS events FROM ev WHERE rn <= 100 AND EXISTS (SELECT 1 FROM pages WHERE page_id % 6 = 4 AND page_id // 6 % 4 = 1) GROUP BY g, at_ms""")

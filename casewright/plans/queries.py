@@ -25,12 +25,14 @@ from casewright.operators import (
     normalize,
     predicates as P,
     reports,
+    rules,
     search,
     timeline,
     triage,
 )
 from casewright.operators.scopes import SCOPES
 from casewright.plans import rulebook as R
+from casewright.plans.rulepack import write_pack
 from casewright.plans.telemetry import ORG
 from casewright.plans.telemetry import flat_telemetry as build_flat_telemetry
 from casewright.plans.telemetry import telemetry as build_telemetry
@@ -718,6 +720,56 @@ def many_rule_matches(spark, sf_dir):
     return detect.detect_single(telemetry(spark, sf_dir), rules).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@lru_cache(maxsize=4)
+def _loaded(spark: SparkSession, sf_dir: str, application: str) -> rules.RuleSet:
+    return rules.load_rules(spark, write_pack(spark, sf_dir))
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> rules.RuleSet:
+    """The rules of a directory with one file a page, loaded once per session."""
+    return _loaded(spark, sf_dir, spark.sparkContext.applicationId)
+
+
+@query
+def loaded_rules(spark, sf_dir):
+    """What a nested rule directory yields: rules with their source, and files with the reason they were refused."""
+    pack = loaded(spark, sf_dir)
+    kept = pack.to_dataframe(spark).select(
+        "path", "rule_id", "title", "rule_type", "severity_id", _csv("techniques").alias("techniques"), "source_url", "threshold", "window_ms", F.lit(None).cast("string").alias("reason")
+    )
+    return kept.unionByName(pack.refused_dataframe(spark), allowMissingColumns=True)
+
+
+@query
+def rule_import_tally(spark, sf_dir):
+    return rules.import_tally(loaded(spark, sf_dir), spark)
+
+
+@query
+def selected_rule_files(spark, sf_dir):
+    """The files that an import copies, verbatim, as the manifest beside them lists them."""
+    out = f"{write_pack(spark, sf_dir)}-selected"
+    rules.write_selection(spark, out.removesuffix("-selected"), out, "r1")
+    listed = spark.read.text(f"{out}/manifest").select(F.from_json("value", "release string, selected long, files array<string>").alias("m"))
+    files = listed.select("m.release", "m.selected", F.explode("m.files").alias("path"))
+    return files.join(spark.read.parquet(f"{out}/rules"), "path").select("release", "selected", "path", F.length("text").alias("length"))
+
+
+@query
+def loaded_rule_matches(spark, sf_dir):
+    """How often each loaded single-event rule fires; a rule's '-' also stands for a field that is absent."""
+    return detect.detect_single(telemetry(spark, sf_dir), loaded(spark, sf_dir).single).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def loaded_count_findings(spark, sf_dir):
+    """Findings of the loaded correlation rules that count four queries of a site within an hour."""
+    four = [r for r in loaded(spark, sf_dir).threshold if r.threshold == 4][:1]
+    found = detect.detect_threshold(telemetry(spark, sf_dir), four)
+    site = F.get(F.element_at("entities", F.lit("query.hostname")), F.lit(0))
+    return found.select(site.alias("site"), c("last_ms").alias("at_ms"), F.size("evidence").alias("events"))
+
+
 @query
 def rule_matches(spark, sf_dir):
     found = _single(spark, sf_dir)
