@@ -897,3 +897,14 @@ WHERE l.rule_type = 'single' AND CASE WHEN f.kind IN (0, 2) THEN t.query_hostnam
 GROUP BY l.rule_id""")
 sql("loaded_count_findings", TEL, _threshold("class_uid = 4003 AND query_hostname LIKE 'site%'", "query_hostname", "event_uid", 4, 3_600_000), recursive=True)("""
 SELECT g AS site, at_ms, CAST(count(*) AS INTEGER) AS events FROM ev WHERE rn <= 100 AND EXISTS (SELECT 1 FROM pages WHERE page_id % 6 = 4 AND page_id // 6 % 4 = 1) GROUP BY g, at_ms""")
+
+# ---------------------------------------------------------------------------------------------- answers as text
+sql("answer_statements", TEL)("""
+, a AS (SELECT event_id, 'f' || event_id AS name, k % 5 AS form FROM tel)
+SELECT event_id AS analysis_id, 0::INTEGER AS position, 'FACT' AS kind, name AS text, 'e1,' || name AS evidence FROM a WHERE form < 3
+UNION ALL SELECT event_id, 1, 'UNCERTAINTY', name || '?', 'e1,' || name || '?' FROM a WHERE form < 3
+UNION ALL SELECT event_id, n::INTEGER - 1, 'FACT', name || '-' || n, 'e1,' || name || '-' || n FROM a, range(1, 41) r(n) WHERE form = 4""")
+ORACLE["index_outcome"] = f"""WITH {TEL},{_COPIES}
+SELECT count(*) FILTER (k <> 13 AND time_ms >= 1705000000000) AS indexed,
+  CAST(sum(CASE WHEN k = 13 THEN 0 WHEN time_ms >= 1705000000000 THEN n - 1 ELSE n END) AS BIGINT) AS duplicates,
+  CAST(coalesce(sum(n) FILTER (k = 13), 0) AS BIGINT) AS failed FROM copies"""

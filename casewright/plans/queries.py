@@ -577,7 +577,8 @@ def new_events(spark, sf_dir):
 @query
 def index_outcome(spark, sf_dir):
     stored = telemetry(spark, sf_dir).filter(c("time_ms") < 1_705_000_000_000)
-    return sinks.index_outcome(_duplicated(spark, sf_dir), stored)
+    unstorable = c("unmapped")["k"] == "13"  # as if these had lost their time
+    return sinks.index_outcome(_duplicated(spark, sf_dir).withColumn("time", F.when(~unstorable, c("time"))), stored)
 
 
 @query
@@ -1531,6 +1532,26 @@ def _grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.ground_statements(_statements(spark, sf_dir), known_events, known_values)
 
 
+@query
+def answer_statements(spark, sf_dir):
+    """Statements read from answers: bare, behind a think block and in a fence, within prose, too many, and none."""
+    t = flat_telemetry(spark, sf_dir).select("event_id", "k")
+    one = lambda text: F.struct(F.lit("FACT").alias("kind"), text.alias("text"), F.array(F.lit("e1"), text).alias("evidence"))
+    name = F.concat(F.lit("f"), c("event_id").cast("string"))
+    facts = F.to_json(F.struct(F.array(one(name)).alias("facts"), F.array(one(F.concat(name, F.lit("?")))).alias("uncertainties")))
+    many = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(45)), lambda n: one(F.concat(name, F.lit("-"), n.cast("string")))).alias("statements")))
+    raw = (
+        F.when(c("k") % 5 == 0, facts)
+        .when(c("k") % 5 == 1, F.concat(F.lit('<think>not {"facts":[]} this</think>\n```json\n'), facts, F.lit("\n```")))
+        .when(c("k") % 5 == 2, F.concat(F.lit("Here it is: "), facts, F.lit(" as asked.")))
+        .when(c("k") % 5 == 3, F.lit("I cannot { say"))
+        .otherwise(many)
+    )
+    answers = t.select(c("event_id").alias("analysis_id"), F.lit("i").alias("incident_id"), raw.alias("raw"))
+    stated = grounding.answer_statements(grounding.parse_answers(answers))
+    return stated.select("analysis_id", "position", "kind", "text", _csv("evidence").alias("evidence"))
+
+
 @query
 def grounded_statements(spark, sf_dir):
     return _grounded(spark, sf_dir).select("analysis_id", "position", "kind", F.size("evidence").cast("long").alias("events"), "citations", "citations_valid", "reason")

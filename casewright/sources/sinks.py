@@ -36,9 +36,14 @@ def first_copies(events: DataFrame, key: Column | None = None) -> DataFrame:
     return ranked.filter(F.col("_rank") == 1).drop("_fp", "_rank")
 
 
+def _storable() -> Column:
+    """An event needs a fingerprint, which is its identity, and a time, which decides where it is stored."""
+    return F.col("sx.fingerprint").isNotNull() & F.col("time").isNotNull()
+
+
 def new_events(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """The batch's events the store does not hold yet; what is stored is never rewritten."""
-    unique = first_copies(batch)
+    """The batch's events the store does not hold yet and can hold; what is stored is never rewritten."""
+    unique = first_copies(batch.filter(_storable()))
     if stored is None:
         return unique
     # Content decides the date, so only the partitions the batch touches are compared.
@@ -60,18 +65,20 @@ def store_events(batch: DataFrame, path: str) -> None:
 
 
 def index_outcome(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """How many of a batch are new and how many duplicates, within it or of stored events."""
-    copies = batch.groupBy(F.col("sx.fingerprint").alias("fingerprint")).agg(F.count("*").alias("copies"))
+    """How many of a batch are new, how many duplicates, within it or of stored events, and how many cannot be stored."""
+    failed = batch.agg(F.count_if(~_storable()).alias("failed"))
+    copies = batch.filter(_storable()).groupBy(F.col("sx.fingerprint").alias("fingerprint")).agg(F.count("*").alias("copies"))
     if stored is not None:
         known = stored.select(F.col("sx.fingerprint").alias("fingerprint"), F.lit(1).alias("known")).distinct()
         copies = copies.join(known, "fingerprint", "left")
     else:
         copies = copies.withColumn("known", F.lit(None).cast("int"))
     fresh = F.col("known").isNull()
-    return copies.agg(
+    counted = copies.agg(
         F.count_if(fresh).alias("indexed"),
         F.coalesce(F.sum(F.col("copies") - F.when(fresh, 1).otherwise(0)), F.lit(0)).cast("long").alias("duplicates"),
     )
+    return counted.join(failed)  # one row each
 
 
 def retain(events: DataFrame, as_of: Column, days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:

@@ -253,4 +253,9 @@ def test_store_keeps_the_first_copy_only(spark, story_events, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == story_events.count()
     outcome = sinks.index_outcome(story_events.unionByName(story_events), stored).first()
-    assert tuple(outcome) == (0, 2 * story_events.count())
+    assert tuple(outcome) == (0, 2 * story_events.count(), 0)
+    lost = story_events.withColumn("time", F.when(F.col("class_uid") != 3002, F.col("time")))
+    failed = story_events.filter("class_uid = 3002").count()
+    assert failed and tuple(sinks.index_outcome(lost, None).first()) == (story_events.count() - failed, 0, failed)
+    sinks.store_events(lost, str(tmp_path / "some"))
+    assert spark.read.parquet(str(tmp_path / "some")).count() == story_events.count() - failed
