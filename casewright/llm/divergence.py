@@ -21,7 +21,8 @@ TILE = 64  # sources of a tile; such a group holds two tiles at most
 EVERYWHERE = ""
 #: Letters A-Z as a-z, all other ASCII but a-z as a space; bytes of other characters stay.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-HELD_ENTRIES = 2_000_000  # entries of vectors that a task holds before it sums them, some 40 MB
+HELD_ENTRIES = 3_000_000  # entries of vectors that a task holds before it sums them, some 70 MB
+BUCKET_PLACES = 1 << 15  # places of the vocabulary that are summed together
 RESULT = "source string, part string, item string, value long, rank int"
 LANGUAGE = -1  # in place of the number of a source
 COMPARED = pa.schema([("no", pa.int32()), ("item_no", pa.int32()), ("place", pa.int32()), ("value", pa.int64())])
@@ -70,34 +71,96 @@ def _term_lists(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(f"{schema}, part string").parquet(path)
 
 
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of sparse vectors, summed by source and place, some millions of entries at a time."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    names: dict[str, int] = {}
-    size = 0
-
-    def sums() -> pa.RecordBatch:
-        source, place, count = (np.concatenate(parts) for parts in zip(*held, strict=True))
-        order = np.lexsort((place, source))
-        source, place, count = source[order], place[order], count[order]
-        starts = np.flatnonzero(np.concatenate([[True], (source[1:] != source[:-1]) | (place[1:] != place[:-1])]))
-        found = pa.DictionaryArray.from_arrays(pa.array(source[starts], pa.int32()), pa.array(list(names), pa.string()))
-        columns = [found.cast(pa.string()), pa.array(place[starts]), pa.array(np.add.reduceat(count, starts))]
-        return pa.RecordBatch.from_arrays(columns, names=["source", "place", "count"])
-
-    for batch in batches:
-        lists = batch.column("places")
-        each = lists.value_lengths().to_numpy()
-        number = np.array([names.setdefault(name, len(names)) for name in batch.column("source").to_pylist()], dtype=np.int32)
-        place = lists.flatten().to_numpy(zero_copy_only=False)
-        count = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        held.append((np.repeat(number, each), place, count))
-        size += len(place)
-        if size > HELD_ENTRIES:
-            yield sums()
-            held, size = [], 0
-    if size:
-        yield sums()
+class _Sums:
+    """Counts by source and place, summed whenever ``HELD_ENTRIES`` more are held."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.summed = 0
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        return np.array([self.names.setdefault(name, len(self.names)) for name in names], dtype=np.int64)
+
+    def add(self, source: np.ndarray, place: np.ndarray, count: np.ndarray) -> None:
+        self.parts.append((source, place, count))
+        self.held += len(place)
+        if self.held > self.summed + HELD_ENTRIES:
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        source, place, count = (np.concatenate(part) for part in zip(*self.parts, strict=True))
+        key = source * LARGEST_VOCABULARY + place
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        totals = np.add.reduceat(count[order], starts) if len(key) else count
+        self.parts = [(key[starts] // LARGEST_VOCABULARY, key[starts] % LARGEST_VOCABULARY, totals)]
+        self.held = self.summed = len(starts)
+        return self.parts[0]
+
+
+def _summed(vectors: DataFrame, terms: int) -> DataFrame:
+    """``source, place, count``: the sparse vectors ``source, places, counts``, summed by source.
+
+    A task sums the vectors it reads and deals the sums out by place, in one row for each bucket of places; a bucket
+    is then summed by one task, bucket by bucket.
+    """
+    buckets = max(32, -(-terms // BUCKET_PLACES))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+
+        def dealt() -> pa.RecordBatch:
+            source, place, count = sums.sums()
+            bucket = place % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(part[order].astype(kind)))
+                for part, kind in ((source, np.int32), (place, np.int32), (count, np.int64))
+            ]
+            names = pa.array([list(sums.names)] * buckets, pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(buckets, dtype=np.int32)), names, *lists], names=["bucket", "names", "source", "place", "count"]
+            )
+
+        for batch in batches:
+            each = batch.column("places").value_lengths().to_numpy()
+            place = batch.column("places").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            count = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sums.add(np.repeat(sums.numbers(batch.column("source").to_pylist()), each), place, count)
+            if sums.summed > HELD_ENTRIES:
+                yield dealt()
+                sums = _Sums()
+        if sums.held:
+            yield dealt()
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(sums: _Sums) -> pa.RecordBatch:
+            source, place, count = sums.sums()
+            found = pa.DictionaryArray.from_arrays(pa.array(source.astype(np.int32)), pa.array(list(sums.names), pa.string()))
+            columns = [found.cast(pa.string()), pa.array(place.astype(np.int32)), pa.array(count)]
+            return pa.RecordBatch.from_arrays(columns, names=["source", "place", "count"])
+
+        own, sums = None, _Sums()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket = batch.column("bucket")[row].as_py()
+                if bucket != own and sums.parts:
+                    yield done(sums)
+                    sums = _Sums()
+                own = bucket
+                number = sums.numbers(batch.column("names")[row].as_py())
+                source, place, count = (batch.column(c)[row].values.to_numpy() for c in ("source", "place", "count"))
+                sums.add(number[source], place.astype(np.int64), count)
+        if sums.parts:
+            yield done(sums)
+
+    rows = vectors.mapInArrow(deal, "bucket int, names array<string>, source array<int>, place array<int>, count array<long>")
+    met = rows.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(gather, "source string, place int, count long")
 
 
 def _count(part: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
@@ -108,8 +171,7 @@ def _count(part: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     mark = model.transform(spark.createDataFrame([([EVERYWHERE],)], "terms array<string>")).first().counts
     raw = F.unwrap_udt("counts")
     vectors = model.transform(part.select("source", "terms")).select("source", raw["indices"].alias("places"), raw["values"].alias("counts"))
-    partial = vectors.mapInArrow(_summed, "source string, place int, count long").filter(F.col("place") != int(mark.indices[0]))
-    counts = written(partial.groupBy("source", "place").agg(F.sum("count").alias("count")), "term-counts")
+    counts = written(_summed(vectors, mark.size).filter(F.col("place") != int(mark.indices[0])), "term-counts")
     # the vocabulary as a table: as the model writes it, place by place
     path = shared_folder(spark, "vocabulary")
     model.write().save(path)

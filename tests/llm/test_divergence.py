@@ -1,15 +1,18 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-import pyarrow as pa
 
 from casewright.llm import divergence
 
+
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -79,3 +82,17 @@ def test_odd_tables(spark, docs, no_docs, rows):
     assert divergence.audit_sources(no_docs).collect() == []
     found = sorted(map(tuple, divergence.audit_sources(docs).collect()))
     assert found == brute([(r[2], r[3], r[1]) for r in rows])
+
+
+def test_sums_are_exact_however_often_they_are_drawn_together(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_ENTRIES", 7)
+    draw, sums, want = random.Random(1), divergence._Sums(), Counter()
+    for _ in range(40):
+        rows = [(draw.choice("abc"), draw.randrange(9), draw.randrange(5)) for _ in range(draw.randrange(6))]
+        names = sums.numbers([r[0] for r in rows])
+        sums.add(names, np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64))
+        for name, place, count in rows:
+            want[name, place] += count
+    names = {number: name for name, number in sums.names.items()}
+    found = {(names[s], p): c for s, p, c in zip(*(part.tolist() for part in sums.sums()), strict=True)}
+    assert found == dict(want)
