@@ -167,7 +167,8 @@ def _count(part: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     """``source, place, count`` over the kept terms of a language, ``place, term``, and the number of kept terms."""
     spark = part.sparkSession
     counter = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(least), vocabSize=LARGEST_VOCABULARY)
-    model = counter.fit(part)
+    # a vocabulary depends on which documents hold a term, not on how often
+    model = counter.fit(part.select(F.array_distinct("terms").alias("terms")))
     mark = model.transform(spark.createDataFrame([([EVERYWHERE],)], "terms array<string>")).first().counts
     raw = F.unwrap_udt("counts")
     vectors = model.transform(part.select("source", "terms")).select("source", raw["indices"].alias("places"), raw["values"].alias("counts"))
