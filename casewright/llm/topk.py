@@ -14,6 +14,8 @@ from casewright.session import cut_lineage
 
 BLOCK = 32_768  # candidates of an index block, at most
 QUERIES = 256  # queries of a query block, at most
+TASKS_A_CORE = 4  # tasks that the search has for each core, at least, where there are query blocks enough
+MOST_TASKS = 20_000
 INDEX = pa.schema(
     [("block", pa.int64()), ("ids", pa.binary()), ("low", pa.binary()), ("slices", pa.binary()), ("width", pa.int32())]
 )
@@ -34,34 +36,46 @@ def slice_rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return low, slices, width
 
 
-def weighted_sum(slices: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+def both_ways(slices: np.ndarray) -> np.ndarray:
+    """All bitmaps of the slices, dimension by dimension, and then the complements of all."""
+    flat = slices.reshape(slices.shape[0] * slices.shape[1], slices.shape[2])
+    return np.concatenate([flat, ~flat])
+
+
+def weighted_sum(slices: np.ndarray, weights: np.ndarray, bitmaps: np.ndarray | None = None) -> list[np.ndarray]:
     """Slices, least first, of the sum over dimensions of |weight| times value, complemented where a weight is negative.
 
     Every slice of a dimension counts 2 ** (bit + j) for each bit j of the weight. Carry-save adders turn three
-    bitmaps of one place into one of that place and one of the next until a single bitmap is left at each place.
+    bitmaps of one place into one of that place and one of the next until a single bitmap is left at each place; all
+    adders of a place that can work at once are one operation. ``bitmaps`` is ``both_ways`` of the slices.
     """
-    places: dict[int, list[np.ndarray]] = {}
-    for dimension, weight in enumerate(weights.tolist()):
-        size = abs(weight)
-        for bit, bitmap in enumerate(slices[dimension] if weight > 0 else ~slices[dimension] if weight < 0 else ()):
-            for shift in range(size.bit_length()):
-                if size >> shift & 1:
-                    places.setdefault(bit + shift, []).append(bitmap)
-    total, place = [], 0
-    while places and place <= max(places):
-        stack = places.pop(place, [])
-        carries = places.setdefault(place + 1, []) if len(stack) > 1 else []
+    dims, width, words = slices.shape
+    bitmaps = both_ways(slices) if bitmaps is None else bitmaps
+    sizes = [abs(w) for w in weights.tolist()]
+    starts = np.arange(dims) * width + np.where(weights < 0, dims * width, 0)
+    taken = [starts[[s >> shift & 1 == 1 for s in sizes]] for shift in range(max(sizes, default=0).bit_length())]
+    total: list[np.ndarray] = []
+    carried: list[np.ndarray] = []
+    while carried or len(total) < width + len(taken) - 1:
+        place = len(total)
+        rows = [start + place - shift for shift, start in enumerate(taken) if 0 <= place - shift < width]
+        stack = np.concatenate([bitmaps[np.concatenate(rows)] if rows else bitmaps[:0], *carried])
+        carried = []
         while len(stack) > 2:
-            a, b, c = stack.pop(), stack.pop(), stack.pop()
-            half = a ^ b
-            stack.append(half ^ c)
-            carries.append((a & b) | (half & c))
+            third, left = divmod(len(stack), 3)
+            a, b, c = stack[:third], stack[third : 2 * third], stack[2 * third : 3 * third]
+            carry = a & b
+            a ^= b
+            np.bitwise_and(a, c, out=b)
+            carry |= b
+            a ^= c
+            stack[third : third + left] = stack[3 * third :]
+            stack = stack[: third + left]
+            carried.append(carry)
         if len(stack) == 2:
-            a, b = stack
-            stack = [a ^ b]
-            carries.append(a & b)
-        total.append(stack[0] if stack else np.zeros(slices.shape[2], dtype=np.uint64))
-        place += 1
+            carried.append(stack[:1] & stack[1:])
+            stack = stack[:1] ^ stack[1:]
+        total.append(stack[0] if len(stack) else np.zeros(words, dtype=np.uint64))
     return total
 
 
@@ -69,6 +83,11 @@ def _count(bitmap: np.ndarray) -> int:
     return int(np.bitwise_count(bitmap).sum())
 
 
+def _beyond(rough: np.ndarray, scores: np.ndarray) -> bool:
+    """Whether a score wrapped around: then it lies far from its rough value."""
+    return bool((np.abs(rough - scores.astype(np.float64)) > 2.0**62).any())
+
+
 def _positions(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
@@ -93,11 +112,15 @@ def top_rows(total: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray:
 
 
 def _quantised(embedding: Column, scale: int) -> Column:
-    """floor(scale * x) of each component, or null for a vector that takes no part."""
-    usable = F.forall(
-        embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & (F.abs(x) < float(2**24))
-    )
-    return F.when(embedding.isNotNull() & F.coalesce(usable, F.lit(False)), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of each component, or null for a vector that takes no part. One beyond a long is an error."""
+    usable = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        beyond = F.raise_error(F.lit("a component times the scale is beyond a long")).cast("long")
+        return F.when(F.abs(scaled) < float(2**63), F.floor(scaled)).otherwise(beyond)
+
+    return F.when(embedding.isNotNull() & F.coalesce(usable, F.lit(False)), F.transform(embedding, whole))
 
 
 def _matrix(batch: pa.RecordBatch, rows: np.ndarray, dims: int) -> np.ndarray:
@@ -156,10 +179,12 @@ def top_k(
 
     Components become floor(scale * x). Rows are indexed where they are read, in blocks; blocks of queries meet every
     index block by an equality join on its lane, so neither side is collected or broadcast, and each pair of blocks
-    gives ``k`` rows a query at most. The ranks of all blocks' rows are exact scores.
+    gives ``k`` rows a query at most. The ranks of all blocks' rows are exact scores. Rows are dealt into full blocks
+    first, however many small files they come from: a query costs the same operations for a block of any size.
 
-    Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part, nor do
-    components of 2 ** 24 or more; vectors of different lengths do not meet. All rows that share the query's id are
+    Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part. Components of
+    any size do; a component or a score among the result that does not fit a long stops the query. Vectors of
+    different lengths do not meet. All rows that share the query's id are
     its own; a query row that repeats id and vector counts once, other repeated rows each. Rows with a null id take no
     part. An empty table gives an empty result; other columns are ignored.
     """
@@ -167,8 +192,9 @@ def top_k(
         vectors.select(F.col(id_col).cast("long").alias("id"), _quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
         .filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     )
-    index = cut_lineage(build_index(usable.select("id", "v")))
-    queries = usable.filter("q").select("id", "v").distinct()
+    full = -(-vectors.count() // BLOCK) or 1
+    index = cut_lineage(build_index(usable.select("id", "v").repartition(full)))
+    queries = usable.filter("q").select("id", "v").distinct().coalesce(full)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries of one length, up to ``QUERIES`` in a row."""
@@ -181,11 +207,17 @@ def top_k(
                     )
 
     asked = cut_lineage(queries.mapInArrow(blocks, "q_ids binary, q_data binary"))
-    # every query block goes to every lane, every index block to one: the stated queries against all rows, in blocks
+    # Every query block goes to every lane, every index block to one: the stated queries against all rows, in blocks.
+    # Few lanes are copied so that all cores have work; the query blocks are dealt over the copies.
     lanes = max(1, index.count())
-    sent = asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    copies = -(-TASKS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism // lanes)
+    tasks = min(lanes * copies, MOST_TASKS)
+    each_lane = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))
+    sent = asked.withColumn("copy", F.pmod(F.xxhash64("q_ids"), F.lit(copies)).cast("int")).withColumn("lane", each_lane)
     kept = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    pairs = sent.join(kept, "lane").select("ids", "low", "slices", "width", "q_ids", "q_data")
+    kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    met = sent.repartition(tasks, "lane", "copy").join(kept.repartition(tasks, "lane", "copy"), ["lane", "copy"])
+    pairs = met.select("ids", "low", "slices", "width", "q_ids", "q_data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,18 +238,27 @@ def _search_block(row: dict, k: int) -> Iterator[pa.RecordBatch]:
         return
     slices = np.frombuffer(row["slices"], np.uint64).reshape(dims, width, -(-len(ids) // 64))
     valid = np.packbits(np.arange(-(-len(ids) // 64) * 64) < len(ids), bitorder="little").view("<u8")
+    bitmaps = both_ways(slices)
     found: list[np.ndarray] = []
     for query, weights in zip(q_ids, asked, strict=True):
         mine = valid.copy()
         own = np.searchsorted(ids, [query, query + 1])
         for place in range(*own.tolist()):
             mine[place >> 6] &= ~np.uint64(1 << (place & 63))
-        total = weighted_sum(slices, weights)
+        total = weighted_sum(slices, weights, bitmaps)
         rows = top_rows(total, mine, k)
         # what the slices leave out: least values, and the complements of negative weights
-        scores = np.full(len(rows), int(weights @ low + weights[weights < 0].sum() * ((1 << width) - 1)))
+        rest = sum(w * v for w, v in zip(weights.tolist(), low.tolist(), strict=True))
+        rest += sum(w for w in weights.tolist() if w < 0) * ((1 << width) - 1)
+        scores = np.full(len(rows), (rest + 2**63) % 2**64 - 2**63, dtype=np.int64)
+        rough = np.full(len(rows), float(rest))
         for place, bitmap in enumerate(total):
-            scores += ((bitmap[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << place
+            ones = (bitmap[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+            rough += ones * 2.0**place
+            if place < 64:  # sums wrap around; what fits a long comes out right
+                scores += (ones << np.uint64(place)).view(np.int64)
+        if (np.abs(rough) > 2**62).any() and _beyond(rough, scores):
+            raise ValueError("an inner product is beyond a long")
         found.append(np.stack([np.full(len(rows), query), ids[rows], scores]))
     if found:
         columns = np.concatenate(found, axis=1)

@@ -48,6 +48,27 @@ def test_edge_cases(spark):
     assert search(spark, rows) == sorted(brute(rows))
 
 
+def test_components_of_any_size(spark):
+    rows = [(0, [3e7, -2.0]), (1, [2.0e7, 5.0]), (2, [-3e7, 1.0]), (3, [0.5, 2.5e7]), (20, [0.25, 1.0]), (4, [1e15, 1.0])]
+    assert search(spark, rows[:5]) == sorted(brute(rows[:5]))
+    assert search(spark, rows[4:]) == sorted(brute(rows[4:]))
+
+
+@pytest.mark.parametrize("rows", [[(0, [1e30]), (1, [1.0])], [(0, [1e9]), (1, [1e9])], [(0, [-1e9, 1e9]), (1, [1e9, -1e9])]])
+def test_what_does_not_fit_a_long_is_an_error(spark, rows):
+    with pytest.raises(Exception, match="beyond a long"):
+        search(spark, rows)
+
+
+def test_clashing_names_and_a_very_long_vector(spark):
+    rows = [(n, [(n * 7 + d) % 11 / 8 - 0.5 for d in range(3000)]) for n in range(0, 60, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = df.selectExpr("*", "1 AS rank", "2 AS id", "3 AS q", "4 AS v", "5 AS block", "6 AS lane", "7 AS query_id")
+    found = topk.top_k(df, F.col("vec_id") % 20 == 0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute(rows))
+
+
 def test_empty_table(spark):
     assert search(spark, []) == []
     assert search(spark, [(1, [1.0])]) == []
