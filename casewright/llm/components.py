@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.session import cut_lineage
+from casewright.llm.common import written
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    return written(rows, "components")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,14 +19,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     of them. At least the neighbours of the nodes that stay vanish, so edges die out in about log n rounds, for long
     chains too. Neighbours are combined before the shuffle; no neighbourhood is gathered anywhere. Self-loops and
     repeated edges do no harm; without edges the result is empty.
+
+    Rounds are cut by written tables: with checkpoints, what Spark infers of a column passes on, and planning takes
+    five times as long from round to round.
     """
-    left = cut_lineage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = _cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots, turn = None, 0
     while not left.isEmpty():
         order = lambda node: F.xxhash64(F.lit(turn), node)  # noqa: B023, E731  used within the round
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min_by("b", order(F.col("b"))).alias("_first"))
-        parents = cut_lineage(
+        parents = _cut(
             near.select(
                 F.col("a").alias("_node"),
                 F.when(order(F.col("_first")) < order(F.col("a")), F.col("_first")).otherwise(F.col("a")).alias("_to"),
@@ -30,10 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         known = parents.select(F.col("_node").alias("node"), F.col("_node").alias("root")) if roots is None else roots
         moved = known.join(parents, F.col("root") == F.col("_node"), "left")
-        roots = cut_lineage(moved.select("node", F.coalesce("_to", "root").alias("root")))
+        roots = _cut(moved.select("node", F.coalesce("_to", "root").alias("root")))
         ends = left.join(parents, F.col("a") == F.col("_node")).select(F.col("_to").alias("a"), "b")
         ends = ends.join(parents, F.col("b") == F.col("_node")).select("a", F.col("_to").alias("b"))
-        left = cut_lineage(
+        left = _cut(
             ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
         turn += 1
