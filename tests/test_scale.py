@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import pickle
 import re
 
-from casewright.operators import grounding
+from pyspark.sql import functions as F
+
+from casewright.operators import grounding, rules
+from casewright.operators.detect import detect_single
+from casewright.plans.queries import QUERIES
+from casewright.schema import conform
 
 
 def test_statements_are_never_broadcast(spark):
@@ -16,3 +23,54 @@ def test_statements_are_never_broadcast(spark):
     assert [tuple(r) for r in claims.collect()] == [("s1", "i", "ip:10.0.0.1", "logged on to", "host:ws-1", True)]
     plan = grounding.attribution_claims(statements, names, edges)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"BroadcastExchange", plan)) == 1
+
+
+def _rule(rule_id, **detection):
+    return {"id": rule_id, "title": "t", "level": "low", "logsource": {"category": "process_creation"}, "detection": {"s": detection, "condition": "s"}}
+
+
+def test_rules_are_compiled_without_a_column_so_that_tasks_can(spark):
+    compiled = rules.compile_rule(_rule("a", **{"CommandLine|contains": ["x", 1, True, None]}))
+    again = pickle.loads(pickle.dumps(compiled))
+    assert again == compiled and str(again.predicate) == str(compiled.predicate)
+
+
+def test_a_directory_is_compiled_by_tasks_with_ids_and_counted_rules_in_order(spark, tmp_path):
+    pack = tmp_path / "pack"
+    (pack / "theirs").mkdir(parents=True)
+    base = _rule("base", CommandLine="x") | {"name": "counted"}
+    count = {"id": "n", "title": "", "level": "low", "correlation": {"type": "event_count", "rules": ["counted"], "group-by": "User", "timespan": "1h", "condition": {"gte": 2}}}
+    (pack / "a.json").write_text("\n---\n".join(map(json.dumps, [_rule("one", CommandLine="y"), count | {"id": "one"}, count, count])))
+    (pack / "theirs" / "a.json").write_text("\n---\n".join(map(json.dumps, [_rule("one", CommandLine="z"), base, _rule("bad", Nope=1)])))
+    (pack / "theirs" / "MANIFEST.json").write_text(json.dumps({"rule_base_url": "https://r/", "files": {"a.json": "a.yml"}}))
+    (pack / "broken.yml").write_text("a: [")
+    found = rules.load_rules(spark, str(pack))
+    assert [(r.id, r.path, r.threshold, r.source_url) for r in found.rules] == [("one", "a.json#1", 0, None), ("n", "a.json#3", 2, None)]
+    assert found.rules[1].title == "t", "a correlation without a title has that of the rule it counts"
+    assert [p for p, _ in found.refused] == ["broken.yml", "theirs/a.json#1", "theirs/a.json#3", "a.json#2", "a.json#4"]
+    assert [r for _, r in found.refused][1::2] == ["duplicate rule id one", "duplicate rule id one"]
+    assert found.chosen("threshold = 2", 1)[0].id == "n"
+
+
+def test_a_pack_has_one_file_a_page(spark, tmp_path):
+    rows = [(n,) for n in [*range(24), 3, None]]
+    spark.createDataFrame(rows, "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    out = QUERIES["loaded_rules"](spark, str(tmp_path)).collect()
+    paths = {r.path for r in out}
+    assert len(out) == len(paths) == 28 and {"own/d0/r0.json", "community/win/sub/r2.json", "community/count/r4.json#2"} <= paths
+    assert {r.source_url for r in out} == {None, "https://rules.example/v1/w/2.yml", "https://rules.example/v1/w/14.yml"}
+    assert {r.rule_id for r in out if r.path in ("own/r9.json", "community/win/sub/r8.json")} == {"r8", None}
+
+
+def test_rules_with_one_test_share_a_bit(spark):
+    events = conform(
+        spark.createDataFrame([("u0", "x"), ("u1", "y"), ("u2", "z")], "uid string, cmd string").select(
+            F.lit(1007).alias("class_uid"), F.lit(1).alias("activity_id"), F.lit(0).cast("long").alias("time_ms"),
+            F.struct(F.col("cmd").alias("cmd_line")).alias("process"),
+            F.struct(F.lit("o").alias("org_id"), F.col("uid").alias("event_uid")).alias("sx"),
+        )
+    )
+    many = [rules.compile_rule(_rule(f"{c}{n}", CommandLine=c)) for n in range(40) for c in "xy"]
+    found = detect_single(events, many)
+    assert "_mask_1" not in found._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.evidence[0], r.rule_id) for r in found.collect()) == sorted([("u0", f"x{n}") for n in range(40)] + [("u1", f"y{n}") for n in range(40)])
