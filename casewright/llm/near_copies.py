@@ -1,4 +1,8 @@
-"""Near copies by exact similarity of word shingles; MinHash bands find the pairs that are compared (Broder, 1997)."""
+"""Near copies by exact similarity of word shingles.
+
+SimHash fingerprints searched by the general pigeonhole principle name the first pairs, MinHash bands (Broder, 1997)
+those whose fingerprints lie further apart.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from casewright.llm.common import mix, steps, whole, words_of, written
 from casewright.llm.components import connected_components
 from casewright.llm.language_model import word_hashes
+from casewright.llm.simhash import fingerprints_of, near_links
 from casewright.session import cut_lineage
 
 #: Two sets that share 0.8 of their shingles miss each other in all bands at 3 in a million: (1 - 0.8 ** 5) ** 32.
@@ -79,7 +84,7 @@ def parities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, body, set_id, size, bands, sketch`` of every row of ``doc_id, text, body``."""
+    """``doc_id, body, set_id, size, fp, bands, sketch`` of every row of ``doc_id, text, body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -91,11 +96,12 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
             )
             odd = parities(hashes, sizes).view(np.int64)
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(odd.ravel()))
-            columns = [batch.column("doc_id"), batch.column("body"), pa.array(ids.view(np.int64)), pa.array(sizes.astype(np.int64)), bands, sketch]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "set_id", "size", "bands", "sketch"])
+            fps = pa.array(fingerprints_of(batch.column("text"), size))
+            columns = [batch.column("doc_id"), batch.column("body"), pa.array(ids.view(np.int64)), pa.array(sizes.astype(np.int64)), fps, bands, sketch]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "set_id", "size", "fp", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, body string, set_id long, size long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, body string, set_id long, size long, fp long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -154,6 +160,21 @@ def _may_be_near(least: float) -> Column:
     return near_sizes & (differ <= both * F.lit((1 - least) / (1 + least)) + 1e-6)
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``set_id, fp`` that connect all sets whose fingerprints are equal or differ in two bits or fewer.
+
+    Of sets with one fingerprint each meets the smallest, so no group is expanded into its pairs.
+    """
+    low = cut_lineage(sets.groupBy("fp").agg(F.min("set_id").alias("low")))
+    equal = sets.join(low.select(_same(F.col("fp")).alias("_fp"), "low"), F.col("fp") == F.col("_fp")).filter("set_id <> low")
+    ends = [low.select(_same(F.col("fp")).alias(side), F.col("low").alias(f"{side}_low")) for side in "ab"]
+    close = near_links(low.select("fp")).join(ends[0], "a").join(ends[1], "b").select("a_low", "b_low")
+    pairs = equal.select(F.col("low").alias("a"), F.col("set_id").alias("b")).unionByName(
+        close.select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
+    )
+    return cut_lineage(pairs.distinct())
+
+
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of ``shared`` with ``root``, the same for sets that links connect, where their key has several roots.
 
@@ -174,8 +195,8 @@ def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
 def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """``doc_id, body`` (MD5 of the text): one of each group of texts that links of near copies connect.
 
-    Texts link when their sets of shingles have a Jaccard similarity of ``least`` or more. Pairs that share a key are
-    compared, unless links found before already connect them: that changes no group. In keys of more than ``FULL_KEY``
+    Texts link when their sets of shingles have a Jaccard similarity of ``least`` or more. Pairs whose SimHash of the
+    same shingles is within two bits are compared first. Pairs that share a key of MinHash bands are compared, unless links found before already connect them: that changes no group. In keys of more than ``FULL_KEY``
     sets a few sets are compared with all others first, which connects the many copies of one text, and at last all
     that are not of the key's largest group. Sizes and parities tell most pairs apart before any shingles move. Of a
     group the smallest id stays, a null id last. Null texts count as empty, texts without a word are equal, and of ids
@@ -183,16 +204,18 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     body = F.md5(whole(text_col).cast("binary")).alias("body")
     chosen = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), body)
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("low")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "fp")).alias("low")
     distinct = _described(chosen, size).groupBy("set_id").agg(low, F.first(F.struct("size", "bands", "sketch")).alias("all"))
-    distinct = cut_lineage(distinct.select("set_id", "low.none", "low.doc_id", "low.body", "all.size", "all.bands", "all.sketch"))
+    distinct = cut_lineage(distinct.select("set_id", "low.none", "low.doc_id", "low.body", "low.fp", "all.size", "all.bands", "all.sketch"))
+    close = fingerprint_pairs(distinct.filter("size > 0").select("set_id", "fp"))
 
     probed = distinct.select("set_id", "size", F.posexplode("bands").alias("kind", "key"))
     sizes = probed.groupBy("kind", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = sizes.select(_same(F.col("kind")).alias("kind"), _same(F.col("key")).alias("key"), "n")
     shared = probed.join(sizes, ["kind", "key"]).join(distinct.select(F.col("set_id").alias("_set"), "sketch"), F.col("set_id") == F.col("_set"))
     shared = cut_lineage(shared.drop("_set"))
-    named = distinct.join(shared.select("set_id").distinct(), "set_id", "left_semi").select(
+    met = shared.select("set_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
+    named = distinct.join(met, "set_id", "left_semi").select(
         F.col("doc_id").alias("_id"), F.col("body").alias("_body")
     )
     asked = chosen.join(named, (F.col("body") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -204,9 +227,14 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
         keys = [_same(F.col("kind")).alias("kind"), _same(F.col("key")).alias("key")]
         return rows.select(*keys, *more, *[F.col(c).alias(f"{name}_{c}") for c in ("set_id", "size", "sketch")])
 
+    told = distinct.select("set_id", "size", "sketch")
+    ends = [told.select(*[F.col(c).alias(f"{name}_{c}") for c in told.columns]) for name in "ab"]
+    close = close.join(ends[0], F.col("a") == F.col("a_set_id")).join(ends[1], F.col("b") == F.col("b_set_id")).filter(near)
+
     some = shared.filter(F.col("n") <= FULL_KEY)
     pairs = side(some, "a").join(side(some, "b"), ["kind", "key"]).filter((F.col("a_set_id") < F.col("b_set_id")) & near)
-    links = _verified(pairs.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")), sets, least)
+    pairs = pairs.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
+    links = _verified(close.select("a", "b").unionByName(pairs), sets, least)
 
     full = shared.filter(F.col("n") > FULL_KEY).drop("n")
     place = F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.xxhash64("set_id"), "set_id"))

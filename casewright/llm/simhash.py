@@ -48,14 +48,19 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > last).tobytes(), "big")
 
 
+def fingerprints_of(texts: pa.Array, size: int = 3) -> np.ndarray:
+    """The SimHash of each text as a signed long."""
+    lowered = pc.ascii_lower(texts).cast(pa.binary()).to_pylist()
+    return np.array([fingerprint(t, size) for t in lowered], dtype=np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """``doc_id, fp`` of every row, the fingerprint as a signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP_BYTES):
-            texts = pc.ascii_lower(batch.column("text")).cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            found = pa.array(fingerprints_of(batch.column("text"), size))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "fp"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()

@@ -61,7 +61,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id; see ``near_copies``.
 
-    Near copies share 0.8 or more of their shingles of five words.
+    Near copies share 0.8 or more of their shingles of five words. SimHash, searched by the general pigeonhole
+    principle, names the pairs within two bits, MinHash bands those beyond; an exact check decides on all.
     """
     kept = near_copies.first_of_near_copies(docs).select(F.col("doc_id").alias("_keep"), F.col("body").alias("_keep_body"))
     body = F.md5(whole(docs["text"]).cast("binary"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline as pipeline
-from casewright.llm import near_copies
+from casewright.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +69,22 @@ def test_sets_equal_brute_force():
     want = [{tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} if w else set() for w in words]
     assert sizes.tolist() == [len(s) for s in want]
     assert len(np.unique(hashes)) == len(set().union(*want))
+
+
+def test_fingerprints_connect_sets_within_two_bits(spark):
+    draw = random.Random(7)
+    fps = [draw.getrandbits(63) for _ in range(30)]
+    rows = [(n, fp) for n, fp in enumerate(fps)] + [(100 + n, fp ^ 1 << n ^ 1 << 40) for n, fp in enumerate(fps)]
+    rows += [(200 + n, fps[0]) for n in range(40)] + [(300, fps[1] ^ 7 << 50)]
+    found = {(r.a, r.b) for r in near_copies.fingerprint_pairs(spark.createDataFrame(rows, "set_id long, fp long")).collect()}
+    assert found == {(n, 100 + n) for n in range(30)} | {(0, 200 + n) for n in range(40)}
+
+
+def test_the_stage_searches_fingerprints_of_its_shingles(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_copies, "near_links", lambda fps: asked.append(fps.count()) or simhash.near_links(fps))
+    draw = random.Random(8)
+    base, other = text(draw), text(draw)
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, 5, draw))), (3, " ".join(other)), (4, "")]
+    assert [n for n, _ in kept(spark, rows)] == [1, 3, 4]
+    assert asked and asked[0] >= 2
