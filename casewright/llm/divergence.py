@@ -67,7 +67,8 @@ def _term_lists(docs: DataFrame) -> DataFrame:
     schema = "lang string, source string, terms array<string>"
     listed = docs.mapInArrow(run, schema).withColumn("part", F.concat(F.lit("x"), F.hex(F.encode("lang", "utf-8"))))
     path = shared_folder(docs.sparkSession, "terms")
-    listed.write.option("compression", "lz4").partitionBy("part").parquet(path)
+    # a dictionary of terms costs more to build than it saves
+    listed.write.options(**{"compression": "lz4", "parquet.enable.dictionary": "false"}).partitionBy("part").parquet(path)
     return docs.sparkSession.read.schema(f"{schema}, part string").parquet(path)
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -96,3 +97,12 @@ def test_sums_are_exact_however_often_they_are_drawn_together(monkeypatch):
     names = {number: name for name, number in sums.names.items()}
     found = {(names[s], p): c for s, p, c in zip(*(part.tolist() for part in sums.sums()), strict=True)}
     assert found == dict(want)
+
+
+def test_terms_are_written_plain(spark):
+    """Building dictionaries of terms took more of a task than writing them does."""
+    docs = spark.createDataFrame([("en", "s", "a b c a b c")], "lang string, source string, text string")
+    (file,) = divergence._term_lists(docs).inputFiles()
+    group = pq.ParquetFile(file.removeprefix("file:").replace("///", "/")).metadata.row_group(0)
+    terms = next(group.column(n) for n in range(group.num_columns) if group.column(n).path_in_schema.startswith("terms"))
+    assert not any("DICTIONARY" in e for e in terms.encodings)
