@@ -12,6 +12,7 @@ from casewright.operators import grounding, rules
 from casewright.operators.detect import detect_single
 from casewright.plans.queries import QUERIES
 from casewright.schema import conform
+from casewright.sources import records
 
 
 def test_statements_are_never_broadcast(spark):
@@ -74,3 +75,16 @@ def test_rules_with_one_test_share_a_bit(spark):
     found = detect_single(events, many)
     assert "_mask_1" not in found._jdf.queryExecution().analyzed().toString()
     assert sorted((r.evidence[0], r.rule_id) for r in found.collect()) == sorted([("u0", f"x{n}") for n in range(40)] + [("u1", f"y{n}") for n in range(40)])
+
+
+def test_an_xml_event_is_decoded_once(spark):
+    """However many of its fields are read, and whatever the number of its data."""
+    data = "".join(f"<Data Name='{name}'>{value}</Data>" for name, value in (("a", " 1"), ("b", "2"), ("a", "3 "), ("", "4")))
+    event = f"<Event><System><EventID>7</EventID><Channel>C</Channel></System><EventData>{data}</EventData></Event>"
+    texts = spark.createDataFrame([(1, event * 2), (2, "<Event><Nothing/></Event>")], "id int, value string")
+    found = records.xml_events(texts).select(
+        "id", "position", "channel", F.col("record.EventID").alias("code"), F.col("record.EventData").alias("data"), F.col("problem.reason").alias("reason")
+    )
+    good = ("C", "7", {"b": "2", "a": "3"}, None)
+    assert [tuple(r) for r in found.sort("id", "position").collect()] == [(1, 0, *good), (1, 1, *good), (2, 0, None, None, None, "event has no readable System element")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("xml(") == 1
