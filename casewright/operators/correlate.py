@@ -329,20 +329,23 @@ def finding_links(
         .groupBy("finding_id", "entity_key")
         .agg(F.array_sort(F.collect_list(F.struct("position", "event_uid"))).alias("_own"))
     )
-    known = entities.select("incident_id", "entity_key", "recorded")
+    # Recorded events are in order, so those before a link are a beginning of the list: its first few are enough. They
+    # are cut before they are joined to every link that shares the entity, and named before the rows move on.
+    known = entities.select("incident_id", "entity_key", F.slice("recorded", 1, MAX_MATCH_EVENTS).alias("recorded"))
+    place = F.struct(F.lit(phase).alias("phase"), F.col("first_ms"), F.col("finding_id").alias("link_key"), F.lit(-1).alias("position"))
+    earlier = F.filter("recorded", lambda r: r["recorded_at"] < place)
+    new_events = F.slice(F.array_distinct(F.transform("_own", lambda r: r["event_uid"])), 1, MAX_MATCH_EVENTS)
     matches = (
         joined.select("incident_id", "finding_id", "first_ms", F.explode("shared").alias("entity_key"))
+        .join(own.select("finding_id", "entity_key", new_events.alias("new_events")), ["finding_id", "entity_key"])
         .join(known, ["incident_id", "entity_key"])
-        .join(own, ["finding_id", "entity_key"])
     )
-    place = F.struct(F.lit(phase).alias("phase"), F.col("first_ms"), F.col("finding_id").alias("link_key"), F.lit(-1).alias("position"))
-    earlier = F.filter("recorded", lambda r: r["recorded_at"] < place)
     per_link = matches.select(
         "finding_id",
         F.struct(
             F.col("entity_key").alias("key"),
-            F.slice(F.transform(earlier, lambda r: r["event_uid"]), 1, MAX_MATCH_EVENTS).alias("incident_events"),
-            F.slice(F.array_distinct(F.transform("_own", lambda r: r["event_uid"])), 1, MAX_MATCH_EVENTS).alias("new_events"),
+            F.transform(earlier, lambda r: r["event_uid"]).alias("incident_events"),
+            F.col("new_events"),
         ).alias("match"),
     ).groupBy("finding_id").agg(F.array_sort(F.collect_list("match")).alias("matched"))
     window_hours = CORRELATION_WINDOW_MS // HOUR_MS
