@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     repeated edges do no harm; without edges the result is empty.
 
     Rounds are cut by written tables: with checkpoints, what Spark infers of a column passes on, and planning takes
-    five times as long from round to round.
+    five times as long from round to round. The joins are merged: a round's small table would be built into a hash
+    table at the driver, and the driver would hold those of many rounds until it collects them.
     """
     left = _cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots, turn = None, 0
@@ -36,10 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         )
         known = parents.select(F.col("_node").alias("node"), F.col("_node").alias("root")) if roots is None else roots
-        moved = known.join(parents, F.col("root") == F.col("_node"), "left")
+        moved = known.join(parents.hint("merge"), F.col("root") == F.col("_node"), "left")
         roots = _cut(moved.select("node", F.coalesce("_to", "root").alias("root")))
-        ends = left.join(parents, F.col("a") == F.col("_node")).select(F.col("_to").alias("a"), "b")
-        ends = ends.join(parents, F.col("b") == F.col("_node")).select("a", F.col("_to").alias("b"))
+        ends = left.join(parents.hint("merge"), F.col("a") == F.col("_node")).select(F.col("_to").alias("a"), "b")
+        ends = ends.join(parents.hint("merge"), F.col("b") == F.col("_node")).select("a", F.col("_to").alias("b"))
         left = _cut(
             ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
@@ -47,3 +48,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if roots is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
+
+
+def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, root`` of the graph behind ``roots``, made by ``connected_components``, with further ``edges`` in it.
+
+    Only the edges between components are contracted, their ends replaced by the roots of what they lie in.
+    """
+    for end in "ab":
+        known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")).hint("merge")
+        edges = edges.join(known, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_root", end)).drop("_node", "_root")
+    further = connected_components(edges.select("a", "b"))
+    onward = further.select(F.col("node").alias("_node"), F.col("root").alias("_root")).hint("merge")
+    moved = roots.join(onward, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return _cut(moved.unionByName(further.join(roots.select("node").hint("merge"), "node", "left_anti")))

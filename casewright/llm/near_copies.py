@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.common import mix, steps, whole, words_of, written
-from casewright.llm.components import connected_components
+from casewright.llm.components import connected_components, joined_components
 from casewright.llm.language_model import word_hashes
 from casewright.llm.simhash import fingerprints_of, near_links
 from casewright.session import cut_lineage
@@ -175,14 +175,13 @@ def fingerprint_pairs(sets: DataFrame) -> DataFrame:
     return cut_lineage(pairs.distinct())
 
 
-def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of ``shared`` with ``root``, the same for sets that links connect, where their key has several roots.
 
     ``minor``: the root is not the one that most sets of the key have; ``minors``: how many such rows the key has.
     Two sets of a key with different roots are never both of the most common one.
     """
-    roots = connected_components(links).select(F.col("node").alias("_node"), "root")
-    rooted = shared.join(roots, F.col("set_id") == F.col("_node"), "left").drop("_node")
+    rooted = shared.join(roots, F.col("set_id") == F.col("node"), "left").drop("node")
     rooted = cut_lineage(rooted.withColumn("root", F.coalesce("root", "set_id")))
     each = rooted.groupBy("kind", "key", "root").agg(F.count("*").alias("many"))
     keys = each.groupBy("kind", "key").agg(F.max_by("root", F.struct("many", "root")).alias("_most"), F.max("many").alias("_many"), F.sum("many").alias("_all"))
@@ -234,12 +233,12 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     some = shared.filter(F.col("n") <= FULL_KEY)
     pairs = side(some, "a").join(side(some, "b"), ["kind", "key"]).filter((F.col("a_set_id") < F.col("b_set_id")) & near)
     pairs = pairs.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
-    links = _verified(close.select("a", "b").unionByName(pairs), sets, least)
+    roots = connected_components(_verified(close.select("a", "b").unionByName(pairs), sets, least))
 
     full = shared.filter(F.col("n") > FULL_KEY).drop("n")
     place = F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.xxhash64("set_id"), "set_id"))
-    for many in LEADERS:
-        open_ = cut_lineage(_rooted(full, links))
+    for many in LEADERS if not full.isEmpty() else ():
+        open_ = cut_lineage(_rooted(full, roots))
         if open_.isEmpty():
             break
         leaders = open_.filter("minor")
@@ -252,9 +251,8 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
         right = side(right, "b", "part", F.col("root").alias("b_root"))
         pairs = left.join(right, ["kind", "key", "part"]).filter((F.col("a_root") != F.col("b_root")) & near)
         ends = [F.least("a_set_id", "b_set_id").alias("a"), F.greatest("a_set_id", "b_set_id").alias("b")]
-        links = links.unionByName(_verified(pairs.select(*ends), sets, least))
+        roots = joined_components(roots, _verified(pairs.select(*ends), sets, least))
 
-    roots = connected_components(links)
     rooted = distinct.join(roots, F.col("set_id") == F.col("node"), "left")
     first = F.min(F.struct("none", "doc_id", "set_id", "body")).alias("first")
     kept = rooted.groupBy(F.coalesce("root", "set_id").alias("_root")).agg(first)

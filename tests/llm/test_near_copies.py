@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline as pipeline
-from casewright.llm import near_copies, simhash
+from casewright.llm import components, near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,3 +88,27 @@ def test_the_stage_searches_fingerprints_of_its_shingles(spark, monkeypatch):
     rows = [(1, " ".join(base)), (2, " ".join(edited(base, 5, draw))), (3, " ".join(other)), (4, "")]
     assert [n for n, _ in kept(spark, rows)] == [1, 3, 4]
     assert asked and asked[0] >= 2
+
+
+def test_links_found_before_are_not_contracted_again(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_copies, "connected_components", lambda links: asked.append(links.count()) or components.connected_components(links))
+    draw = random.Random(9)
+    base, other = text(draw), text(draw)
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, 12, draw))), (3, " ".join(other)), (4, " ".join(edited(other, 12, draw)))]
+    assert [n for n, _ in kept(spark, rows)] == [1, 3]
+    assert asked == [2]
+
+
+def test_further_edges_join_components(spark):
+    draw = random.Random(10)
+    ends = [(draw.randrange(80), draw.randrange(80)) for _ in range(70)]
+    edges = lambda some: spark.createDataFrame(some, "a long, b long")
+    roots = components.connected_components(edges(ends[:40]))
+    for more in (ends[40:], [], [(200, 201), (201, 202), (5, 5)]):
+        roots = components.joined_components(roots, edges(more))
+    want = {r["node"]: r["root"] for r in components.connected_components(edges([*ends, (200, 201), (201, 202)])).collect()}
+    rows = [(r["node"], r["root"]) for r in roots.collect()]
+    found = dict(rows)
+    assert len(rows) == len(found) and found.keys() == want.keys()
+    assert all((found[a] == found[b]) == (want[a] == want[b]) for a in want for b in want)
