@@ -121,3 +121,15 @@ def test_a_bundle_shuffles_the_names_links_share_without_their_events(spark, sto
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join LeftOuter")]
     assert "transform(matched" not in above
+
+
+def test_entities_are_taken_from_events_once_for_a_lookup(spark, tmp_path):
+    rows = [(n, f"2024-01-05 00:00:0{n}", n, ["purchase", "view", "error"][n % 3], f'{{"k": {n}}}') for n in range(9)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(1, "https://site1.example/a")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("intel_results", "intel_lookup_report"):
+        found = QUERIES[name](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"\bprops#\d+\] parquet", plan)) == 1, name  # the feed's own pass; entities are a written table
+        assert found.filter("verdict <> 'unknown'").count() > 0, name
