@@ -17,7 +17,6 @@ from casewright.llm.common import mix, steps, whole, words_of, written
 from casewright.llm.components import connected_components, joined_components
 from casewright.llm.language_model import word_hashes
 from casewright.llm.simhash import fingerprints_of, near_links
-from casewright.session import cut_lineage
 
 #: Two sets that share 0.8 of their shingles miss each other in all bands at 3 in a million: (1 - 0.8 ** 5) ** 32.
 BANDS, BAND_ROWS = 32, 5
@@ -138,7 +137,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 near[row] = both >= least * (len(mine) + len(other) - both) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    asked = cut_lineage(pairs.select("a", "b").distinct())
+    asked = written(pairs.select("a", "b").distinct(), "pairs")
     copies = asked.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies"))
     dealt = asked.join(copies.select(_same(F.col("a")).alias("a"), "copies"), "a")
     dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
@@ -146,7 +145,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     mine = copies.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("mine")), "a")
     mine = mine.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "mine")
     met = other.join(mine, ["a", "copy"]).select("a", "b", "mine", "other")
-    return cut_lineage(met.mapInArrow(run, "a long, b long"))
+    return written(met.mapInArrow(run, "a long, b long"), "near")
 
 
 def _may_be_near(least: float) -> Column:
@@ -165,14 +164,14 @@ def fingerprint_pairs(sets: DataFrame) -> DataFrame:
 
     Of sets with one fingerprint each meets the smallest, so no group is expanded into its pairs.
     """
-    low = cut_lineage(sets.groupBy("fp").agg(F.min("set_id").alias("low")))
+    low = written(sets.groupBy("fp").agg(F.min("set_id").alias("low")), "fingerprints")
     equal = sets.join(low.select(_same(F.col("fp")).alias("_fp"), "low"), F.col("fp") == F.col("_fp")).filter("set_id <> low")
     ends = [low.select(_same(F.col("fp")).alias(side), F.col("low").alias(f"{side}_low")) for side in "ab"]
     close = near_links(low.select("fp")).join(ends[0], "a").join(ends[1], "b").select("a_low", "b_low")
     pairs = equal.select(F.col("low").alias("a"), F.col("set_id").alias("b")).unionByName(
         close.select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
     )
-    return cut_lineage(pairs.distinct())
+    return written(pairs.distinct(), "close")
 
 
 def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -182,7 +181,7 @@ def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
     Two sets of a key with different roots are never both of the most common one.
     """
     rooted = shared.join(roots, F.col("set_id") == F.col("node"), "left").drop("node")
-    rooted = cut_lineage(rooted.withColumn("root", F.coalesce("root", "set_id")))
+    rooted = written(rooted.withColumn("root", F.coalesce("root", "set_id")), "rooted")
     each = rooted.groupBy("kind", "key", "root").agg(F.count("*").alias("many"))
     keys = each.groupBy("kind", "key").agg(F.max_by("root", F.struct("many", "root")).alias("_most"), F.max("many").alias("_many"), F.sum("many").alias("_all"))
     keys = keys.filter("_all > _many").select(
@@ -205,14 +204,15 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), body)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "fp")).alias("low")
     distinct = _described(chosen, size).groupBy("set_id").agg(low, F.first(F.struct("size", "bands", "sketch")).alias("all"))
-    distinct = cut_lineage(distinct.select("set_id", "low.none", "low.doc_id", "low.body", "low.fp", "all.size", "all.bands", "all.sketch"))
+    distinct = distinct.select("set_id", "low.none", "low.doc_id", "low.body", "low.fp", "all.size", "all.bands", "all.sketch")
+    distinct = written(distinct, "distinct")  # a checkpoint would compute its last stage a second time to write it
     close = fingerprint_pairs(distinct.filter("size > 0").select("set_id", "fp"))
 
     probed = distinct.select("set_id", "size", F.posexplode("bands").alias("kind", "key"))
     sizes = probed.groupBy("kind", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = sizes.select(_same(F.col("kind")).alias("kind"), _same(F.col("key")).alias("key"), "n")
     shared = probed.join(sizes, ["kind", "key"]).join(distinct.select(F.col("set_id").alias("_set"), "sketch"), F.col("set_id") == F.col("_set"))
-    shared = cut_lineage(shared.drop("_set"))
+    shared = written(shared.drop("_set"), "shared")
     met = shared.select("set_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
     named = distinct.join(met, "set_id", "left_semi").select(
         F.col("doc_id").alias("_id"), F.col("body").alias("_body")
@@ -238,7 +238,7 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     full = shared.filter(F.col("n") > FULL_KEY).drop("n")
     place = F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.xxhash64("set_id"), "set_id"))
     for many in LEADERS if not full.isEmpty() else ():
-        open_ = cut_lineage(_rooted(full, roots))
+        open_ = written(_rooted(full, roots), "open")
         if open_.isEmpty():
             break
         leaders = open_.filter("minor")
@@ -256,4 +256,4 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = distinct.join(roots, F.col("set_id") == F.col("node"), "left")
     first = F.min(F.struct("none", "doc_id", "set_id", "body")).alias("first")
     kept = rooted.groupBy(F.coalesce("root", "set_id").alias("_root")).agg(first)
-    return cut_lineage(kept.select("first.doc_id", "first.body"))
+    return written(kept.select("first.doc_id", "first.body"), "kept")

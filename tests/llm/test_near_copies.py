@@ -112,3 +112,20 @@ def test_further_edges_join_components(spark):
     found = dict(rows)
     assert len(rows) == len(found) and found.keys() == want.keys()
     assert all((found[a] == found[b]) == (want[a] == want[b]) for a in want for b in want)
+
+
+def test_rounds_over_few_edges_write_few_files_however_shuffles_are_dealt(spark):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    edges = lambda some: spark.createDataFrame(some, "a long, b long")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        roots = components.connected_components(edges([(n, n + 1) for n in range(300) if n % 3]))
+        more = components.joined_components(roots, edges([(3 * n, 3 * n + 1) for n in range(1, 100)]))
+        assert len(roots.inputFiles()) <= 2 and len(more.inputFiles()) <= 4
+        assert more.select("node").distinct().count() == more.count() == 300
+        assert more.select("root").distinct().count() == 1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
