@@ -252,8 +252,8 @@ def _capped(path: str, limit: int) -> Column:
     return F.when(F.trim(F.col(path)) != "", F.substring(F.col(path), 1, limit))
 
 
-def digest(events: DataFrame) -> DataFrame:
-    """Evidence digests: what each event says, reduced to what a timeline and a graph are built from."""
+def digest(events: DataFrame, **keep: Column) -> DataFrame:
+    """Evidence digests: what each event says, reduced to what a timeline and a graph are built from; columns to keep."""
     stored = events.filter(
         F.col("sx.event_uid").isNotNull() & F.col("time_ms").isNotNull() & F.col("class_uid").isNotNull()
     )
@@ -272,6 +272,7 @@ def digest(events: DataFrame) -> DataFrame:
         F.col("src_endpoint.port").alias("src_port"),
         F.col("dst_endpoint.port").alias("dst_port"),
         "logon_type_id",
+        *[column.alias(name) for name, column in keep.items()],
     )
 
     def keys(role: Column) -> Column:
@@ -297,6 +298,7 @@ def digest(events: DataFrame) -> DataFrame:
         "src_port",
         "dst_port",
         "logon_type_id",
+        *keep,
     )
 
 

@@ -26,6 +26,24 @@ def test_statements_are_never_broadcast(spark):
     assert len(re.findall(r"BroadcastExchange", plan)) == 1
 
 
+def test_statements_are_dealt_out_by_a_number_and_once(spark, monkeypatch):
+    """Ids may be long: words, spans and mentions travel without them. Ids that share a number stay apart."""
+    rows = [("s" * 64, "i", "10.0.0.1 logged on to ws-1"), ("t" * 64, "i", "Then ws-1 slept; 10.0.0.1 logged on to WS-1."), ("t", "j", "10.0.0.1 logged on to ws-1"), (None, "i", "10.0.0.1 logged on to ws-1"), ("n", "i", None)]
+    statements = spark.createDataFrame(rows, "statement_id string, incident_id string, text string")
+    names = spark.createDataFrame([("i", "ip:10.0.0.1"), ("i", "host:ws-1"), ("i", "host:ws-2")], "incident_id string, entity_key string")
+    edges = spark.createDataFrame([("i", "ip:10.0.0.1", "logon", "host:ws-1")], "incident_id string, source string, relation string, target string")
+    plan = grounding.attribution_claims(statements, names, edges)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and not [by for by in dealt if "statement_id" in by]
+    # The texts three times, Spark runs equal exchanges once; spans and mentions.
+    assert len([by for by in dealt if re.fullmatch(r"key#\d+L", by)]) == 5
+    wanted = [("s" * 64, "i", "ip:10.0.0.1", "logged on to", "host:ws-1", True), ("t" * 64, "i", "ip:10.0.0.1", "logged on to", "host:ws-1", True)]
+    assert sorted(map(tuple, grounding.attribution_claims(statements, names, edges).collect())) == wanted
+    assert {(r.statement_id[0], r.start) for r in grounding.entity_mentions(statements, names).collect()} == {("s", 0), ("s", 22), ("t", 5), ("t", 17), ("t", 39)}
+    monkeypatch.setattr(grounding.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    assert sorted(map(tuple, grounding.attribution_claims(statements, names, edges).collect())) == wanted
+
+
 def _rule(rule_id, **detection):
     return {"id": rule_id, "title": "t", "level": "low", "logsource": {"category": "process_creation"}, "detection": {"s": detection, "condition": "s"}}
 
