@@ -157,3 +157,21 @@ def test_nested_and_long_rule_files_load_with_their_sources(spark, tmp_path):
     assert found.refused == (("community/linux/process/copy of+1.json", "duplicate rule id own"),)
     tally = {(r.outcome, r.reason): r.rules for r in R.import_tally(found, spark).collect()}
     assert tally == {("selected", None): 3, ("refused", "duplicate rule id own"): 1}
+
+
+def test_rule_files_are_listed_by_tasks_as_spark_would_list_them(spark, tmp_path, monkeypatch):
+    pack = tmp_path / "pa ck+1%41"
+    names = ["a.yml", "b.JSON", "c.json", ".d.json", "_e.json", "_f=1.json", "_metadata.json", "g.txt", "one/h i+%2B.yaml", "one/k=1/_l/m.json", "one/k=1/n=2/o.json", "_x=1/p.json", "_metadata/q.json", ".r/s.json", "one/é/t.yml"]
+    for name in names:
+        (pack / name).parent.mkdir(parents=True, exist_ok=True)
+        (pack / name).write_bytes(f"{name}\r\n".encode() + b"\xef\xbb\xbf\xff")
+    (pack / "empty.json").write_text("")
+    (pack / "none").mkdir()
+    rows = lambda *chosen: sorted((r.path, bytes(r.text), r.version) for r in R.rule_files(spark, str(pack), *chosen).selectExpr("path", "CAST(text AS BINARY) AS text", "version").collect())
+    found = R.rule_files(spark, str(pack))
+    assert "Scan text" not in found._jdf.queryExecution().executedPlan().toString(), "the driver would list every file"
+    by_tasks, chosen = rows(), rows(F.col("path").startswith("one/"))
+    monkeypatch.setattr(R, "_tasks_reach", lambda uri: False)
+    assert "Scan text" in R.rule_files(spark, str(pack))._jdf.queryExecution().executedPlan().toString()
+    assert by_tasks == rows() and len(by_tasks) >= 7
+    assert chosen == rows(F.col("path").startswith("one/")) and 3 <= len(chosen) < len(by_tasks)
