@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from casewright.operators import correlate, grounding, reports, rules
-from casewright.operators.detect import detect_single
+from casewright.operators.detect import detect_single, matched_rules
 from casewright.plans.queries import QUERIES
 from casewright.schema import conform
 from casewright.sources import records
@@ -95,6 +95,27 @@ def test_rules_with_one_test_share_a_bit(spark):
     assert sorted((r.evidence[0], r.rule_id) for r in found.collect()) == sorted([("u0", f"x{n}") for n in range(40)] + [("u1", f"y{n}") for n in range(40)])
 
 
+def test_hits_of_shared_tests_are_dealt_out_and_joined_with_their_rules_once(spark):
+    """A scan of few tasks must not make all findings of an event that fires thousands of rules."""
+    commands = [("u0", "x"), ("u0", "x"), ("u1", "y"), (None, "x"), ("", "y"), ("u2", None)]
+    events = conform(
+        spark.createDataFrame(commands, "uid string, cmd string").coalesce(1).select(
+            F.lit(1007).alias("class_uid"), F.lit(1).alias("activity_id"), F.lit(0).cast("long").alias("time_ms"),
+            F.struct(F.col("cmd").alias("cmd_line")).alias("process"),
+            F.struct(F.lit("o").alias("org_id"), F.col("uid").alias("event_uid")).alias("sx"),
+        )
+    )
+    for copies in (20, 2):
+        many = [rules.compile_rule(_rule(f"{c}{n}", CommandLine=c)) for n in range(copies) for c in "xy"]
+        found = detect_single(events, many)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("RoundRobinPartitioning" in plan) == (copies == 20) and plan.count("BroadcastHashJoin") == 1
+        fired = sorted((r.evidence[0], r.rule_id) for r in found.collect())
+        assert fired == sorted([("u0", f"x{n}") for n in range(copies)] * 2 + [("u1", f"y{n}") for n in range(copies)])
+        placed = matched_rules(events, many, F.col("sx.event_uid").alias("uid"))
+        assert sorted((many[r.rule].id, r.uid) for r in placed.filter("uid = 'u1'").collect()) == sorted((f"y{n}", "u1") for n in range(copies))
+
+
 def test_an_xml_event_is_decoded_once(spark):
     """However many of its fields are read, and whatever the number of its data."""
     data = "".join(f"<Data Name='{name}'>{value}</Data>" for name, value in (("a", " 1"), ("b", "2"), ("a", "3 "), ("", "4")))
